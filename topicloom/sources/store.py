@@ -80,7 +80,7 @@ def read_report(spark: SparkSession, folder: str, sheet: str, format: str = "par
 
 
 def report_lines(words: DataFrame, frequency: DataFrame, info: DataFrame, representative: DataFrame) -> DataFrame:
-    """``section, topic, ord, line`` of the text report.
+    """``section, topic, ord, line`` of the text report; the first three give its order.
 
     ``representative`` is ``topic, rank, document``.
     """
@@ -94,7 +94,7 @@ def report_lines(words: DataFrame, frequency: DataFrame, info: DataFrame, repres
     topics = representations(words).select("topic", F.lit(0).alias("ord"), F.concat(F.lit("Topic "), topic, F.lit(": "), listed).alias("line"))
     by_size = Window.partitionBy(F.lit(1)).orderBy(F.desc("count"), "topic")  # one row per topic
     counts = frequency.select(
-        F.col("topic"), F.row_number().over(by_size).alias("ord"),
+        F.lit(0).alias("topic"), F.row_number().over(by_size).alias("ord"),
         F.concat(F.lit("Topic "), topic, F.lit(": "), F.col("count").cast("string"), F.lit(" entries")).alias("line"),
     )
     lines = F.concat(
@@ -131,4 +131,4 @@ def search_lines(hits: DataFrame, words: DataFrame, representative: DataFrame) -
 
 
 def write_lines(lines: DataFrame, path: str) -> None:
-    lines.orderBy("section", F.when((F.col("section") == 2) & (F.col("topic") > -2) & F.col("line").endswith(" entries"), F.lit(0)).otherwise(F.col("topic")), "ord").select("line").write.mode("overwrite").text(path)
+    lines.orderBy("section", "topic", "ord").select("line").write.mode("overwrite").text(path)
