@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import corpus, topics  # noqa: F401
+from . import corpus, files, topics  # noqa: F401
 from .tables import ORACLES, QUERIES
 
 

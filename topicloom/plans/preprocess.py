@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..config import Preprocessing
 from ..functions import text as T
-from ..operators.cleaning import clean_expr, with_computed
+from ..operators.cleaning import clean_into
 from ..operators.dedupe import flag_later_copies
 from ..operators.filters import has_required, length_ok, score_ok
 
@@ -35,10 +35,7 @@ def flag_rows(df: DataFrame, cfg: Preprocessing, hook: Callable[[DataFrame], Dat
     carried = df.columns
     # text that fails the required rule is not cleaned at all
     raw = F.when(has_required(src.required_columns_for_docs_creation), T.join_with_token(src.text_source_columns, src.null_token))
-    if cfg.cleaning.unescape:
-        df = df.withColumn("_raw", raw)
-        raw = F.col("_raw")
-    df = with_computed(df, "_clean", F.when(raw.isNotNull(), clean_expr(raw, cfg.cleaning)))
+    df = clean_into(df, raw, "_clean", cfg.cleaning, keep_null=True)
     length = T.word_count_collapsed("_clean")
     rules = [
         (F.col("_clean").isNull(), "required", "missing_required"),

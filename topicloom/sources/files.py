@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -91,7 +91,7 @@ def read_csv(
             continue
         schema = StructType([StructField(c, StringType()) for c in header])
         part = spark.read.schema(schema).csv(members, header=True, multiLine=multiline, quote='"', escape='"', enforceSchema=False)
-        part = part.select("*", F.col("_metadata.file_name").alias("source_file")) if with_file else part
+        part = part.select("*", dataset_name(F.col("_metadata.file_path")).alias("source_file")) if with_file else part
         if columns is not None:
             part = keep_existing(part, [*columns, *(["source_file"] if with_file else [])])
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
@@ -101,7 +101,10 @@ def read_csv(
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).csv(path, header=True, quote='"', escape='"', emptyValue="", nullValue="")
+    df.write.mode(mode).csv(
+        path, header=True, quote='"', escape='"', emptyValue="", nullValue="",
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+    )
 
 
 def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -114,11 +117,19 @@ def kind_of(name: str, case_sensitive: bool = False) -> str:
     return "comment" if "_comments" in (name if case_sensitive else name.lower()) else "submission"
 
 
+def dataset_name(path: Column) -> Column:
+    """The first part of a path that ends in ``.csv``: a file, or a folder of part files."""
+    return F.regexp_extract(F.replace(path, F.lit("%20"), F.lit(" ")), r"([^/]+\.csv)(?:/|$)", 1)
+
+
 def scan_folder(spark: SparkSession, folder: str, communities: Sequence[str]) -> list[tuple[str, str]]:
-    """``(path, name)`` of CSV files whose name contains a community, any case."""
-    files = list_files(spark, folder).filter(F.endswith("name", F.lit(".csv")))
+    """``(path, name)`` of CSV files whose name contains a community, any case.
+
+    A folder of part files counts as one file of the folder's name.
+    """
+    named = list_files(spark, folder, recursive=True).withColumn("name", dataset_name(F.col("path"))).filter(F.col("name") != "")
     wanted = [c.lower() for c in communities]
-    return sorted((r.path, r.name) for r in files.select("path", "name").collect() if any(w in r.name.lower() for w in wanted))
+    return sorted((r.path, r.name) for r in named.select("path", "name").collect() if any(w in r.name.lower() for w in wanted))
 
 
 @dataclass
@@ -166,7 +177,7 @@ def combine_folder(
     rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
     rows = keep_existing(rows, [*final_columns, "source_file"])
     counts = rows.groupBy("source_file").agg(F.count(F.lit(1)).alias("_n"))
-    table = spark.createDataFrame(status, "source_file string, kind string, status string").join(counts, "source_file", "left")
+    table = spark.createDataFrame(sorted(set(status)), "source_file string, kind string, status string").join(counts, "source_file", "left")
     empty = (F.col("status") == "ok") & F.col("_n").isNull()
     manifest = table.select(
         "source_file", "kind", F.when(empty, F.lit("no_valid_rows")).otherwise(F.col("status")).alias("status"), F.coalesce("_n", F.lit(0)).alias("rows")
