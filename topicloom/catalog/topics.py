@@ -258,7 +258,7 @@ best AS (SELECT doc_id, topic, dot / norm AS s FROM dots JOIN nb USING (doc_id)
 SELECT docs.doc_id, CASE WHEN docs.topic <> -1 THEN docs.topic WHEN s >= 0.1 THEN best.topic ELSE -1 END AS topic FROM docs LEFT JOIN best USING (doc_id)""")
 def m15(spark, d):
     rows = with_noise(spark, d)
-    return outliers.reduce_by_terms(rows.select("doc_id", "topic"), rows, weights_of(rows), 0.1).select("doc_id", "topic")
+    return outliers.reduce_by_terms(rows.select("doc_id", "topic"), rows, materialize(weights_of(rows)), 0.1).select("doc_id", "topic")
 
 
 @register("m16_outliers_by_distribution", f"""WITH {SQL_WORD_SIDE},
@@ -273,7 +273,7 @@ best AS (SELECT doc_id, topic, s FROM sc QUALIFY row_number() OVER (PARTITION BY
 SELECT docs.doc_id, CASE WHEN docs.topic <> -1 THEN docs.topic WHEN s > 0 THEN best.topic ELSE -1 END AS topic FROM docs LEFT JOIN best USING (doc_id)""")
 def m16(spark, d):
     rows = with_noise(spark, d)
-    return outliers.reduce_by_distribution(rows.select("doc_id", "topic"), rows, weights_of(rows)).select("doc_id", "topic")
+    return outliers.reduce_by_distribution(rows.select("doc_id", "topic"), rows, materialize(weights_of(rows))).select("doc_id", "topic")
 
 
 @register("m19_updated_words", f"""WITH re AS (SELECT *, CASE WHEN source = 'src0' THEN 0 ELSE {SQL_LANG_TOPIC} END AS new_topic FROM documents),
@@ -350,8 +350,8 @@ SELECT topic, words, frequency, make_timestamp(us) AS timestamp FROM fr JOIN wl
 
 
 def trend(spark: SparkSession, d: str) -> DataFrame:
-    rows = dated(spark, d)
-    out = trends.topics_over_time(rows, "ts", weights_of(rows), nr_bins=5)
+    rows = materialize(dated(spark, d))
+    out = trends.topics_over_time(rows, "ts", materialize(weights_of(rows)), nr_bins=5)
     return out.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
 
 

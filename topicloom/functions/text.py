@@ -7,6 +7,8 @@ whitespace set out. The same spelling is valid for RE2.
 from __future__ import annotations
 
 import html
+import re
+import string
 from collections.abc import Iterable
 
 import pandas as pd
@@ -46,7 +48,11 @@ def repair_latin1(c: Column | str) -> Column:
     can change; all others keep the value without being encoded.
     """
     c = col(c)
-    candidate = c.rlike(r"[\x{C2}-\x{F4}][\x{80}-\x{BF}]") & ~c.rlike(r"[^\x{00}-\x{FF}]")
+    candidate = (
+        (F.octet_length(c) > F.char_length(c))
+        & c.rlike(r"[\x{C2}-\x{F4}][\x{80}-\x{BF}]")
+        & ~c.rlike(r"[^\x{00}-\x{FF}]")
+    )
     decoded = F.try_validate_utf8(F.encode(c, "ISO-8859-1").cast("string"))
     return F.when(candidate, F.coalesce(decoded, c)).otherwise(c)
 
@@ -82,9 +88,24 @@ def remove_entities(c: Column | str, letters_only: bool = False) -> Column:
     return F.regexp_replace(col(c), ENTITY_LETTERS if letters_only else ENTITY, "")
 
 
+def spelled_out(pattern: str) -> str:
+    """A lone character class with its ASCII ranges written as single characters.
+
+    The meaning is the same; Java looks single characters up in one table
+    but tests ranges one after the other, three times as slow here.
+    """
+    if not re.fullmatch(r"\[\^?(?:[^\[\]\\&]|\\.)+\]", pattern):
+        return pattern
+    for short, chars in (
+        ("a-z", string.ascii_lowercase), ("A-Z", string.ascii_uppercase), ("0-9", string.digits), (r"\s", r" \t\n\x0b\f\r"),
+    ):
+        pattern = pattern.replace(short, chars)
+    return pattern
+
+
 def filter_chars(c: Column | str, pattern: str = CHAR_FILTER, replacement: str = " ") -> Column:
     """Replace what ``pattern`` (Java syntax) matches."""
-    return F.regexp_replace(col(c), pattern, replacement)
+    return F.regexp_replace(col(c), spelled_out(pattern), replacement)
 
 
 def straighten_quotes(c: Column | str) -> Column:
@@ -92,12 +113,8 @@ def straighten_quotes(c: Column | str) -> Column:
 
 
 def collapse_ws(c: Column | str) -> Column:
-    """Every whitespace run becomes one space; ends are stripped.
-
-    A lone space is left unmatched: it is by far the most common run.
-    """
-    runs = f"[{WS}]{{2,}}|[{WS}&&[^ ]]"
-    return F.trim(F.regexp_replace(col(c), runs, " "))
+    """Every whitespace run becomes one space; ends are stripped."""
+    return F.trim(F.regexp_replace(col(c), f"[{WS}]+", " "))
 
 
 def strip_ws(c: Column | str) -> Column:
@@ -121,10 +138,9 @@ def word_count(c: Column | str) -> Column:
 
 
 def word_count_collapsed(c: Column | str) -> Column:
-    """As :func:`word_count` for text that :func:`collapse_ws` made: counts spaces."""
+    """As :func:`word_count` for text that :func:`collapse_ws` made."""
     c = col(c)
-    gaps = F.char_length(c) - F.char_length(F.translate(c, " ", ""))
-    return F.when(c == "", F.lit(0)).otherwise(gaps + 1).cast("long")
+    return F.when(c == "", F.lit(0)).otherwise(F.size(F.split(c, " "))).cast("long")
 
 
 def contains_pattern(c: Column | str, pattern: str) -> Column:

@@ -26,19 +26,15 @@ def dedupe_first(df: DataFrame, column: str, order: Sequence[str]) -> DataFrame:
     return top_n(keyed, "_key", [F.col(c) for c in order], 1).drop("_key")
 
 
-def flag_later_copies(df: DataFrame, column: str, id_col: str, among: Column | None = None, name: str = "is_copy") -> DataFrame:
-    """Mark rows that repeat an earlier row's value, among the rows given.
+def flag_later_copies(df: DataFrame, key: str, id_col: str, among: Column, name: str = "is_copy") -> DataFrame:
+    """Mark rows that repeat an earlier row's ``key`` (a digest), among the rows given.
 
-    The first id of every value comes from a pre-aggregated grouping of
-    digests, and is joined back on the unique id, never on the value.
+    The first id of every key comes from a pre-aggregated grouping, and is
+    joined back on the unique id, never on the key.
     """
-    rows = df if among is None else df.filter(among)
-    first = rows.groupBy(digest(column).alias("_key")).agg(F.min(id_col).alias(id_col)).select(id_col, F.lit(True).alias("_first"))
+    first = df.filter(among).groupBy(key).agg(F.min(id_col).alias(id_col)).select(id_col, F.lit(True).alias("_first"))
     flagged = df.join(first, id_col, "left")
-    later = F.col("_first").isNull()
-    if among is not None:
-        later = later & among
-    return flagged.withColumn(name, later).drop("_first")
+    return flagged.withColumn(name, F.col("_first").isNull() & among).drop("_first")
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:

@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from ..config import Preprocessing
 from ..functions import text as T
 from ..operators.cleaning import clean_into
-from ..operators.dedupe import flag_later_copies
+from ..operators.dedupe import digest, flag_later_copies
 from ..operators.filters import has_required, length_ok, score_ok
+from ..session import materialize
 
 
 def _reason(rules: list[tuple[Column, str, str]]) -> Column:
@@ -49,8 +50,10 @@ def flag_rows(df: DataFrame, cfg: Preprocessing, hook: Callable[[DataFrame], Dat
         ]
     df = df.select(*carried, F.col("_clean").alias("docs"), length.alias("_len"), F.col("_clean")).withColumn("_why", _reason(rules))
     if flt.duplicate_removal:
-        passed = F.col("_why").isNull()
-        df = flag_later_copies(df, flt.column_for_duplicate_checking, src.unique_id_column, passed, "_copy")
+        # written once with its digest: the grouping then reads ids and digests
+        # only, and no text is cleaned twice
+        df = materialize(df.drop("_clean").withColumn("_key", digest(flt.column_for_duplicate_checking)))
+        df = flag_later_copies(df, "_key", src.unique_id_column, F.col("_why").isNull(), "_copy")
         df = df.withColumn("_why", F.coalesce(F.col("_why"), _reason([(F.col("_copy"), "duplicate", "duplicate_text")])))
     if flt.score_filter:
         name, lo, hi = flt.score_column_for_filtering, flt.min_score_for_filtering, flt.max_score_for_filtering
