@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .text import col
+from .tokens import once
 
 
 def dot(a: Column | str, b: Column | str) -> Column:
@@ -19,11 +20,11 @@ def norm(a: Column | str) -> Column:
 
 def cosine(a: Column | str, b: Column | str) -> Column:
     """Cosine similarity; 0 where a vector is zero."""
-    size = norm(a) * norm(b)
-    return F.when(size > 0, dot(a, b) / size).otherwise(F.lit(0.0))
+    return F.coalesce(dot(a, b) / F.nullif(norm(a) * norm(b), F.lit(0.0)), F.lit(0.0))
 
 
 def unit(a: Column | str) -> Column:
+    """The vector at length 1; a zero vector stays."""
     a = col(a)
-    size = norm(a)
-    return F.when(size > 0, F.transform(a, lambda x: x.cast("double") / size)).otherwise(F.transform(a, lambda x: x.cast("double")))
+    size = F.coalesce(F.nullif(norm(a), F.lit(0.0)), F.lit(1.0))
+    return once(size, lambda s: F.transform(a, lambda x: x.cast("double") / s))

@@ -36,9 +36,14 @@ def _grid_key(vector: str, lows: list[float], width: float) -> Column:
     return F.zip_with(F.col(vector), low, lambda x, lo: F.floor((x - lo) / width))
 
 
+def _distinct(key: Column) -> Column:
+    """Estimated number of distinct keys, within about 2 %."""
+    return F.hll_sketch_estimate(F.hll_sketch_agg(F.xxhash64(key), 12))
+
+
 def _with_cells(points: DataFrame, vector: str, max_cells: int) -> tuple[DataFrame, DataFrame]:
     """Points with their cell key ``_cell``, and the table of cells."""
-    first = points.agg(F.max(F.size(vector)).alias("dim"), F.approx_count_distinct(F.xxhash64(vector), 0.03).alias("n")).first()
+    first = points.agg(F.max(F.size(vector)).alias("dim"), _distinct(F.col(vector)).alias("n")).first()
     dim = first.dim or 0
     keys = [F.col(vector)] if first.n <= max_cells * 1.1 else []
     while True:
@@ -55,7 +60,7 @@ def _grid_keys(points: DataFrame, vector: str, dim: int, max_cells: int) -> list
     lows = [float(ends[f"lo{i}"] or 0.0) for i in range(dim)]
     span = max((float(ends[f"hi{i}"] or 0.0) - lo for i, lo in enumerate(lows)), default=0.0) or 1.0
     keys = [_grid_key(vector, lows, span / 2**s) for s in range(GRID_LEVELS, -1, -1)]
-    sizes = points.agg(*[F.approx_count_distinct(F.xxhash64(k), 0.03).alias(f"n{i}") for i, k in enumerate(keys)]).first()
+    sizes = points.agg(*[_distinct(k).alias(f"n{i}") for i, k in enumerate(keys)]).first()
     fitting = next((i for i in range(len(keys)) if sizes[f"n{i}"] <= max_cells), len(keys) - 1)
     return keys[fitting:] + [F.array(F.lit(0))]
 

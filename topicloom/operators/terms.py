@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tokens as K
+from ..session import materialize
 from .joins import salted_join
 from .sampling import top_n
 
@@ -60,8 +61,10 @@ def ctfidf(tf: DataFrame, normalize: bool = True) -> DataFrame:
     """``topic, word, tf, f, idf, weight`` with ``idf = ln(1 + A / f)``.
 
     ``f`` is the word's count over all topics and ``A`` the mean number of
-    words per topic. ``normalize`` divides ``tf`` by the topic's words.
+    words per topic. ``normalize`` divides ``tf`` by the topic's words. The
+    counts are written once, as they are read twice.
     """
+    tf = materialize(tf)
     totals = tf.groupBy("topic").agg(F.sum("tf").alias("_words"))
     totals = totals.withColumn("_avg", F.avg("_words").over(Window.partitionBy(F.lit(1))))  # one row per topic
     with_f = tf.withColumn("f", F.sum("tf").over(Window.partitionBy("word")))  # one row per topic and word

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tokens as K
+from ..session import materialize
 from .joins import salted_join
 from .sampling import top_n
 
@@ -57,7 +58,7 @@ def topics_over_time(
     known = weights.select("topic", "word", "idf", "weight")
     sums = known.groupBy("topic").agg(F.sum("weight").alias("_g"))
     overall = salted_join(known, sums, ["topic"], "inner", ["word"]).select("topic", "word", "idf", (F.col("weight") / F.col("_g")).alias("_overall"))
-    local = tf.join(overall, ["topic", "word"]).withColumn("_x", F.col("tf") * F.col("idf"))
+    local = materialize(tf.join(overall, ["topic", "word"]).withColumn("_x", F.col("tf") * F.col("idf")))  # read twice
     totals = local.groupBy(*keys).agg(F.sum("_x").alias("_sum"))
     scaled = salted_join(local, totals, keys, "inner", ["word"])
     share = F.col("_x") / F.col("_sum")
