@@ -78,9 +78,10 @@ def removed_rows(flagged: DataFrame) -> DataFrame:
 def write_flagged(flagged: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
     """Write kept and removed rows in one pass; return both, read back."""
     spark = flagged.sparkSession
-    flagged.withColumn("removed", F.col("reason").isNotNull()).write.mode("overwrite").partitionBy("removed").parquet(path)
+    part = F.when(F.col("reason").isNull(), "kept").otherwise("removed")
+    flagged.withColumn("part", part).write.mode("overwrite").partitionBy("part").parquet(path)
     table = spark.read.parquet(path)
-    return kept_rows(table.filter(~F.col("removed"))).drop("removed"), table.filter(F.col("removed")).drop("removed")
+    return kept_rows(table.filter("part = 'kept'")).drop("part"), table.filter("part = 'removed'").drop("part")
 
 
 def survival_report(flagged: DataFrame, group: str) -> DataFrame:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import csv
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,6 +26,7 @@ COMMENT_COLUMNS = ("id", "link_id", "author", "created_utc", "subreddit", "body"
 SUBMISSION_COLUMNS = ("id", "permalink", "author", "created_utc", "subreddit", "title", "selftext", "score")
 COMBINED_COLUMNS = ("id", "link_id", "author", "created_utc", "subreddit", "score", "text")
 TYPES = {"score": "double", "created_utc": "bigint"}
+CSV_NAME = r"([^/]+\.csv)(?:/|$)"
 
 
 def list_files(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
@@ -119,7 +122,7 @@ def kind_of(name: str, case_sensitive: bool = False) -> str:
 
 def dataset_name(path: Column) -> Column:
     """The first part of a path that ends in ``.csv``: a file, or a folder of part files."""
-    return F.regexp_extract(F.replace(path, F.lit("%20"), F.lit(" ")), r"([^/]+\.csv)(?:/|$)", 1)
+    return F.regexp_extract(F.replace(path, F.lit("%20"), F.lit(" ")), CSV_NAME, 1)
 
 
 def scan_folder(spark: SparkSession, folder: str, communities: Sequence[str]) -> list[tuple[str, str]]:
@@ -127,9 +130,14 @@ def scan_folder(spark: SparkSession, folder: str, communities: Sequence[str]) ->
 
     A folder of part files counts as one file of the folder's name.
     """
-    named = list_files(spark, folder, recursive=True).withColumn("name", dataset_name(F.col("path"))).filter(F.col("name") != "")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).inputFiles()  # empty files too
     wanted = [c.lower() for c in communities]
-    return sorted((r.path, r.name) for r in named.select("path", "name").collect() if any(w in r.name.lower() for w in wanted))
+    found = []
+    for path in map(unquote, files):
+        name = re.search(CSV_NAME, path)
+        if name and any(w in name[1].lower() for w in wanted):
+            found.append((path, name[1]))
+    return sorted(found)
 
 
 @dataclass
