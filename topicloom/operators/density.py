@@ -95,7 +95,8 @@ def _core_distances(cells: DataFrame, means: np.ndarray, weights: np.ndarray, mi
             order = np.argsort(d, axis=1, kind="stable")
             reach = np.cumsum(weights[order], axis=1)
             at = np.minimum((reach < min_samples + 1).sum(axis=1), len(weights) - 1)  # the point itself is not a neighbour
-            core = np.take_along_axis(d, np.take_along_axis(order, at[:, None], 1), 1)[:, 0]
+            nearest = np.take_along_axis(order, at[:, None], 1)[:, 0]
+            core = np.sqrt(((means[here] - means[nearest]) ** 2).sum(axis=1))
             # enough neighbours inside the cell: the expected distance there
             share = np.minimum(min_samples / np.maximum(weights[here] - 1, 1), 1.0) ** (1.0 / dim)
             core = np.where(weights[here] > min_samples, pdf["spread"].to_numpy() * share, core)
@@ -177,16 +178,24 @@ def cluster_cells(weights: np.ndarray, cores: np.ndarray, edges: pd.DataFrame, c
         if node < n:  # a cell that is a cluster by itself ends at its own density
             leave(node, cluster, max(1.0 / max(cores[node], TINY), birth[cluster]))
             continue
-        a, b, w = merges[node - n]
+        w = merges[node - n][2]
         density = 1.0 / max(w, TINY)
-        big = [v for v in (a, b) if size[v] >= cfg.min_cluster_size]
-        for v in (a, b):
+        # merges at one distance are one event, so ties do not depend on their order
+        parts, todo = [], [node]
+        while todo:
+            v = todo.pop()
+            if v >= n and merges[v - n][2] == w:
+                todo += merges[v - n][:2]
+            else:
+                parts.append(v)
+        big = sorted(v for v in parts if size[v] >= cfg.min_cluster_size)
+        for v in parts:
             if v not in big:
                 leave(v, cluster, density)
         if len(big) == 1:
             stack.append((big[0], cluster))
-        elif len(big) == 2:
-            stability[cluster] += size[node] * (density - birth[cluster])
+        elif big:
+            stability[cluster] += sum(size[v] for v in big) * (density - birth[cluster])
             for v in big:
                 new = len(birth)
                 birth[new], parent_of[new], children[new], stability[new] = density, cluster, [], 0.0
