@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Clustering, Preprocessing, to_json
@@ -12,7 +12,7 @@ from ..session import scratch_path
 from ..sources import files, store
 from .corpus import SURVIVAL
 from .tables import documents, register, sql_clean, sql_nonblank, sql_strip, sql_words, table
-from .topics import SQL_SOURCE_TOPIC, SQL_VECTORS, by_source, centres, search_terms, sql_ctfidf, vectors, weights_of, words_of
+from .topics import SQL_SOURCE_TOPIC, by_source, centres, search_terms, sql_ctfidf, vectors, words_of
 
 
 def forum_files(spark: SparkSession, d: str) -> str:

@@ -207,7 +207,7 @@ tv AS (SELECT topic, list(v ORDER BY dim) AS vector FROM tm GROUP BY topic),
 held AS (SELECT DISTINCT doc_id, unnest({SQL_TOKENS}) AS word FROM docs),
 wm AS (SELECT word, dim, avg(v) AS v FROM (SELECT * FROM held SEMI JOIN cand USING (word)) JOIN dims USING (doc_id) GROUP BY ALL),
 wv AS (SELECT word, list(v ORDER BY dim) AS wvec FROM wm GROUP BY word),
-ks AS (SELECT topic, word, list_cosine_similarity(wvec, vector) AS sim FROM cand JOIN wv USING (word) JOIN tv USING (topic))"""
+ks AS (SELECT topic, word, round(list_cosine_similarity(wvec, vector), 10) AS sim FROM cand JOIN wv USING (word) JOIN tv USING (topic))"""
 
 
 def representation_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .filters import has_required, is_placeholder, mentions_removal
+from .filters import is_placeholder, mentions_removal
 from .joins import salted_join
 
 
@@ -184,7 +184,3 @@ def coordinate_bounds(df: DataFrame, x: str = "x", y: str = "y", margin: float =
         (F.min(x) - margin).alias("x_lo"), (F.max(x) + margin).alias("x_hi"),
         (F.min(y) - margin).alias("y_lo"), (F.max(y) + margin).alias("y_hi"),
     )
-
-
-def required_report(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.agg(F.count(F.lit(1)).alias("rows"), F.count_if(has_required(columns)).alias("with_required"))

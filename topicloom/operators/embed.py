@@ -133,23 +133,24 @@ def _yj(x: np.ndarray, lam: float) -> np.ndarray:
 
 
 def _likelihoods(rows: DataFrame, vector: str, grid: np.ndarray) -> DataFrame:
-    """``dim, step, n, mean, var, loglik``: partial sums per batch, then one grouping.
+    """``dim, step, n, logs, mean, var``: partial sums per task, then one grouping.
 
     ``grid[d]`` holds the candidate exponents of dimension ``d``.
     """
 
     def partial(batches):
+        total = None
         for pdf in batches:
             if pdf.empty:
                 continue
             x = np.array(pdf[vector].tolist(), dtype=np.float64)
+            y = [[_yj(x[:, d], lam) for lam in grid[d]] for d in range(x.shape[1])]
             logs = (np.sign(x) * np.log1p(np.abs(x))).sum(axis=0)
-            out = []
-            for d in range(x.shape[1]):
-                for step, lam in enumerate(grid[d]):
-                    y = _yj(x[:, d], lam)
-                    out.append((d, step, float(len(y)), y.sum(), (y * y).sum(), logs[d]))
-            yield pd.DataFrame(out, columns=["dim", "step", "n", "s", "ss", "logs"])
+            here = np.array([[(len(v), v.sum(), (v * v).sum(), logs[d]) for v in y[d]] for d in range(len(y))])
+            total = here if total is None else total + here
+        if total is not None:
+            d, step = np.indices(total.shape[:2]).reshape(2, -1)
+            yield pd.DataFrame({"dim": d, "step": step, **dict(zip(("n", "s", "ss", "logs"), total.reshape(-1, 4).T))})
 
     sums = rows.select(vector).mapInPandas(partial, "dim int, step int, n double, s double, ss double, logs double")
     table = sums.groupBy("dim", "step").agg(*[F.sum(c).alias(c) for c in ("n", "s", "ss", "logs")])

@@ -89,7 +89,9 @@ def score_ok(column: str | None, lo: float | None, hi: float | None) -> Column:
 
 
 def score_range(df: DataFrame, column: str | None, lo: float | None = None, hi: float | None = None) -> DataFrame:
-    return df.filter(score_ok(column, lo, hi))
+    if not column or (lo is None and hi is None):
+        return df
+    return df.filter(length_ok(F.col(column), lo, hi))  # bare comparisons, so they reach the scan
 
 
 def metadata_filter(df: DataFrame, conditions: Sequence[tuple[str, str, Any]]) -> DataFrame:

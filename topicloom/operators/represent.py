@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from ..functions import tokens as K
 from ..functions import vectors as V
 from .joins import salted_join
-from .sampling import top_n
 from .similarity import mean_vectors
 from .terms import top_words
 
@@ -41,7 +40,8 @@ def keywords_by_similarity(
     scored = (
         words.join(vectors_of_words.withColumnRenamed("vector", "_w"), "word")
         .join(topic_vectors.select("topic", F.col("vector").alias("_t")), "topic")
-        .select("topic", "word", V.cosine("_w", "_t").alias("weight"))
+        # words held by the same documents tie; rounding keeps the tie from the order of sums
+        .select("topic", "word", F.round(V.cosine("_w", "_t"), 10).alias("weight"))
     )
     return top_words(scored, n)
 

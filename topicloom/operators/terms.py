@@ -49,14 +49,6 @@ def term_counts(
     return tf
 
 
-def document_terms(
-    df: DataFrame, id_col: str, text_col: str, ngram_range: tuple[int, int] = (1, 1), stop_words: str | Sequence[str] | None = None
-) -> DataFrame:
-    """``id, word, tf`` per document."""
-    words = exploded(df, [id_col], K.terms(text_col, ngram_range, stop_words))
-    return words.groupBy(id_col, "word").agg(F.count(F.lit(1)).alias("tf"))
-
-
 def ctfidf(tf: DataFrame, normalize: bool = True) -> DataFrame:
     """``topic, word, tf, f, idf, weight`` with ``idf = ln(1 + A / f)``.
 

@@ -19,6 +19,8 @@ def local_session(cores: int = 8, app: str = "topicloom", memory: str = "12g") -
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # mean vectors of many topics or words stay hash-aggregated
+        .config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "10000")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )

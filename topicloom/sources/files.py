@@ -9,12 +9,13 @@ from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import text as T
 from ..operators.filters import comment_text, keep_existing, submission_text
+from ..operators.joins import salted_join
 
 # Cells that mean "missing".
 NULL_TOKENS = (
@@ -45,9 +46,10 @@ def inventory(spark: SparkSession, folder: str, extensions: Sequence[str] | None
 
 def duplicate_names(files: DataFrame) -> DataFrame:
     """Files sharing a name, with ``keep`` for the largest (first path wins a tie). Nothing is deleted."""
-    by_size = Window.partitionBy("name").orderBy(F.desc("length"), "path")
-    counts = files.groupBy("name").agg(F.count(F.lit(1)).alias("copies")).filter(F.col("copies") > 1)
-    return files.join(counts, "name").withColumn("keep", F.row_number().over(by_size) == 1)
+    largest = F.min(F.struct((-F.col("length")).alias("size"), "path")).alias("_best")
+    groups = files.groupBy("name").agg(F.count(F.lit(1)).alias("copies"), largest).filter(F.col("copies") > 1)
+    joined = salted_join(files, groups, ["name"], "inner", ["path"])
+    return joined.withColumn("keep", F.col("path") == F.col("_best.path")).drop("_best")
 
 
 def with_nulls(df: DataFrame, tokens: Sequence[str] = NULL_TOKENS, drop_undecodable: bool = True) -> DataFrame:
