@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from topicloom import streaming
 from topicloom.config import Cleaning
+from topicloom.plans import preprocess
 from topicloom.sources import files, store
 
 
@@ -84,6 +85,22 @@ def test_run_record_and_config(spark, tmp_path):
     assert store.read_config(spark, put(tmp_path / "c.json", '{"a": {"b": 1}}')) == {"a": {"b": 1}}
 
 
+def test_run_by_settings(spark, tmp_path):
+    put(tmp_path / "raw.csv", 'title,selftext,score\nT,one two three,6\nT,one two three,9\nT,,9\nT,"four, five six",1\n,seven eight nine,5\n')
+    config = {
+        "paths": {"raw_data_file": str(tmp_path / "raw.csv"), "processed_data_output_file": str(tmp_path / "kept.csv"),
+                  "dropped_rows_output_file": str(tmp_path / "gone.csv")},
+        "data_source": {"text_source_columns": ["title", "selftext"], "unique_id_column": "id", "required_columns_for_docs_creation": ["selftext"]},
+        "preprocessing": {"cleaning": {"apply_lowercase": True}, "filters": {
+            "apply_length_filter": True, "min_doc_length": 3, "max_doc_length": None, "apply_duplicate_removal": True,
+            "apply_score_filter": True, "score_column_for_filtering": "score", "min_score_for_filtering": 5}}}
+    kept = preprocess.run(spark, config)
+    assert sorted((r.id, r.docs, r.doc_len) for r in kept.collect()) == [(0, "t one two three", 4), (4, "seven eight nine", 3)]
+    parts = [r.path for r in files.list_files(spark, str(tmp_path / "gone.csv")).collect()]
+    assert {(r.id, r.reason) for r in files.read_csv(spark, parts).collect()} == {("1", "duplicate_text"), ("2", "missing_required"), ("3", "score_out_of_range")}
+    assert (tmp_path / "kept.csv").exists()
+
+
 def test_stream_equals_batch(spark, tmp_path):
     df = spark.createDataFrame([(i, f"Text <b>{i}</b> ") for i in range(20)] + [(99, "  ")], "id long, text string")
     df.write.parquet(str(tmp_path / "in"))

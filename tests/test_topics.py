@@ -89,6 +89,23 @@ def test_fit_finds_the_planted_topics(spark, model, tmp_path):
     assert m.hierarchy().count() == 2
 
 
+def test_train_saves_all_outputs_and_plots(spark, tmp_path, caplog):
+    texts, vectors, _ = planted(spark, 15)
+    docs = texts.withColumn("created", F.lit(1700000000) + F.col("doc_id") * 1000).withColumn("author", F.lit("x"))
+    cfg = Modeling(n_components=3, clustering=Clustering(8, 3), stop_words=None, min_topic_size=2)
+    m = modeling.train(docs, vectors, str(tmp_path), "r1", cfg)
+    read = lambda name: spark.read.parquet(str(tmp_path / "topic_info" / f"r1_{name}"))
+    assert read("document_info").count() == 45 and {"author", "name", "topic"} <= set(read("document_info").columns)
+    assert read("topic_info").filter("topic >= 0 and size(representative_docs) = 3").count() == 3
+    assert read("probabilities").count() == 45 and spark.read.json(str(tmp_path / "logs")).first().run_name == "r1"
+    made = modeling.plots(m, docs, vectors, time_col="created", nr_bins=3)
+    assert set(made) == set(explore.PLOT_KINDS) and all(df.count() for df in made.values())
+    assert made["topics_over_time"].agg(F.sum("frequency")).first()[0] == 45
+    assert set(modeling.plots(m, kinds=["heatmap", "documents"])) == {"heatmap"}
+    again = modeling.train(docs, vectors, "/proc/nowhere", "r2", cfg)
+    assert again.assignments.count() == 45 and "saving its outputs failed" in caplog.text
+
+
 def test_given_labels_and_fewer_topics(spark):
     texts, vectors, _ = planted(spark)
     labels = texts.select("doc_id", F.col("text").alias("cluster"))

@@ -548,6 +548,12 @@ def w1(spark, d):
     return sampling.sample_per_group(documents(spark, d).select("doc_id", "source"), "source", "doc_id", 200)
 
 
+@register("w1_sample_sizes", "SELECT source, least(count(*), 20) AS n FROM documents GROUP BY source")
+def w1_sizes(spark, d):
+    rows = sampling.sample_per_group(documents(spark, d).select("doc_id", "source"), "source", "doc_id", 20)
+    return rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+
+
 @register("w2_top_per_group", """SELECT source, doc_id, n_chars FROM documents
 QUALIFY row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) <= 5""")
 def w2(spark, d):

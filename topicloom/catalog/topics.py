@@ -242,6 +242,15 @@ def m9(spark, d):
     return represent.aspects(steps, *representation_inputs(spark, d))
 
 
+@register("m9_main_and_keywords", f"""WITH {SQL_DOC_VECTORS},
+kr AS (SELECT topic, row_number() OVER (PARTITION BY topic ORDER BY sim DESC, word) AS rank, word, sim FROM ks QUALIFY rank <= 10)
+SELECT 'Main' AS aspect, topic, rank, word, round(weight, 6) AS weight FROM tw
+UNION ALL SELECT 'aspect_0', topic, rank, word, round(sim, 6) FROM kr""")
+def m9_keywords(spark, d):
+    out = represent.aspects([{"model_name": "keywords"}], *representation_inputs(spark, d))
+    return out.withColumn("weight", F.round("weight", 6))
+
+
 # --- outliers -------------------------------------------------------------------
 
 SQL_WORD_SIDE = f"""{sql_ctfidf(SQL_NOISE_TOPIC)},
@@ -431,6 +440,13 @@ def e1(spark, d):
     return embed.HashedEmbedding.fit(docs).transform(docs)
 
 
+@register("e1_unit_length", f"SELECT doc_id, CASE WHEN len({SQL_TOKENS}) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS length FROM documents")
+def e1_length(spark, d):
+    docs = documents(spark, d)
+    size = embed.V.norm(F.col("embedding"))
+    return embed.HashedEmbedding.fit(docs).transform(docs).select("doc_id", F.round(size, 4).alias("length"))
+
+
 def encode_shape(texts):
     """A stand-in for a user's encoder: lengths, spaces, line ends."""
     import numpy as np
@@ -470,6 +486,13 @@ def e5(spark, d):
     return embed.power_transform(table(spark, d, "embeddings").select("vec_id", "embedding")).select("vec_id", "scaled")
 
 
+@register("e5_standardized", "SELECT CAST(d AS INTEGER) AS dim, 0.0::DOUBLE AS mean, 1.0::DOUBLE AS deviation FROM (SELECT DISTINCT generate_subscripts(embedding, 1) - 1 AS d FROM embeddings)")
+def e5_moments(spark, d):
+    scaled = embed.power_transform(table(spark, d, "embeddings").select("vec_id", "embedding"))
+    rows = scaled.select(F.posexplode("scaled").alias("dim", "v")).groupBy("dim").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
+    return rows.select("dim", (F.round("m", 4) + 0.0).alias("mean"), F.round("s", 4).alias("deviation"))
+
+
 @register("m1_density")
 def m1(spark, d):
     docs = documents(spark, d)

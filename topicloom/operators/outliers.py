@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tokens as K
+from .cleaning import with_computed
 from .joins import salted_join
 
 
@@ -76,7 +77,8 @@ def topic_distributions(
     tokens = K.terms(text_col, (1, 1), stop_words)
     last = F.greatest(F.size("_t") - (window - 1), F.lit(1))
     spans = F.transform(F.sequence(F.lit(1), last, F.lit(stride)), lambda i: F.slice("_t", i, F.lit(window)))
-    rows = docs.select(id_col, tokens.alias("_t")).filter(F.size("_t") > 0).select(id_col, F.posexplode(spans).alias("_win", "_span"))
+    rows = with_computed(docs, "_t", tokens)  # each window mentions the tokens
+    rows = rows.filter(F.size("_t") > 0).select(id_col, F.posexplode(spans).alias("_win", "_span"))
     counts = rows.select(id_col, "_win", F.explode(K.ngrams(F.col("_span"), *ngram_range)).alias("word")).groupBy(id_col, "_win", "word").agg(
         F.count(F.lit(1)).alias("tf")
     )

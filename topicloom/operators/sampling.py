@@ -58,6 +58,17 @@ def with_row_number(df: DataFrame, order: str, name: str = "row_number", start:
     return numbered if df.columns == [order] else df.join(numbered, order)
 
 
+def ensure_id(df: DataFrame, name: str = "id") -> DataFrame:
+    """The rows with an id column; if there is none, consecutive numbers from 0.
+
+    Rows without an id have no order to repeat, so the numbers are written once.
+    """
+    if name in df.columns:
+        return df
+    seated = materialize(df.withColumn("_seat", F.monotonically_increasing_id()))
+    return with_row_number(seated, "_seat", name).drop("_seat")
+
+
 def split_halves(df: DataFrame, order: str) -> tuple[DataFrame, DataFrame]:
     """First floor(n/2) rows by the unique order column, and the rest."""
     numbered = with_row_number(df.select(order), order, "_rn")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import logging
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -10,8 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Clustering, Modeling, to_json
-from ..operators import density, embed, explore, hierarchy, joins, outliers, similarity, terms
+from ..operators import density, embed, explore, hierarchy, joins, outliers, similarity, terms, trends
 from ..session import materialize
+from ..sources import store
+
+log = logging.getLogger(__name__)
 
 TABLES = ("assignments", "topic_vectors", "weights", "words", "floors")
 
@@ -130,3 +134,53 @@ def parameter_runs(reduced: DataFrame, grid: Sequence[Clustering], id_col: str =
     return out
 
 
+def train(
+    docs: DataFrame, vectors: DataFrame, output_dir: str, run_name: str, cfg: Modeling = Modeling(), id_col: str = "doc_id",
+    text_col: str = "text", labels: DataFrame | None = None, reduced: DataFrame | None = None,
+) -> TopicModel:
+    """Fit, then save model, topic info, document info, probabilities and a run record.
+
+    All other columns of ``docs`` are carried into the document info. If saving
+    fails the model is returned all the same, and the failure is logged.
+    """
+    model = fit(docs, vectors, cfg, id_col, text_col, labels, reduced)
+    try:
+        spark = docs.sparkSession
+        model.save(f"{output_dir}/models/{run_name}")
+        placed = vectors.select(id_col, "embedding").join(model.assignments.select(id_col, "topic"), id_col).filter("topic <> -1")
+        nearest = explore.representative_docs(placed, model.topic_vectors, 3, id_col)
+        texts = nearest.join(docs.select(id_col, F.col(text_col).alias("document")), id_col).select("topic", "rank", "document")
+        info = materialize(model.info(texts))
+        info.write.mode("overwrite").parquet(f"{output_dir}/topic_info/{run_name}_topic_info")
+        rows = explore.document_info(docs, model.assignments, info, id_col)
+        rows.write.mode("overwrite").parquet(f"{output_dir}/topic_info/{run_name}_document_info")
+        model.probabilities(vectors).write.mode("overwrite").parquet(f"{output_dir}/topic_info/{run_name}_probabilities")
+        store.record_run(spark, f"{output_dir}/logs", run_name, cfg)
+    except Exception:
+        log.exception("run %s: the model is fitted, but saving its outputs failed", run_name)
+    return model
+
+
+def plots(
+    model: TopicModel, docs: DataFrame | None = None, vectors: DataFrame | None = None, kinds: Sequence[str] | None = None,
+    time_col: str | None = None, text_col: str = "text", nr_bins: int | None = None, per_topic: int | None = None,
+) -> dict[str, DataFrame]:
+    """The tables behind the plots of a model. The trend needs ``docs`` with a
+    time column, the document map needs ``vectors``."""
+    key = model.id_col
+    assigned = model.assignments.select(key, "topic")
+    words = {"ngram_range": model.config.ngram_range, "stop_words": model.config.stop_words}
+    makers = {
+        "topics": lambda: explore.topic_map(model.topic_vectors, assigned),
+        "hierarchy": model.hierarchy,
+        "barchart": lambda: explore.bar_data(model.weights.filter("topic <> -1"), assigned),
+        "heatmap": lambda: similarity.topic_similarity(model.topic_vectors.filter("topic <> -1")),
+    }
+    if vectors is not None:
+        layout = lambda: explore.layout_points(vectors.select(key, "embedding").join(assigned, key), key)
+        makers["documents"] = lambda: explore.scatter_data(layout(), explore.topic_labels(model.words), per_topic, id_col=key)
+    has_time = docs is not None and time_col is not None and time_col in docs.columns
+    if has_time:
+        rows = docs.select(key, text_col, time_col).join(assigned, key)
+        makers["topics_over_time"] = lambda: trends.topics_over_time(rows, time_col, model.weights, nr_bins, text_col=text_col, **words)
+    return explore.plot_tables(makers, kinds, has_time)

@@ -8,16 +8,19 @@ score rule is therefore gone, even if it scores well itself.
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Preprocessing
 from ..functions import text as T
-from ..operators.cleaning import clean_into
+from ..operators.cleaning import clean_into, with_computed
 from ..operators.dedupe import digest, flag_later_copies
 from ..operators.filters import has_required, length_ok, score_ok
-from ..session import materialize
+from ..operators.sampling import ensure_id
+from ..session import materialize, scratch_path
+from ..sources import files
 
 
 def _reason(rules: list[tuple[Column, str, str]]) -> Column:
@@ -48,7 +51,8 @@ def flag_rows(df: DataFrame, cfg: Preprocessing, hook: Callable[[DataFrame], Dat
             (~length_ok(F.col("_len"), lo, None), "length", "too_short"),
             (~length_ok(F.col("_len"), None, hi), "length", "too_long"),
         ]
-    df = df.select(*carried, F.col("_clean").alias("docs"), length.alias("_len"), F.col("_clean")).withColumn("_why", _reason(rules))
+    df = with_computed(df, "_len", length) if flt.length_filter else df
+    df = df.withColumns({"docs": F.col("_clean"), "_why": _reason(rules)})
     if flt.duplicate_removal:
         # written once with its digest: the grouping then reads ids and digests
         # only, and no text is cleaned twice
@@ -89,3 +93,26 @@ def survival_report(flagged: DataFrame, group: str) -> DataFrame:
     return flagged.groupBy(
         group, F.coalesce(F.col("stage"), F.lit("kept")).alias("stage"), F.coalesce(F.col("reason"), F.lit("kept")).alias("reason")
     ).agg(F.count(F.lit(1)).alias("rows"))
+
+
+def run(spark: SparkSession, config: dict[str, Any], hook: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """A whole run by its nested settings: read, flag, write both outputs, return the kept rows.
+
+    ``paths`` names ``raw_data_file`` (CSV, or a folder of Parquet files),
+    ``processed_data_output_file`` and ``dropped_rows_output_file``. Outputs
+    are CSV datasets; one without rows is not written.
+    """
+    cfg, paths = Preprocessing.from_dict(config), config["paths"]
+    source = paths["raw_data_file"]
+    if source.endswith(".csv"):
+        parts = [r.path for r in files.list_files(spark, source).select("path").collect()]
+        score = cfg.filters.score_column_for_filtering
+        raw = files.read_csv(spark, parts, {**files.TYPES, **({score: "double"} if score else {})})
+    else:
+        raw = spark.read.parquet(source)
+    raw = ensure_id(raw, cfg.source.unique_id_column)
+    kept, removed = write_flagged(flag_rows(raw, cfg, hook), scratch_path(spark, "flagged"))
+    for rows, name in ((kept, "processed_data_output_file"), (removed, "dropped_rows_output_file")):
+        if paths.get(name) and not rows.isEmpty():
+            files.write_csv(rows, paths[name])
+    return kept
