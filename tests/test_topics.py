@@ -116,6 +116,14 @@ def test_given_labels_and_fewer_topics(spark):
     assert info[1]["name"].startswith("1_") and info[1]["count"] == 40 and len(info[1].representation) == 4
 
 
+def test_a_model_of_outliers_only(spark):
+    texts, vectors, _ = planted(spark, 4)
+    m = modeling.fit(texts, vectors, Modeling(n_components=2, clustering=Clustering(50, 5), stop_words=None))
+    assert {r.topic for r in m.assignments.collect()} == {-1}
+    assert {r.topic for r in m.transform(vectors).collect()} == {-1} and m.transform(vectors).count() == 12
+    assert m.info().count() == 1
+
+
 def test_missing_vectors_raise(spark):
     texts, vectors, _ = planted(spark, 5)
     with pytest.raises(ValueError):

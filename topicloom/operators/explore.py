@@ -47,6 +47,8 @@ def own_similarity(
                 yield pd.DataFrame({id_col: pdf[id_col], "topic": pdf["topic"], "similarity": np.einsum("ij,ij->i", S._matrix(pdf[vector]), own)})
 
         parts.append(slim.mapInPandas(score, f"`{id_col}` {kind}, topic int, similarity double"))
+    if not parts:
+        return rows.sparkSession.createDataFrame([], f"`{id_col}` {kind}, topic int, similarity double")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

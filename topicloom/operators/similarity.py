@@ -101,32 +101,22 @@ def topic_similarity(topics: DataFrame, others: DataFrame | None = None, topic_c
     return sims.select(F.col("_a").alias("topic"), F.col("topic").alias("other"), "similarity")
 
 
-def probabilities(
-    rows: DataFrame, topics: DataFrame, id_col: str = "doc_id", vector: str = "embedding",
-    topic_col: str = "topic", topic_vector: str = "vector", block_bytes: int = BLOCK_BYTES,
-) -> DataFrame:
-    """``id, topic, probability``: similarities clipped at 0, scaled to sum 1 per row."""
-    sims = similarities(rows, topics, id_col, vector, topic_col, topic_vector, None, block_bytes)
-    clipped = sims.withColumn("_p", F.greatest(F.col("similarity"), F.lit(0.0)))
-    total = F.sum("_p").over(Window.partitionBy(id_col))  # one row per topic
-    return clipped.withColumn("_t", total).select(
-        id_col, "topic", F.when(F.col("_t") > 0, F.col("_p") / F.col("_t")).otherwise(F.lit(0.0)).alias("probability")
-    )
-
-
 def probability_arrays(
     rows: DataFrame, topics: DataFrame, id_col: str = "doc_id", vector: str = "embedding",
     topic_col: str = "topic", topic_vector: str = "vector", block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """``id, topics, probabilities`` as arrays in topic order; no shuffle for one block."""
+    """``id, topics, probabilities``: similarities clipped at 0, scaled to sum 1, in topic order.
+
+    One block of topics needs no shuffle.
+    """
     blocks = list(_blocks(topics, topic_col, topic_vector, block_bytes))
     kind = _type(topics, topic_col)
     if len(blocks) != 1:
-        long = probabilities(rows, topics, id_col, vector, topic_col, topic_vector, block_bytes)
-        pairs = F.sort_array(F.collect_list(F.struct("topic", "probability")))
-        return long.groupBy(id_col).agg(pairs.alias("_p")).select(
-            id_col, F.col("_p.topic").alias("topics"), F.col("_p.probability").alias("probabilities")
-        )
+        sims = similarities(rows, topics, id_col, vector, topic_col, topic_vector, None, block_bytes)
+        clipped = F.struct("topic", F.greatest(F.col("similarity"), F.lit(0.0)).alias("p"))
+        listed = sims.groupBy(id_col).agg(F.sort_array(F.collect_list(clipped)).alias("_p"), F.sum(clipped["p"]).alias("_t"))  # one entry per topic
+        share = F.transform("_p", lambda e: F.coalesce(e["p"] / F.nullif(F.col("_t"), F.lit(0.0)), F.lit(0.0)))
+        return listed.select(id_col, F.col("_p.topic").alias("topics"), share.alias("probabilities"))
     ids, m = blocks[0]
 
     def score(batches):
@@ -142,6 +132,16 @@ def probability_arrays(
     return rows.select(id_col, vector).mapInPandas(score, schema)
 
 
+def probabilities(
+    rows: DataFrame, topics: DataFrame, id_col: str = "doc_id", vector: str = "embedding",
+    topic_col: str = "topic", topic_vector: str = "vector", block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """``id, topic, probability``, one row per topic."""
+    arrays = probability_arrays(rows, topics, id_col, vector, topic_col, topic_vector, block_bytes)
+    each = arrays.select(id_col, F.explode(F.arrays_zip("topics", "probabilities")).alias("e"))
+    return each.select(id_col, F.col("e.topics").alias("topic"), F.col("e.probabilities").alias("probability"))
+
+
 def similarity_floor(assigned: DataFrame, quantile: float = 0.05, bins: int = FLOOR_BINS) -> DataFrame:
     """``topic, floor``: lower edge of the bin that holds each topic's quantile.
 
@@ -164,6 +164,8 @@ def assign(
 
     ``floors`` has one row per topic.
     """
+    if topics.isEmpty():  # nothing but outliers
+        return rows.select(id_col, F.lit(-1).alias("topic"), F.lit(None).cast("double").alias("similarity"))
     best = similarities(rows, topics, id_col, vector, top=1, block_bytes=block_bytes)
     if floors is None:
         return best

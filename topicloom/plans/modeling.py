@@ -43,8 +43,9 @@ class TopicModel:
 
     def own_probability(self, vectors: DataFrame) -> DataFrame:
         """``id, topic, probability`` of the topic each document has."""
-        long = similarity.probabilities(vectors, self.topic_vectors.filter(F.col("topic") != -1), self.id_col)
-        return self.assignments.select(self.id_col, "topic").join(long, [self.id_col, "topic"], "left").na.fill(0.0, ["probability"])
+        own = F.get(F.col("probabilities"), (F.array_position("topics", F.col("topic")) - 1).cast("int"))
+        joined = self.assignments.select(self.id_col, "topic").join(self.probabilities(vectors), self.id_col, "left")
+        return joined.select(self.id_col, "topic", F.coalesce(own, F.lit(0.0)).alias("probability"))
 
     def hierarchy(self, linkage: str | None = None) -> DataFrame:
         return hierarchy.topic_hierarchy(self.topic_vectors, linkage or self.config.linkage)
