@@ -10,6 +10,7 @@ sys.path[:0] = [str(Path(__file__).resolve().parents[1]), str(Path(__file__).res
 def spark():
     from topicloom.session import local_session
 
-    s = local_session(4, "tests", "8g")
+    s = local_session(8, "tests", "8g")
+    s.conf.set("spark.sql.shuffle.partitions", "4")
     s.sparkContext.setLogLevel("ERROR")
     return s
