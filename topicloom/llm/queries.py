@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding
+from . import chat, mixing, sharding, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
 
 def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents")).taken
@@ -24,5 +26,59 @@ def op3_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_mixing, op3_sharding)}
-ORACLES: dict[str, str] = {}
+def op4_chat(spark: SparkSession, folder: str) -> DataFrame:
+    rendered = chat.rotate(table(spark, folder, "conversations"))
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return rendered.select("conv_id", "segment", "part", "participant", "n_turns", "text", spans.alias("loss_spans"))
+
+
+OP4_SQL = """
+WITH t AS (
+  SELECT conv_id, CAST(floor(turn / 1024.0) AS BIGINT) AS segment, turn, coalesce(role, '') AS speaker, coalesce(text, '') AS body
+  FROM conversations
+), p AS (
+  SELECT DISTINCT conv_id, speaker AS participant FROM t WHERE speaker NOT IN ('', 'system')
+), m AS (
+  SELECT t.*, participant, '<|im_start|>' || CASE WHEN speaker = participant THEN 'assistant' WHEN speaker = 'system' THEN 'system'
+    WHEN speaker = '' THEN 'user' ELSE 'user name=' || speaker END || chr(10) AS head
+  FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id
+), s AS (
+  SELECT *, head || body || '<|im_end|>' || chr(10) AS piece,
+    coalesce(sum(length(head || body || '<|im_end|>' || chr(10))) OVER (PARTITION BY conv_id, segment, participant
+      ORDER BY turn, speaker, body ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS begins
+  FROM m
+)
+SELECT conv_id, segment, CAST(0 AS BIGINT) AS part, participant, count(*) AS n_turns,
+  string_agg(piece, '' ORDER BY turn, speaker, body) AS text,
+  coalesce(string_agg(CAST(begins AS BIGINT) || '-' || CAST(begins + length(body) AS BIGINT), ',' ORDER BY turn, speaker, body)
+    FILTER (speaker = participant), '') AS loss_spans
+FROM s GROUP BY conv_id, segment, participant
+"""
+
+
+def op7_urls(spark: SparkSession, folder: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urls.judge(table(spark, folder, "pages"), rules)
+
+
+OP7_SQL = """
+WITH u AS (
+  SELECT page_id, CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), p AS (
+  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM u
+), r AS (
+  SELECT page_id, host, path, CASE
+    WHEN ends_with('.' || host, '.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN ends_with('.' || host, '.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN ends_with('.' || host, '.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN ends_with('.' || host, '.net') AND starts_with(path, '/') THEN 'net/'
+  END AS rule
+  FROM p
+)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM r
+"""
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_mixing, op3_sharding, op4_chat, op7_urls)}
+ORACLES: dict[str, str] = {"op4_chat": OP4_SQL, "op7_urls": OP7_SQL}
