@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, sharding, urls
+from . import chat, mixing, quality, sharding, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,5 +80,19 @@ WITH u AS (
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM r
 """
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_mixing, op3_sharding, op4_chat, op7_urls)}
+QUALITY_LEAST = 0.7
+
+
+def held_out():
+    return F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 4 == 2
+
+
+def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, folder, "labels").filter(~held_out()))
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= QUALITY_LEAST).cast("int").alias("predicted"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_mixing, op3_sharding, op4_chat, op7_urls, op8_quality)}
 ORACLES: dict[str, str] = {"op4_chat": OP4_SQL, "op7_urls": OP7_SQL}
