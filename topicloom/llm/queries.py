@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, mixing, quality, sharding, urls
+from . import chat, decontam, mixing, neardup, quality, sharding, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,6 +91,10 @@ FROM s GROUP BY conv_id, segment, participant
 """
 
 
+def op5_neardup(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, folder, "documents"))
+
+
 def op7_urls(spark: SparkSession, folder: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return urls.judge(table(spark, folder, "pages"), rules)
@@ -129,5 +133,5 @@ def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= QUALITY_LEAST).cast("int").alias("predicted"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontam, op2_mixing, op3_sharding, op4_chat, op7_urls, op8_quality)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontam, op2_mixing, op3_sharding, op4_chat, op5_neardup, op7_urls, op8_quality)}
 ORACLES: dict[str, str] = {"op1_decontam": OP1_SQL, "op4_chat": OP4_SQL, "op7_urls": OP7_SQL}
