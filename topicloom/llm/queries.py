@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, mixing, neardup, quality, sharding, urls
+from . import ann, chat, decontam, mixing, neardup, quality, sharding, urls, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,6 +95,15 @@ def op5_neardup(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, folder, "documents"))
 
 
+def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    kind = pages.schema["page_id"].dataType
+    archives = warc.write(pages, warc.archive_folder(spark))
+    return warc.read(archives, with_payload=False).select(
+        F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to")
+    )
+
+
 def op7_urls(spark: SparkSession, folder: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return urls.judge(table(spark, folder, "pages"), rules)
@@ -133,5 +142,9 @@ def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= QUALITY_LEAST).cast("int").alias("predicted"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontam, op2_mixing, op3_sharding, op4_chat, op5_neardup, op7_urls, op8_quality)}
+def op9_ann(spark: SparkSession, folder: str) -> DataFrame:
+    return ann.nearest(table(spark, folder, "embeddings"), F.col("id") % 50 == 0)
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontam, op2_mixing, op3_sharding, op4_chat, op5_neardup, op6_warc, op7_urls, op8_quality, op9_ann)}
 ORACLES: dict[str, str] = {"op1_decontam": OP1_SQL, "op4_chat": OP4_SQL, "op7_urls": OP7_SQL}
