@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, mixing, neardup, quality, sharding, urls, warc
+from . import ann, chat, decontam, html, mixing, neardup, quality, sharding, urls, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -146,5 +146,9 @@ def op9_ann(spark: SparkSession, folder: str) -> DataFrame:
     return ann.nearest(table(spark, folder, "embeddings"), F.col("id") % 50 == 0)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontam, op2_mixing, op3_sharding, op4_chat, op5_neardup, op6_warc, op7_urls, op8_quality, op9_ann)}
+def op10_html(spark: SparkSession, folder: str) -> DataFrame:
+    return html.extract(table(spark, folder, "pages"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontam, op2_mixing, op3_sharding, op4_chat, op5_neardup, op6_warc, op7_urls, op8_quality, op9_ann, op10_html)}
 ORACLES: dict[str, str] = {"op1_decontam": OP1_SQL, "op4_chat": OP4_SQL, "op7_urls": OP7_SQL}
