@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.sampling import with_row_number
-from .common import stage
+from .common import stage, unit_interval
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: documents per packing bucket: the rows of a source are numbered bucket by bucket
@@ -147,10 +147,14 @@ def packed(sized: DataFrame, sources: DataFrame) -> DataFrame:
         docs.withColumn("_run", F.sum("size").over(within))
         .join(offsets.drop("_size"), ["rank", "_bucket"])
         .withColumn("start", F.col("_offset") + F.col("_run") - F.col("size"))
-        .select("doc_id", "size", "rank", "source_size", "target", "start")
+        .select("doc_id", F.col("_hash").alias("doc_key"), "size", "rank", "source_size", "target", "start")
     )
 
 
+def doc_key(seed: int) -> Column:
+    return F.xxhash64("doc_id", "text", F.lit(seed))
+
+
 def mix(
     docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, block_words: int = 1024, shard_blocks: int = 256, seed: int = 42
 ) -> Mix:
@@ -161,7 +165,7 @@ def mix(
             "doc_id", source.alias("source"),
             F.when(source.isNull(), "1").otherwise(F.concat(F.lit("0"), source)).alias("_key"),
             F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            F.xxhash64("doc_id", "text", F.lit(seed)).alias("_hash"),
+            doc_key(seed).alias("_hash"),
         )
     )
     sources = stage(targets(sized, weights, cap))
@@ -179,9 +183,26 @@ def mix(
     words = (F.col("_hi") - F.col("_lo")) * F.coalesce("_times", F.lit(0)) + F.greatest(F.least("_hi", F.coalesce("_cut", F.lit(0))) - F.col("_lo"), F.lit(0))
     with_words = (
         pieces.join(blocks, ["rank", "block"], "left")
-        .groupBy("rank", "start", "doc_id", "size", "source_size", "target")
+        .groupBy("rank", "start", "doc_id", "doc_key", "size", "source_size", "target")
         .agg(F.sum(words).alias("taken"))
     )
-    columns = ["doc_id", "size", "source_size", "target", "taken"]
-    without = sized.filter("size = 0").join(sources.select("_key", "source_size", "target"), "_key").withColumn("taken", F.lit(0).cast("long"))
+    columns = ["doc_id", "size", "source_size", "target", "taken", "doc_key"]
+    without = sized.withColumnRenamed("_hash", "doc_key").filter("size = 0").join(sources.select("_key", "source_size", "target"), "_key").withColumn("taken", F.lit(0).cast("long"))
     return Mix(sources, slots, with_words.select(columns).unionByName(without.select(columns)))
+
+
+def repeated(docs: DataFrame, seed: int = 42, **settings) -> DataFrame:
+    """The mix in whole documents, with all columns of ``docs``.
+
+    A document stands in it as often as its words are taken on average, a
+    fraction being rounded by a repeatable draw. Documents without words stay once.
+    """
+    taken = mix(docs, seed=seed, **settings).taken
+    share = taken.groupBy("doc_id", "doc_key").agg(F.avg(F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(1.0)).alias("_share"))
+    times = stage(
+        share.select(F.col("doc_id").alias("_id"), F.col("doc_key").alias("_key"), F.floor(F.col("_share") + unit_interval(F.col("doc_key"), seed)).cast("int").alias("_times"))
+        .filter("_times > 0")
+    )
+    keyed = docs.withColumn("_own", doc_key(seed))
+    joined = keyed.join(times, (F.col("_own") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(docs.columns)

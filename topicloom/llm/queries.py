@@ -51,7 +51,8 @@ FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 
 
 def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
-    return mixing.mix(table(spark, folder, "documents")).taken
+    taken = mixing.mix(table(spark, folder, "documents")).taken
+    return taken.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op3_sharding(spark: SparkSession, folder: str) -> DataFrame:
