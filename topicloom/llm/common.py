@@ -84,8 +84,10 @@ class Words:
     def grams(self, k: int) -> np.ndarray:
         """Hash of the k words from each position; only positions of :meth:`gram_starts` are whole."""
         n = len(self.hashes)
+        if n < k:
+            return np.zeros(0, np.uint64)
         with np.errstate(over="ignore"):
-            out = np.zeros(max(n - k + 1, 0), np.uint64)
+            out = np.zeros(n - k + 1, np.uint64)
             for i in range(k):
                 out = (out + self.hashes[i : n - k + 1 + i]) * ODD
         return mixed(out)

@@ -102,7 +102,7 @@ class Trees:
         trees, rows = np.arange(n_trees)[None, :], np.arange(len(x))[:, None]
         for _ in range((inner + 1).bit_length() - 1):
             at = 2 * at + 1 + (x[rows, self.feature[trees, at]] > self.threshold[trees, at])
-        margin = self.base + (self.leaf[trees, at - inner].sum(axis=1) if n_trees else 0.0)
+        margin = self.base + self.leaf[trees, at - inner].sum(axis=1)
         return 1 / (1 + np.exp(-margin))
 
 
