@@ -95,7 +95,7 @@ class Writer:
         self.system, path = file_system(folder)
         self.name = f"{uuid.uuid4().hex}.warc.zst"
         self.system.create_dir(path, recursive=True)
-        self.out = self.system.open_output_stream(f"{path}/{self.name}")
+        self.out = self.system.open_output_stream(f"{path}/{self.name}", compression=None)
         self.dictionary_bytes, self.train_bytes, self.level = dictionary_bytes, train_bytes, level
         self.held: list[bytes] = []
         self.held_bytes = self.payload_bytes = self.n = 0
@@ -211,7 +211,7 @@ def read(archives: DataFrame, with_payload: bool = True) -> DataFrame:
             for path in batch.column("archive").to_pylist():
                 system, inner = file_system(path)
                 rows, size = [], 0
-                with system.open_input_stream(inner) as stream:
+                with system.open_input_stream(inner, compression=None) as stream:
                     for raw in records_of(stream):
                         rows.append(read_one(raw, with_payload))
                         size += len(rows[-1][-1] or b"") + 200
