@@ -113,6 +113,9 @@ def test_filters_that_do_nothing_or_raise(spark):
     many = list(range(1500))
     rows = spark.createDataFrame([(i, i % 2000) for i in range(4000)], "doc_id long, topic int")
     assert filters.topic_members(rows, many).count() == 3000
+    named = rows.withColumn("topic", F.concat(F.lit("t"), "topic"))
+    assert filters.topic_members(named, [f"t{i}" for i in range(1001)]).count() == 2002
+    assert filters.topic_members(named, ["t1", "t1", "none"]).count() == 2 and filters.topic_members(named, []).count() == 0
 
 
 def test_units(spark):

@@ -202,6 +202,27 @@ def test_mmr_by_hand(spark):
     assert best.word == "b"
 
 
+def test_no_hidden_bound_on_words(spark):
+    words = spark.createDataFrame([(0, i + 1, f"w{i}", 1.0 / (i + 1)) for i in range(40)], "topic int, rank long, word string, weight double")
+    wv = spark.createDataFrame([(f"w{i}", [1.0, float(i)]) for i in range(40)], "word string, vector array<double>")
+    tv = spark.createDataFrame([(0, [1.0, 0.2])], "topic int, vector array<double>")
+    assert represent.diverse_words(words, tv, wv, 0.3, 40).count() == 40
+    chain = [{"chain": [{"model_name": "keywords", "params": {"top_n_words": 40}}, {"model_name": "diverse", "params": {"top_n_words": 40}}]}]
+    assert represent.aspects(chain, words.drop("rank"), tv, wv).filter("aspect = 'aspect_0'").count() == 40
+    assert represent.most_candidates([{"model_name": "keywords", "params": {"nr_candidate_words": 250}}]) == 250
+
+
+def test_layout_of_few_topics(spark):
+    one = spark.createDataFrame([(0, [1.0, 2.0, 3.0])], "topic int, vector array<double>")
+    rows = spark.createDataFrame([(1, 0)], "doc_id long, topic int")
+    assert [(r.x, r.y, r.size) for r in explore.topic_map(one, rows).collect()] == [(0.0, 0.0, 1)]
+    thin = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(3)], "id long, embedding array<double>")
+    assert all(len(r.reduced) == 5 and r.reduced[2:] == [0.0] * 3 for r in embed.reduce_vectors(thin, 5).collect())
+    layout = spark.createDataFrame([(0, 60.0, -30.0), (70, 1.0, 2.0)], "topic int, x double, y double")
+    words = spark.createDataFrame([(t, 1, "a", 1.0) for t in (0, 70)], "topic int, rank long, word string, weight double")
+    assert explore.label_positions(layout, words).count() == 2
+
+
 def test_aspect_settings(caplog):
     assert represent.aspect_steps(None) == {} and represent.aspect_steps({"model_name": "Nope"}) == {} and represent.aspect_steps(3) == {}
     got = represent.aspect_steps([{"model_name": "KeyBERTInspired"}, {"bad": 1}, {"model_name": "MaximalMarginalRelevance", "aspect_name": "x", "params": {"diversity": 0.2}}])

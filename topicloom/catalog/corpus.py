@@ -377,7 +377,7 @@ def n3(spark, d):
 def j1(spark, d):
     rows = units.sentence_units(documents(spark, d), "doc_id", "text", (), ["lang", "source"]).drop("text", "unit_type")
     meta = table(spark, d, "labels").withColumn("doc_id", F.col("doc_id").cast("string"))
-    return joins.left_metadata(rows, meta, "doc_id", ["unit_id"], ["quality"])
+    return joins.left_metadata(rows, meta, "doc_id", ["quality"])
 
 
 @register("j2_document_metadata", "SELECT d.doc_id, source, quality, toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")

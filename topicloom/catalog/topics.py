@@ -462,10 +462,10 @@ def e1_user(spark, d):
     return out.select("doc_id", e[0].cast("double").alias("chars"), e[1].cast("double").alias("spaces"), e[2].cast("double").alias("line_ends"))
 
 
-@register("e2_empty_corpus", "SELECT doc_id, text AS embedding FROM documents WHERE false")
+@register("e2_empty_corpus", "SELECT doc_id, text AS embedding FROM documents WHERE length(text) < 1")
 def e2(spark, d):
-    """No documents give no vectors, with the same schema."""
-    docs = documents(spark, d).filter(F.lit(False))
+    """A corpus of which no document has text gives no vectors, with the same schema."""
+    docs = documents(spark, d).filter(F.length("text") < 1)
     return embed.embed_texts(docs, lambda: encode_shape).withColumn("embedding", F.array_join(F.col("embedding").cast("array<string>"), " "))
 
 
@@ -568,11 +568,11 @@ def q5(spark, d):
 def search_terms(spark: SparkSession, d: str) -> DataFrame:
     """Search phrases: the benchmark items, with the vector of the same number."""
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("pos"), "embedding")
-    items = table(spark, d, "benchmark").select(F.col("item_id").alias("pos"), F.substring("text", 1, 12).alias("term"))
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("pos"), F.col("text").alias("term"))
     return items.join(v, "pos")
 
 
-SQL_HITS = f"""WITH {SQL_VECTORS}, hits AS (SELECT vec_id AS pos, text[1:12] AS term, topic, similarity FROM sims JOIN benchmark ON vec_id = item_id
+SQL_HITS = f"""WITH {SQL_VECTORS}, hits AS (SELECT vec_id AS pos, text AS term, topic, similarity FROM sims JOIN benchmark ON vec_id = item_id
 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY similarity DESC, topic) <= 5) """
 
 
@@ -650,7 +650,7 @@ def v5(spark, d):
 
 @register("v6_label_positions", f"""WITH {sql_ctfidf(SQL_SOURCE_TOPIC)}, l AS (SELECT topic, string_agg(word, ' - ' ORDER BY rank) AS label FROM tw WHERE rank <= 3 GROUP BY topic),
 c AS (SELECT label AS topic, round(avg(embedding[1]::DOUBLE), 6) AS x, round(avg(embedding[2]::DOUBLE), 6) AS y FROM embeddings GROUP BY ALL)
-SELECT topic, x, y, l.label FROM c JOIN l USING (topic) WHERE topic <= 50""")
+SELECT topic, x, y, l.label FROM c JOIN l USING (topic)""")
 def v6(spark, d):
     p = explore.label_positions(plane(spark, d), words_of(by_source(spark, d)))
     return p.select("topic", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "label")

@@ -109,9 +109,15 @@ def reduce_vectors(rows: DataFrame, k: int = 5, vector: str = "embedding", unit:
     """Unit length, then the first ``k`` principal components.
 
     Principal components are linear: they keep the broad structure of a
-    non-linear layout but not its local neighbourhoods.
+    non-linear layout but not its local neighbourhoods. Components that the
+    data do not have (one row, or fewer dimensions than ``k``) are 0.
     """
-    return apply_pca(rows, fit_pca(rows, k, vector, unit), vector, unit, name)
+    some = rows.filter(F.col(vector).isNotNull()).select(F.size(vector).alias("d")).limit(2).collect()
+    if len(some) < 2:
+        return rows.withColumn(name, F.array_repeat(F.lit(0.0), k))
+    have = min(k, some[0].d)
+    out = apply_pca(rows, fit_pca(rows, have, vector, unit), vector, unit, name)
+    return out if have == k else out.withColumn(name, F.concat(name, F.array_repeat(F.lit(0.0), k - have)))
 
 
 # --- power transform ------------------------------------------------------------

@@ -126,9 +126,10 @@ def topic_centroids(layout: DataFrame) -> DataFrame:
     return layout.groupBy("topic").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
 
 
-def label_positions(layout: DataFrame, words: DataFrame, max_topic: int = 50) -> DataFrame:
-    """Centroid and three-word label of topics up to ``max_topic``."""
-    return topic_centroids(layout.filter(F.col("topic") <= max_topic)).join(topic_labels(words), "topic")
+def label_positions(layout: DataFrame, words: DataFrame, max_topic: int | None = None) -> DataFrame:
+    """Centroid and three-word label of all topics, or of those up to ``max_topic``."""
+    chosen = layout if max_topic is None else layout.filter(F.col("topic") <= max_topic)
+    return topic_centroids(chosen).join(topic_labels(words), "topic")
 
 
 def topic_map(topic_vectors: DataFrame, assigned: DataFrame) -> DataFrame:
@@ -150,9 +151,9 @@ def layout_points(rows: DataFrame, id_col: str = "doc_id", vector: str = "embedd
     return flat.select(id_col, "topic", F.col("_xy")[0].alias("x"), F.col("_xy")[1].alias("y"))
 
 
-def scatter_data(layout: DataFrame, labels: DataFrame, per_topic: int | None = None, bound: float = 10.0, id_col: str = "doc_id") -> DataFrame:
-    """Labelled points without outliers, inside the box; optionally a sample per topic."""
-    rows = inside_box(drop_outliers(layout), bound)
+def scatter_data(layout: DataFrame, labels: DataFrame, per_topic: int | None = None, bound: float | None = None, id_col: str = "doc_id") -> DataFrame:
+    """Labelled points without outliers; optionally inside a box, and a sample per topic."""
+    rows = drop_outliers(layout) if bound is None else inside_box(drop_outliers(layout), bound)
     if per_topic is not None:
         rows = sample_per_group(rows, "topic", id_col, per_topic)
     return with_topic_label(rows, labels, "topic", id_col)

@@ -7,6 +7,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from ..functions import text as T
 from .joins import salted_join, semi_rows
@@ -22,7 +23,6 @@ OPERATORS = {
     "between": lambda c, v: c.between(*v),
     "contains": lambda c, v: c.contains(v),
 }
-MAX_INLINE_TOPICS = 1000
 
 
 def keep_existing(df: DataFrame, wanted: Sequence[str]) -> DataFrame:
@@ -120,10 +120,10 @@ def mentions_removal(column: str = "text") -> Column:
     return T.contains_pattern(column, T.PLACEHOLDER_LOOSE)
 
 
-def topic_members(df: DataFrame, topics: Sequence[int], topic_col: str = "topic", id_col: str = "doc_id") -> DataFrame:
-    if len(topics) <= MAX_INLINE_TOPICS:
-        return df.filter(F.col(topic_col).isin(list(topics)))
-    wanted = df.sparkSession.createDataFrame([(t,) for t in topics], f"{topic_col} int")
+def topic_members(df: DataFrame, topics: Sequence[Any], topic_col: str = "topic", id_col: str = "doc_id") -> DataFrame:
+    """Rows of the listed topics, of any number and of the column's type."""
+    kind = T_.StructType([T_.StructField(topic_col, df.schema[topic_col].dataType)])
+    wanted = df.sparkSession.createDataFrame([(t,) for t in topics], kind)
     return semi_rows(df, wanted, topic_col, [id_col])
 
 

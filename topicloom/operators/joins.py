@@ -33,11 +33,15 @@ def salted_join(
     return a.join(b, [*keys, "_salt"], how).drop("_salt")
 
 
-def left_metadata(rows: DataFrame, meta: DataFrame, key: str, spread: Sequence[str] = (), columns: Sequence[str] | None = None) -> DataFrame:
-    """Rows (e.g. sentences) with the chosen columns of their parent; none are lost."""
+def left_metadata(rows: DataFrame, meta: DataFrame, key: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """Rows (e.g. sentences) with the chosen columns of their parent; none are lost.
+
+    A parent has few rows, so its key needs no salt; adaptive execution splits
+    what skew there is.
+    """
     if columns is not None:
         meta = meta.select(key, *[c for c in columns if c != key])
-    return salted_join(rows, meta, [key], "left", spread)
+    return rows.join(meta, key, "left")
 
 
 def anti_rows(all_rows: DataFrame, kept: DataFrame, key: str) -> DataFrame:

@@ -19,6 +19,7 @@ from .terms import top_words
 
 log = logging.getLogger(__name__)
 CANDIDATES = 100
+DIVERSE_CANDIDATES = 30
 
 
 def word_vectors(
@@ -47,14 +48,14 @@ def keywords_by_similarity(
 
 
 def diverse_words(
-    words: DataFrame, topic_vectors: DataFrame, vectors_of_words: DataFrame, diversity: float = 0.3, n: int = 10, candidates: int = 30
+    words: DataFrame, topic_vectors: DataFrame, vectors_of_words: DataFrame, diversity: float = 0.3, n: int = 10, candidates: int | None = None
 ) -> DataFrame:
-    """Maximal marginal relevance over each topic's first ``candidates`` words.
+    """Maximal marginal relevance over each topic's words, or its first ``candidates``.
 
     Chosen words keep their order and weight.
     """
     pool = (
-        words.filter(F.col("rank") <= candidates)
+        (words if candidates is None else words.filter(F.col("rank") <= candidates))
         .join(vectors_of_words.withColumnRenamed("vector", "_w"), "word")
         .join(topic_vectors.select("topic", F.col("vector").alias("_t")), "topic")
     )
@@ -122,6 +123,13 @@ def aspect_steps(config: Any) -> dict[str, list[tuple[str, dict]]]:
     return out
 
 
+def most_candidates(config: Any) -> int:
+    """Words per topic that need a vector for these settings."""
+    steps = [(step, params) for chain in aspect_steps(config).values() for step, params in chain]
+    default = {"keywords": CANDIDATES, "diverse": DIVERSE_CANDIDATES}
+    return max([CANDIDATES, *(params.get("nr_candidate_words", default[step]) for step, params in steps)])
+
+
 def aspects(
     config: Any, weights: DataFrame, topic_vectors: DataFrame, vectors_of_words: DataFrame, top_n_words: int = 10
 ) -> DataFrame:
@@ -136,7 +144,7 @@ def aspects(
                 source = weights if words is None else words
                 words = keywords_by_similarity(source, topic_vectors, vectors_of_words, n, params.get("nr_candidate_words", CANDIDATES))
             else:
-                source = top_words(weights, 30) if words is None else words
+                source = top_words(weights, params.get("nr_candidate_words", DIVERSE_CANDIDATES)) if words is None else words
                 words = diverse_words(source, topic_vectors, vectors_of_words, params.get("diversity", 0.1), n)
         tables[name] = words
     out = None
