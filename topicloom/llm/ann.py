@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from ..operators.sampling import top_n
 
 PROJECTIONS, COLLISIONS = 64, 44
-FIRST, WIDER, REACH = 0.3, 1.5, 1.25
+FIRST, WIDER, REACH = 0.37, 2.0, 1.25
 BLOCK, QUERIES = 2048, 4096
 RESULT = "query_id bigint, vec_id bigint, score double"
 
@@ -42,46 +42,38 @@ def lines(dim: int, seed: int = 42) -> np.ndarray:
 def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int):
     """(query, vec_id, score) of the k best verified vectors of this block for each query."""
     v_norm, q_norm = (np.sqrt((x * x).sum(axis=1)) for x in (vectors, queries))
+    units, asked = vectors / v_norm[:, None], queries / q_norm[:, None]
     a = lines(vectors.shape[1])
-    pv = ((vectors / v_norm[:, None]).astype(np.float32) @ a).T
-    pq = ((queries / q_norm[:, None]).astype(np.float32) @ a).T
+    pv, pq = (units.astype(np.float32) @ a).T, (asked.astype(np.float32) @ a).T
     order = np.argsort(pv, axis=1)
     ordered = np.take_along_axis(pv, order, axis=1)
-    n, nq = len(ids), len(query_ids)
+    n = len(ids)
+    kind = np.uint16 if n < 1 << 16 else np.uint32
+    ranks = np.empty_like(order, dtype=kind)  # place of each vector in each sorted array
+    np.put_along_axis(ranks, order, np.arange(n, dtype=kind)[None, :], axis=1)
     spread = float(max(np.abs(pv).max(), np.abs(pq).max())) * 2
-    counts = np.zeros((n, nq), np.int8)
-    seen = np.zeros((n, nq), bool)
-    low = np.stack([np.searchsorted(ordered[i], pq[i]) for i in range(PROJECTIONS)])
-    high = low.copy()
-    best: list[list[tuple[float, int]]] = [[] for _ in range(nq)]
-    active, radius = np.arange(nq), FIRST
+    out: list[tuple[int, int, float]] = []
+    active, radius = np.arange(len(query_ids)), FIRST
     while len(active):
-        col = np.arange(len(active))
-        part = counts[:, active]
+        counts = np.zeros((n, len(active)), np.uint8)
         for i in range(PROJECTIONS):
-            c = pq[i, active]
-            new_low, new_high = np.searchsorted(ordered[i], c - radius), np.searchsorted(ordered[i], c + radius, side="right")
-            step = np.zeros((n + 1, len(active)), np.int8)
-            np.add.at(step, (new_low, col), 1)
-            np.add.at(step, (low[i, active], col), -1)
-            np.add.at(step, (high[i, active], col), 1)
-            np.add.at(step, (new_high, col), -1)
-            part[order[i]] += np.cumsum(step[:-1], axis=0, dtype=np.int8)
-            low[i, active], high[i, active] = new_low, new_high
-        counts[:, active] = part
-        least = COLLISIONS if radius < spread else 0
-        going = []
-        for j, q in enumerate(active.tolist()):
-            at = np.flatnonzero((part[:, j] >= least) & ~seen[:, q] & (ids != query_ids[q]))
-            if len(at):
-                seen[at, q] = True
-                score = (vectors[at] * queries[q]).sum(axis=1) / (v_norm[at] * q_norm[q])
-                best[q] = sorted([*best[q], *zip((-score).tolist(), ids[at].tolist())])[:k]
-            reached = len(best[q]) == k and radius >= REACH * np.sqrt(max(0.0, 2 + 2 * best[q][-1][0]))
-            if not reached and radius < spread:
-                going.append(q)
-        active, radius = np.array(going, dtype=np.int64), radius * WIDER
-    return [(int(query_ids[q]), i, -s) for q in range(nq) for s, i in best[q]]
+            centre = pq[i, active]
+            low, high = np.searchsorted(ordered[i], centre - radius), np.searchsorted(ordered[i], centre + radius, side="right")
+            counts += (ranks[i][:, None] - low.astype(kind)) < (high - low).astype(kind)  # below the window the difference wraps round
+        everything = radius >= spread
+        candidates = (counts >= (0 if everything else COLLISIONS)) & (ids[:, None] != query_ids[active])
+        scores = np.where(candidates, units @ asked[active].T, -np.inf)
+        kth = np.partition(scores, n - k, axis=0)[n - k] if n >= k else np.full(len(active), -np.inf)
+        done = np.full(len(active), everything)
+        done |= (kth > -np.inf) & (radius >= REACH * np.sqrt(np.maximum(0, 2 - 2 * kth)))
+        for j in np.flatnonzero(done).tolist():
+            q = active[j]
+            at = np.flatnonzero(candidates[:, j] & (scores[:, j] >= kth[j] - 1e-9))  # with near ties
+            exact = (vectors[at] * queries[q]).sum(axis=1) / (v_norm[at] * q_norm[q])
+            best = np.lexsort((ids[at], -exact))[:k]
+            out += [(int(query_ids[q]), int(ids[at[x]]), float(exact[x])) for x in best]
+        active, radius = active[~done], radius * WIDER
+    return out
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
