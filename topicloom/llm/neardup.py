@@ -12,10 +12,12 @@ weighted Jaccard similarity of their whole texts, and links of 0.8 or more are
 closed into classes.
 
 Documents of equal words are one content from the start. In a band bucket every
-content is first compared with the bucket's smallest one; buckets that then
-still hold several classes are compared in blocks across classes, first the
-best partner of each, then all that are left. So large groups of copies cost one comparison
-per member, and no candidate is left out.
+content is compared with the bucket's smallest one by their draws; where a
+bucket then still holds several groups, their draws are compared in blocks. The
+pairs that agree often enough span candidate groups. Within a candidate group
+all similarities are computed exactly, in blocks, in matrix products; a task
+sends on only as many links as join the same contents. So no candidate is left
+out, and a large group of copies is spread over many tasks.
 
 Nulls: a null text is a class of its own; texts without words are copies if they
 are equal. The class id is the smallest doc_id of the class (null if no member
@@ -42,7 +44,8 @@ SAMPLES = BANDS * ROWS
 SCREEN = 0.6
 BUCKET_BITS = 18
 POOL_BITS = 16
-BLOCK = 64
+#: contents of one block; two blocks meet in a task
+BLOCK = 256
 
 
 def word_buckets(words: Words) -> np.ndarray:
@@ -64,11 +67,11 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         at = np.flatnonzero(totals)
         yield pa.RecordBatch.from_arrays([pa.array([-1, *at], pa.int32()), pa.array([n, *totals[at]], pa.int64())], ["bucket", "n"])
 
-    found = docs.select("text").mapInArrow(count, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # 2**BUCKET_BITS rows
+    found = docs.select("text").mapInArrow(count, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # 2**BUCKET_BITS rows
+    at, n = found.column("bucket").to_numpy(), found.column("n").to_numpy()
     out = np.zeros(1 << BUCKET_BITS, np.int64)
-    real = found[found["bucket"] >= 0]
-    out[real["bucket"].to_numpy(np.int64)] = real["n"].to_numpy(np.int64)
-    return out, int(found["n"][found["bucket"] < 0].sum())
+    out[at[at >= 0]] = n[at >= 0]
+    return out, int(n[at < 0].sum())
 
 
 def inverse_frequencies(df: np.ndarray, n: int) -> np.ndarray:
@@ -153,6 +156,7 @@ def signatures(docs: DataFrame, idf) -> DataFrame:
             words = Words(texts)
             marks = draws.sample(*shingles(words, idf.value), len(texts))
             bands = band_keys(marks).view(np.int64)
+            marks = marks.astype(np.uint8)  # a byte of each tells two draws apart well enough to screen pairs
             null = run.column("text").is_null().to_pylist()
             content = []
             raw = words.data.tobytes()
@@ -183,9 +187,18 @@ def word_bytes(raw: bytes, words: Words, a: int, b: int) -> list[bytes]:
     return [raw[i:j] for i, j in zip(words.starts[a:b].tolist(), words.ends[a:b].tolist())]
 
 
-def agreement(a: list[bytes], b: list[bytes]) -> np.ndarray:
-    x, y = (np.frombuffer(b"".join(v), np.uint32).reshape(-1, SAMPLES) for v in (a, b))
-    return (x == y).mean(axis=1)
+def mark_rows(column) -> np.ndarray:
+    """One row of short marks per content."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SAMPLES)
+
+
+def contracted(pairs: DataFrame) -> DataFrame:
+    """Fewer pairs (a, b) that join the same contents: each b with its smallest a, and its other a with that one.
+
+    A content has at most one partner for each band.
+    """
+    ordered = pairs.groupBy("b").agg(F.min("a").alias("_least"), F.collect_set("a").alias("_all"))
+    return ordered.select(F.col("_least").alias("a"), F.explode(F.array_append("_all", F.col("b"))).alias("b")).filter("a <> b").distinct()
 
 
 def screened(pairs: DataFrame, contents: DataFrame) -> DataFrame:
@@ -201,100 +214,144 @@ def screened(pairs: DataFrame, contents: DataFrame) -> DataFrame:
 
         for batch in batches:
             if batch.num_rows:
-                ok = agreement(batch.column("_ma").to_pylist(), batch.column("_mb").to_pylist()) >= SCREEN
-                yield batch.select(["a", "b"]).filter(pa.array(ok))
+                share = (mark_rows(batch.column("_ma")) == mark_rows(batch.column("_mb"))).mean(axis=1)
+                yield batch.select(["a", "b"]).filter(pa.array(share >= SCREEN))
 
     return both.select("a", "b", "_ma", "_mb").mapInArrow(keep, "a binary, b binary")
 
 
-def similarities(a: list[bytes], b: list[bytes], idf: np.ndarray) -> list[float]:
-    """Weighted Jaccard similarity of each pair of texts."""
-    n = len(a)
-    doc, h, w = shingles(Words([*a, *b]), idf)
-    ends = np.searchsorted(doc, np.arange(2 * n + 1))
-    out = []
-    for i in range(n):
-        p, q = slice(ends[i], ends[i + 1]), slice(ends[n + i], ends[n + i + 1])
-        _, x, y = np.intersect1d(h[p], h[q], assume_unique=True, return_indices=True)
-        least = np.minimum(w[p][x], w[q][y]).sum()
-        total = w[p].sum() + w[q].sum() - least
-        out.append(float(least / total) if total else 0.0)
-    return out
-
+def similarities(texts: list[bytes], idf: np.ndarray, columns: int = 4096) -> np.ndarray:
+    """Weighted Jaccard similarity of all pairs of a block of texts.
 
-def verified(pairs: DataFrame, contents: DataFrame, docs: DataFrame, idf) -> DataFrame:
-    """Pairs (a, b) of a similarity of ``LEAST`` or more, from their whole texts."""
-    pairs = stage(pairs)
-    wanted = pairs.select(F.col("a").alias("content")).unionByName(pairs.select(F.col("b").alias("content"))).distinct()
-    keys = stage(contents.join(wanted, "content").select("content", "doc_key"))
-    texts = stage(docs.select(F.xxhash64("doc_id", "text").alias("doc_key"), "text").join(keys, "doc_key").groupBy("content").agg(F.first("text").alias("text")))
-    both = (
-        pairs.join(texts.withColumnsRenamed({"content": "a", "text": "_ta"}), "a")
-        .join(texts.withColumnsRenamed({"content": "b", "text": "_tb"}), "b")
-    )
+    Shingles of one weight wherever they occur are counted by matrix products,
+    the others by minima; ``columns`` shingles at a time.
+    """
+    n = len(texts)
+    doc, h, w = shingles(Words(texts), idf)
+    total = np.bincount(doc, weights=w, minlength=n)
+    _, at, times = np.unique(h, return_inverse=True, return_counts=True)
+    shared = times[at] > 1
+    doc, at, w = doc[shared], at[shared], w[shared]
+    _, at = np.unique(at, return_inverse=True)
+    width = int(at.max()) + 1 if len(at) else 0
+    low, high = np.full(width, np.inf), np.zeros(width)
+    np.minimum.at(low, at, w)
+    np.maximum.at(high, at, w)
+    common = np.zeros((n, n))
+    for alike in (True, False):
+        chosen = np.flatnonzero((low == high) == alike)
+        place = np.full(width, -1)
+        place[chosen] = np.arange(len(chosen))
+        for start in range(0, len(chosen), columns):
+            here = (place[at] >= start) & (place[at] < start + columns)
+            m = np.zeros((n, min(columns, len(chosen) - start)), np.float32 if alike else np.float64)
+            m[doc[here], place[at[here]] - start] = 1 if alike else w[here]
+            if alike:
+                common += (m * low[chosen[start : start + columns]].astype(np.float32)) @ m.T
+            else:
+                for i in range(n):
+                    common[i] += np.minimum(m, m[i]).sum(axis=1)
+    both = total[:, None] + total[None, :] - common
+    return np.divide(common, both, out=np.zeros((n, n)), where=both > 0)
+
+
+def forest(linked: np.ndarray, parent: dict[int, int]) -> list[tuple[int, int]]:
+    """Of the pairs (i, j) those that join two trees of ``parent``, which is updated."""
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
 
-    def check(batches):
-        import pyarrow as pa
+    out = []
+    for i, j in linked.tolist():
+        a, b = root(i), root(j)
+        if a != b:
+            parent[b] = a
+            out.append((i, j))
+    return out
 
-        for batch in batches:
-            for run in in_runs([batch], text="_ta"):
-                ok = np.array(similarities(utf8(run.column("_ta")), utf8(run.column("_tb")), idf.value)) >= LEAST
-                yield run.select(["a", "b"]).filter(pa.array(ok))
 
-    return stage(both.select("a", "b", "_ta", "_tb").mapInArrow(check, "a binary, b binary"))
+def in_blocks(rows: DataFrame, group: str, payload: list[str]) -> DataFrame:
+    """Rows of groups, sent to the cells in which a group's blocks meet in pairs.
 
+    Groups of up to ``BLOCK`` rows are one block; several share a cell. A larger
+    group has rows / BLOCK blocks and a cell for each pair of them.
+    """
+    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = stage(sizes.select(group, F.ceil(F.col("_n") / BLOCK).alias("_blocks"), "_n"))
+    cells = max(1, (sizes.agg(F.sum("_n")).first()[0] or 0) // BLOCK)
+    own = F.pmod(F.xxhash64("content"), F.col("_blocks"))
+    placed = rows.join(sizes, group).withColumn("_own", own).withColumn("_other", F.explode(F.expr("sequence(0L, _blocks - 1)")))
+    placed = placed.withColumn("_lo", F.least("_own", "_other")).withColumn("_hi", F.greatest("_own", "_other"))
+    cell = F.when(F.col("_blocks") > 1, F.xxhash64(group, "_lo", "_hi")).otherwise(F.pmod(F.xxhash64(group), F.lit(cells)))
+    return placed.select(cell.alias("_cell"), group, "_lo", "_hi", "_own", "content", *payload)
 
-def across(members: DataFrame, contents: DataFrame, labels: DataFrame, best: bool) -> DataFrame:
-    """Pairs of one bucket but different classes whose draws agree often enough.
 
-    Buckets are compared in blocks of about ``BLOCK`` contents. ``best``: only
-    the best partner of each content in each block and other class.
-    """
-    labelled = stage(
-        members.join(labels.withColumnRenamed("node", "content"), "content", "left").withColumn("label", F.coalesce("label", "content"))
-    )
-    mixed_bands = stage(
-        labelled.groupBy("band").agg(F.min("label").alias("_x"), F.max("label").alias("_y"), F.count(F.lit(1)).alias("_n"))
-        .filter("_x <> _y AND _n > 2").select("band", F.ceil(F.col("_n") / BLOCK).alias("_blocks"))
-    )
-    rows = (
-        labelled.select("band", "content", "label").join(mixed_bands, "band")
-        .withColumn("_own", F.pmod(F.xxhash64("content"), F.col("_blocks")))
-        .join(contents.select("content", "marks"), "content")
-        .withColumn("_other", F.explode(F.expr("sequence(0L, _blocks - 1)")))
-        .withColumn("_lo", F.least("_own", "_other")).withColumn("_hi", F.greatest("_own", "_other"))
-        .select("band", "_lo", "_hi", "_own", "content", "label", "marks")
-    )
+def within_cells(placed: DataFrame, group: str, pairs_of) -> DataFrame:
+    """(a, b): the links that ``pairs_of`` (arrays of one group and pair of blocks) finds, as few as join the same contents."""
 
     def compare(table):
         import pyarrow as pa
 
-        content, label = table.column("content").to_pylist(), np.array(table.column("label").to_pylist(), dtype=object)
-        lo, hi, own = (table.column(c).to_numpy() for c in ("_lo", "_hi", "_own"))
-        marks = np.frombuffer(b"".join(table.column("marks").to_pylist()), np.uint32).reshape(-1, SAMPLES)
-        inner = lo[0] == hi[0]
-        left = np.arange(len(content)) if inner else np.flatnonzero(own == lo)
-        right = np.arange(len(content)) if inner else np.flatnonzero(own == hi)
-        out = set()
-        for i in left.tolist():
-            share = (marks[right] == marks[i]).mean(axis=1)
-            ok = right[(share >= SCREEN) & (label[right] != label[i])]
-            if best and len(ok):
-                by = dict(zip(right.tolist(), share.tolist()))
-                top: dict = {}
-                for j in ok.tolist():
-                    if label[j] not in top or by[j] > by[top[label[j]]]:
-                        top[label[j]] = j
-                ok = np.array(list(top.values()))
-            out.update((min(content[i], content[j]), max(content[i], content[j])) for j in ok.tolist())
+        rows: dict[tuple, list[int]] = {}
+        keys = zip(table.column(group).to_pylist(), table.column("_lo").to_pylist(), table.column("_hi").to_pylist())
+        for i, key in enumerate(keys):
+            rows.setdefault(key, []).append(i)
+        content = table.column("content").to_pylist()
+        out = []
+        for at in rows.values():
+            if len(at) > 1:
+                found = pairs_of(table.take(pa.array(at)))
+                out += [(content[at[i]], content[at[j]]) for i, j in found]
         a, b = zip(*out) if out else ((), ())
         return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
-    return rows.groupBy("band", "_lo", "_hi").applyInArrow(compare, "a binary, b binary").distinct()
+    return placed.groupBy("_cell").applyInArrow(compare, "a binary, b binary")
+
+
+def across(members: DataFrame, contents: DataFrame, labels: DataFrame) -> DataFrame | None:
+    """Pairs of one bucket but different candidate groups whose draws agree often enough; None if there are none."""
+    labelled = stage(members.join(labels.withColumnRenamed("node", "content"), "content", "left").withColumn("label", F.coalesce("label", "content")))
+    several = stage(
+        labelled.groupBy("band").agg(F.min("label").alias("_x"), F.max("label").alias("_y"), F.count(F.lit(1)).alias("_m")).filter("_x <> _y AND _m > 2").select("band")
+    )
+    if several.isEmpty():
+        return None
+    rows = labelled.select("band", "content", "label").join(several, "band").join(contents.select("content", "marks"), "content")
+
+    def pairs_of(table):
+        marks = mark_rows(table.column("marks"))
+        _, label = np.unique(np.array(table.column("label").to_pylist(), dtype=object), return_inverse=True)
+        parent: dict[int, int] = {}
+        out = []
+        first = {}
+        for i, x in enumerate(label.tolist()):
+            parent[i] = first.setdefault(x, i)
+        for i in range(len(marks)):
+            ok = np.flatnonzero((label[i + 1 :] != label[i]) & ((marks[i + 1 :] == marks[i]).mean(axis=1) >= SCREEN)) + i + 1
+            out += forest(np.stack([np.full(len(ok), i), ok], axis=1), parent)
+        return out
+
+    found = stage(within_cells(in_blocks(stage(rows), "band", ["label", "marks"]), "band", pairs_of).distinct())
+    return None if found.isEmpty() else found
+
+
+def linked(candidates: DataFrame, contents: DataFrame, docs: DataFrame, idf) -> DataFrame:
+    """Links of a similarity of ``LEAST`` or more within the candidate groups (node, label), from whole texts."""
+    keys = stage(candidates.withColumnsRenamed({"node": "content", "label": "group"}).join(contents.select("content", "doc_key"), "content"))
+    texts = docs.select(F.xxhash64("doc_id", "text").alias("doc_key"), "text").join(keys, "doc_key")
+    texts = stage(texts.groupBy("content").agg(F.first("group").alias("group"), F.first("text").alias("text")))
+
+    def pairs_of(table):
+        found = np.argwhere(np.triu(similarities(utf8(table.column("text")), idf.value), 1) >= LEAST)
+        return forest(found, {})
+
+    return stage(within_cells(in_blocks(texts, "group", ["text"]), "group", pairs_of).distinct())
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Signed rows of ``docs`` (doc_id, text), and (content, class_id, class_size, label) of the contents with copies or links."""
+    """Signed rows of ``docs`` (doc_id, text), and (content, label, class_id, class_size) of the contents with copies or links."""
     spark = docs.sparkSession
     idf = spark.sparkContext.broadcast(inverse_frequencies(*document_frequencies(docs)))  # 2**BUCKET_BITS numbers
     rows = stage(signatures(docs, idf))
@@ -304,19 +361,18 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     banded = contents.select("content", F.explode("bands").alias("band"))
     buckets = stage(banded.groupBy("band").agg(F.min("content").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    members = stage(banded.join(buckets, "band"))
+    members = stage(banded.join(buckets, "band").select("band", "content", "leader"))
     star = members.filter("content <> leader").select(F.col("leader").alias("a"), F.col("content").alias("b")).distinct()
-    edges = verified(screened(stage(star), contents), contents, docs, idf)
-    labels = components(edges)
-    for best in (True, False):
-        more = verified(across(members, contents, labels, best), contents, docs, idf)
-        edges = edges.unionByName(more)
-        if not more.isEmpty():
-            labels = components(edges)
-    linked = contents.join(labels, contents["content"] == labels["node"], "left").filter("node IS NOT NULL OR copies > 1")
-    linked = stage(linked.select("content", F.coalesce("label", "content").alias("label"), "first_id", "copies"))
-    sums = stage(linked.groupBy("label").agg(F.min("first_id").alias("class_id"), F.sum("copies").alias("class_size")))
-    return rows, stage(linked.join(sums, "label").select("content", "label", "class_id", "class_size"))
+    candidates = stage(contracted(screened(stage(star), contents)))
+    groups = components(candidates)
+    more = across(members, contents, groups)
+    if more is not None:
+        groups = components(candidates.unionByName(more))
+    labels = components(linked(groups, contents, docs, idf))
+    found = contents.join(labels, contents["content"] == labels["node"], "left").filter("node IS NOT NULL OR copies > 1")
+    found = stage(found.select("content", F.coalesce("label", "content").alias("label"), "first_id", "copies"))
+    sums = stage(found.groupBy("label").agg(F.min("first_id").alias("class_id"), F.sum("copies").alias("class_size")))
+    return rows, stage(found.join(sums, "label").select("content", "label", "class_id", "class_size"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
