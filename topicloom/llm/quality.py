@@ -162,9 +162,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, seed: int =
             x = statistics(utf8(run.column("text")))
             yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float32())), run.column("_label")], ["x", "y"])
 
-    found = rows.mapInArrow(measure, "x array<float>, y double").toPandas()
-    x = np.stack(found["x"].to_list()) if len(found) else np.zeros((0, len(NAMES)), np.float32)
-    y = found["y"].to_numpy(float)
+    found = rows.mapInArrow(measure, "x array<float>, y double").toArrow().combine_chunks()  # `sample` rows
+    x = np.array(found.column("x").to_pylist(), np.float32).reshape(-1, len(NAMES))
+    y = found.column("y").to_numpy().astype(float)
     order = np.lexsort((*x.T, y))  # rows arrive in any order; the model should not depend on it
     return fit(x[order], y[order])
 
