@@ -7,7 +7,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from topicloom.llm import components, decontam, neardup, quality
+from pyspark.sql import functions as F
+from topicloom.llm import common, components, decontam, neardup, quality
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -111,7 +112,7 @@ def test_near_duplicates(spark):
     docs += [(300 + i, f"{text(120)} {passage} {text(120)}") for i in range(40)]  # a shared passage
     docs += [(400 + i, changed(base[0], rng, 1)) for i in range(60)]  # a large group
     docs += [(500, None), (501, None), (502, ""), (503, ""), (504, "hi"), (505, "Hi."), (506, "one two"), (507, text(9000)), (None, base[5])]
-    docs += [(3, base[3])] * 2
+    docs += [(3, base[3])] * 2 + [(508, None)] * 3
     frame = spark.createDataFrame([(*d, 0, "x") for d in docs], "doc_id long, text string, class_id int, marks string")
     got = neardup.near_duplicates(frame).collect()
     assert Counter(r.doc_id for r in got) == Counter(d[0] for d in docs)
@@ -125,10 +126,23 @@ def test_near_duplicates(spark):
     assert sizes[0] == 63 and sizes[3] == 5 and sizes[500] == 1
     kept = neardup.first_of_each(frame)
     assert kept.columns == frame.columns
-    assert Counter(r.doc_id for r in kept.collect()) == Counter(set(found.values()))
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(set(found.values())) + Counter({508: 2})  # null texts are no copies
     assert neardup.near_duplicates(frame.limit(0)).collect() == []
 
 
+def test_marked_rows_miss_none(spark, monkeypatch):
+    keys = spark.range(-500, 500, 3).selectExpr("xxhash64(id) AS k")
+    rows = spark.range(-500, 500).selectExpr("id", "xxhash64(id) AS _own", "'x' AS _key").unionByName(spark.sql("SELECT CAST(NULL AS BIGINT) AS id, CAST(NULL AS BIGINT) AS _own, 'x' AS _key"))
+    for words in (common.MARK_WORDS, 4):
+        monkeypatch.setattr(common, "MARK_WORDS", words)
+        got = common.marked(rows, F.col("_own"), keys)
+        assert got.columns == [*rows.columns, "_maybe"]
+        found = {r.id: r._maybe for r in got.collect()}
+        assert len(found) == 1001 and found[None] is False and all(found[i] for i in range(-500, 500, 3))
+        assert words == 4 or sum(found.values()) < 340
+    assert not any(r._maybe for r in common.marked(rows, F.col("_own"), keys.limit(0)).collect())
+
+
 def test_agreement_estimates_similarity():
     rng = random.Random(1)
     base = " ".join(f"t{rng.randrange(900)}" for _ in range(400))

@@ -14,6 +14,8 @@ ODD_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: bytes of words: digits, letters (both cases) and whatever is not ASCII
 WORD_BYTES = np.zeros(256, dtype=bool)
 WORD_BYTES[48:58] = WORD_BYTES[65:91] = WORD_BYTES[97:123] = WORD_BYTES[128:] = True
+#: 64-bit words of the bitmap of :func:`marked`
+MARK_WORDS = 1 << 18
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -37,6 +39,21 @@ def unit_interval(*columns: Column | int | str) -> Column:
     return F.shiftrightunsigned(hashed, 11).cast("double") / F.lit(float(1 << 53))
 
 
+def marked(rows: DataFrame, key: Column, wanted: DataFrame, name: str = "_maybe") -> DataFrame:
+    """``rows`` with a flag that is true for all whose ``key`` (long) is in the one column of ``wanted``, and for some others.
+
+    The keys of ``wanted`` set bits in at most ``MARK_WORDS`` 64-bit words, so
+    what is broadcast has a fixed size; the more keys, the more rows are
+    flagged without need.
+    """
+    split = lambda k: (F.pmod(k, F.lit(MARK_WORDS)).cast("int"), F.pmod(F.shiftrightunsigned(k, 32), F.lit(64)).cast("int"))
+    word, bit = split(F.col(wanted.columns[0]))
+    words = wanted.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.expr("bit_or(shiftleft(1L, _bit))").alias("_bits"))
+    word, bit = split(key)
+    keyed = rows.withColumns({"_word": word, "_bit": bit}).join(F.broadcast(words), "_word", "left")
+    return keyed.withColumn(name, F.expr("coalesce(shiftright(_bits, _bit) & 1L, 0L) = 1L")).drop("_word", "_bit", "_bits")
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """64-bit finalizer: spreads every input bit over the word."""
     with np.errstate(over="ignore"):

@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, in_runs, mixed, stage, utf8
+from .common import Words, in_runs, marked, mixed, stage, utf8
 from .components import components
 
 SHINGLE = 5
@@ -340,8 +340,9 @@ def across(members: DataFrame, contents: DataFrame, labels: DataFrame) -> DataFr
 def linked(candidates: DataFrame, contents: DataFrame, docs: DataFrame, idf) -> DataFrame:
     """Links of a similarity of ``LEAST`` or more within the candidate groups (node, label), from whole texts."""
     keys = stage(candidates.withColumnsRenamed({"node": "content", "label": "group"}).join(contents.select("content", "doc_key"), "content"))
-    texts = docs.select(F.xxhash64("doc_id", "text").alias("doc_key"), "text").join(keys, "doc_key")
-    texts = stage(texts.groupBy("content").agg(F.first("group").alias("group"), F.first("text").alias("text")))
+    texts = docs.select(F.xxhash64("doc_id", "text").alias("doc_key"), "text")
+    texts = marked(texts, F.col("doc_key"), keys.select("doc_key")).filter("_maybe")  # texts of no candidate group stay where they are
+    texts = stage(texts.groupBy("doc_key").agg(F.first("text").alias("text")).join(keys, "doc_key").select("content", "group", "text"))
 
     def pairs_of(table):
         found = np.argwhere(np.triu(similarities(utf8(table.column("text")), idf.value), 1) >= LEAST)
@@ -386,10 +387,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def first_of_each(docs: DataFrame) -> DataFrame:
     """One document of each class, that of the smallest id, with all columns."""
     rows, found = classes(docs)
-    own = F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("doc_id"), F.col("doc_key").alias("doc_key"))
-    copies = rows.join(found, "content").groupBy("label").agg(F.min(own).alias("_first")).select(F.col("_first.doc_id").alias("_id"), F.col("_first.doc_key").alias("_key"))
-    alone = rows.join(found, "content", "left_anti").select(F.col("doc_id").alias("_id"), F.col("doc_key").alias("_key"), F.lit(False).alias("_many"))
-    kept = stage(alone.unionByName(copies.withColumn("_many", F.lit(True))))
-    joined = docs.withColumn("_own", F.xxhash64("doc_id", "text")).join(kept, (F.col("_own") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    once = joined.filter("_many").dropDuplicates(["_own", "_id"])  # equal rows: one stays
-    return joined.filter("NOT _many").unionByName(once).select(docs.columns)
+    members = stage(rows.join(found, "content").select("label", F.col("doc_id").alias("_id"), F.col("doc_key").alias("_key")))
+    own = F.struct(F.col("_id").isNull().alias("x"), F.col("_id").alias("_id"), F.col("_key").alias("_key"))
+    first = members.groupBy("label").agg(F.min(own).alias("_first")).select("_first._id", "_first._key")
+    flagged = marked(docs.withColumn("_own", F.xxhash64("doc_id", "text")), F.col("_own"), members.select("_key"))
+    several = flagged.filter("_maybe")
+    same = (F.col("_own") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    once = several.join(stage(first), same).dropDuplicates(["_own", "_id"])  # equal rows: one stays
+    alone = flagged.filter("NOT _maybe").unionByName(several.join(members, same, "left_anti"))
+    return alone.unionByName(once.select(alone.columns)).select(docs.columns)
