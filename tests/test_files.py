@@ -63,6 +63,14 @@ def test_duplicate_names(spark, tmp_path):
     assert got == {("a", False), ("b", True), ("c", False)}
 
 
+def test_inventory(spark, tmp_path):
+    for name in ("a.txt", "b.TXT", "c.csv"):
+        put(tmp_path / name, "y")
+    found = files.inventory(spark, str(tmp_path), [".txt"])
+    assert {"path", "name", "extension", "length"} <= set(found.columns)
+    assert {(r.name, r.length) for r in found.collect()} >= {("a.txt", 1)} and "c.csv" not in {r.name for r in found.collect()}
+
+
 def test_cached(spark, tmp_path):
     path, calls = str(tmp_path / "t"), []
 

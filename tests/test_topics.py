@@ -273,6 +273,7 @@ def test_encoder_batches(spark):
     texts = spark.createDataFrame([(i, None if i == 3 else "x" * i) for i in range(100)], "doc_id long, text string").coalesce(1)
     seen = embed.embed_texts(texts, lambda: (lambda batch: np.array([[len(t), len(batch)] for t in batch])), batch_size=32)
     got = {r.doc_id: r.embedding for r in seen.collect()}
+    assert embed.embed_texts(texts.limit(0), lambda: (lambda batch: np.zeros((len(batch), 2)))).collect() == []
     assert len(got) == 100 and got[3][0] == 0 and got[50][0] == 50 and max(v[1] for v in got.values()) == 32
 
 

@@ -10,7 +10,7 @@ from ..functions import text as T
 from ..operators import audit, cleaning, dedupe, filters, joins, sampling, units
 from ..plans import preprocess
 from .tables import (
-    SQL_WS, documents, events, register, sql_clean, sql_collapse, sql_nonblank, sql_strip, sql_words, table,
+    SQL_WS, SQL_X, SQL_Y, documents, events, register, sql_clean, sql_collapse, sql_nonblank, sql_strip, sql_words, table, with_plane,
 )
 
 PAPERS = Cleaning(char_filtering=True, char_filter_regex=T.CHAR_FILTER, lowercase=True)
@@ -176,18 +176,15 @@ def p15(spark, d):
     return filters.topic_members(table(spark, d, "embeddings").select("vec_id", "label"), [1, 4, 7], "label", "vec_id")
 
 
-@register("p16_box", """WITH p AS (SELECT vec_id, label - 1 AS topic, CAST(embedding[1] AS DOUBLE) * 100 AS x, CAST(embedding[2] AS DOUBLE) * 100 AS y FROM embeddings)
+@register("p16_box", f"""WITH p AS (SELECT vec_id, label - 1 AS topic, {SQL_X} * 10 AS x, {SQL_Y} * 10 AS y FROM embeddings)
 SELECT vec_id, topic FROM p WHERE topic <> -1 AND x > -10 AND x < 10 AND y > -10 AND y < 10""")
 def p16(spark, d):
-    pts = points(spark, d).withColumns({"x": F.col("x") * 100, "y": F.col("y") * 100})
+    pts = points(spark, d).withColumns({"x": F.col("x") * 10, "y": F.col("y") * 10})
     return filters.inside_box(filters.drop_outliers(pts)).select("vec_id", "topic")
 
 
 def points(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "embeddings").select(
-        "vec_id", (F.col("label") - 1).alias("topic"),
-        F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"),
-    )
+    return with_plane(table(spark, d, "embeddings")).select("vec_id", (F.col("label") - 1).alias("topic"), "x", "y")
 
 
 @register("p17_type", SQL_FORUM + "SELECT id, CASE WHEN title IS NULL THEN 'comment' ELSE 'submission' END AS type FROM forum")
@@ -534,8 +531,8 @@ def g16(spark, d):
     return audit.column_summary(documents(spark, d))
 
 
-@register("g17_bounds", """SELECT round(min(embedding[1]::DOUBLE) - 1, 6) AS x_lo, round(max(embedding[1]::DOUBLE) + 1, 6) AS x_hi,
-round(min(embedding[2]::DOUBLE) - 1, 6) AS y_lo, round(max(embedding[2]::DOUBLE) + 1, 6) AS y_hi FROM embeddings""")
+@register("g17_bounds", f"""SELECT round(min({SQL_X}) - 1, 6) AS x_lo, round(max({SQL_X}) + 1, 6) AS x_hi,
+round(min({SQL_Y}) - 1, 6) AS y_lo, round(max({SQL_Y}) + 1, 6) AS y_hi FROM embeddings""")
 def g17(spark, d):
     b = audit.coordinate_bounds(points(spark, d))
     return b.select([F.round(c, 6).alias(c) for c in b.columns])

@@ -172,23 +172,6 @@ def search_report(spark, d):
     return spark.read.text(path)
 
 
-_TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-
-
-@register("s14_inventory", "SELECT unnest([" + ", ".join(f"'{t}.parquet'" for t in _TABLES) + "]) AS name, '.parquet' AS extension")
-def s14(spark, d):
-    found = files.inventory(spark, d, [".parquet"])
-    return found.filter(F.col("name").isin([f"{t}.parquet" for t in _TABLES])).select("name", "extension")
-
-
-@register("s15_duplicate_names", "SELECT 'documents.parquet' AS name, 2 AS copies, true AS keep, 1 AS n UNION ALL SELECT 'documents.parquet', 2, false, 1".replace("2 AS copies", "CAST(2 AS BIGINT) AS copies").replace("1 AS n", "CAST(1 AS BIGINT) AS n"))
-def s15(spark, d):
-    """Each table file and a longer copy elsewhere: the longer one is kept."""
-    here = files.inventory(spark, d, [".parquet"]).filter(F.col("name") == "documents.parquet")
-    there = here.withColumns({"path": F.concat("path", F.lit(".copy")), "length": F.col("length") + 1})
-    return files.duplicate_names(here.unionByName(there)).groupBy("name", "copies", "keep").agg(F.count(F.lit(1)).alias("n"))
-
-
 @register("f2_dataset_hook", f"SELECT doc_id, {sql_clean()} AS docs FROM documents WHERE lang = 'en' AND {sql_clean()} <> ''")
 def f2(spark, d):
     """A dataset-specific step runs before all rules."""

@@ -40,7 +40,17 @@ def events(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def with_plane(df: DataFrame, column: str = "embedding") -> DataFrame:
+    """Adds x and y: the sums of the first and of the second half of the coordinates."""
+    half = F.floor(F.size(column) / 2).cast("int")
+    v = F.col(column).cast("array<double>")
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, c: s + c)
+    return df.withColumns({"x": total(F.slice(v, F.lit(1), half)), "y": total(F.slice(v, half + 1, F.size(column) - half))})
+
+
 # SQL fragments shared by the oracles
+SQL_X = "list_sum(CAST(embedding[1 : len(embedding) // 2] AS DOUBLE[]))"
+SQL_Y = "list_sum(CAST(embedding[len(embedding) // 2 + 1 :] AS DOUBLE[]))"
 SQL_WS = f"[{WS}]"
 SQL_CHARS = """'[^a-zA-Z0-9\\s,.!?'':;"-]'"""
 SQL_SPLIT = "\\x{1}"

@@ -14,7 +14,7 @@ from ..functions import tokens as K
 from ..operators import density, embed, explore, hierarchy, merging, outliers, represent, similarity, terms, trends
 from ..plans import modeling
 from ..session import materialize, scratch_path
-from .tables import documents, events, register, table
+from .tables import SQL_X, SQL_Y, documents, events, register, table, with_plane
 
 SQL_TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')"
 SQL_SOURCE_TOPIC = "CAST(substr(source, 4) AS INTEGER)"
@@ -462,13 +462,6 @@ def e1_user(spark, d):
     return out.select("doc_id", e[0].cast("double").alias("chars"), e[1].cast("double").alias("spaces"), e[2].cast("double").alias("line_ends"))
 
 
-@register("e2_empty_corpus", "SELECT doc_id, text AS embedding FROM documents WHERE length(text) < 1")
-def e2(spark, d):
-    """A corpus of which no document has text gives no vectors, with the same schema."""
-    docs = documents(spark, d).filter(F.length("text") < 1)
-    return embed.embed_texts(docs, lambda: encode_shape).withColumn("embedding", F.array_join(F.col("embedding").cast("array<string>"), " "))
-
-
 @register("e3_reduce")
 def e3(spark, d):
     return embed.reduce_vectors(table(spark, d, "embeddings").select("vec_id", "embedding"), 5).select("vec_id", "reduced")
@@ -476,8 +469,8 @@ def e3(spark, d):
 
 @register("e4_precomputed_reduction")
 def e4(spark, d):
-    """Clustering on the first coordinates as the given reduction."""
-    rows = table(spark, d, "embeddings").select("vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, 3).alias("reduced"))
+    """Clustering on a given reduction of all coordinates."""
+    rows = materialize(embed.reduce_vectors(table(spark, d, "embeddings").select("vec_id", "embedding"), 5).select("vec_id", "reduced"))
     return density.density_clusters(rows, "vec_id", "reduced", Clustering(15, 5))
 
 
@@ -612,10 +605,10 @@ def g8(spark, d):
 # --- plot data ------------------------------------------------------------------
 
 def plane(spark: SparkSession, d: str) -> DataFrame:
-    return vectors(spark, d).select("vec_id", "topic", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
+    return with_plane(vectors(spark, d)).select("vec_id", "topic", "x", "y")
 
 
-@register("g9_centroids", "SELECT label AS topic, round(avg(embedding[1]::DOUBLE), 6) AS x, round(avg(embedding[2]::DOUBLE), 6) AS y FROM embeddings GROUP BY label")
+@register("g9_centroids", f"SELECT label AS topic, round(avg({SQL_X}), 6) AS x, round(avg({SQL_Y}), 6) AS y FROM embeddings GROUP BY label")
 def g9(spark, d):
     return explore.topic_centroids(plane(spark, d)).select("topic", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
@@ -649,7 +642,7 @@ def v5(spark, d):
 
 
 @register("v6_label_positions", f"""WITH {sql_ctfidf(SQL_SOURCE_TOPIC)}, l AS (SELECT topic, string_agg(word, ' - ' ORDER BY rank) AS label FROM tw WHERE rank <= 3 GROUP BY topic),
-c AS (SELECT label AS topic, round(avg(embedding[1]::DOUBLE), 6) AS x, round(avg(embedding[2]::DOUBLE), 6) AS y FROM embeddings GROUP BY ALL)
+c AS (SELECT label AS topic, round(avg({SQL_X}), 6) AS x, round(avg({SQL_Y}), 6) AS y FROM embeddings GROUP BY label)
 SELECT topic, x, y, l.label FROM c JOIN l USING (topic)""")
 def v6(spark, d):
     p = explore.label_positions(plane(spark, d), words_of(by_source(spark, d)))
