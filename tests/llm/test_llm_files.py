@@ -147,6 +147,29 @@ def test_density_finds_the_article_without_hints():
     assert got == ["Head", *(f"A paragraph with a good number of plain words in it, number {i}." for i in range(6))]
 
 
+def paragraphs(name, n=10, size=500):
+    return [(f"{name}{i} " + "plain words " * size)[:size].strip() for i in range(n)]
+
+
+@pytest.mark.parametrize("tags", [("main", "article"), ("div", "div"), ("main", "section"), ("div", "article")])
+@pytest.mark.parametrize("second", [500, 300])
+def test_density_chooses_on_every_page(tags, second):
+    outer, inner = tags
+    a, b = paragraphs("a"), paragraphs("b", 5, second)
+    links = "".join(f"<li><a href='/{i}'>some linked words {i}</a></li>" for i in range(30))
+    part = lambda texts: f"<{inner}>{''.join(f'<p>{x}</p>' for x in texts)}</{inner}>"
+    text = f"<{outer}><h1>Head</h1>{part(a)}{part(b)}</{outer}>"
+    assert html.main_text(f"<body>{text}</body>").split("\n") == ["Head", *a, *b]
+    assert html.main_text(f"<body><nav>{links}</nav>{text}<div><ul>{links}</ul></div></body>").split("\n") == ["Head", *a, *b]
+
+
+def test_a_small_article_does_not_hide_the_text_around_it():
+    a = paragraphs("a")
+    body = "".join(f"<p>{x}</p>" for x in a)
+    for tag in ("article", "div"):
+        assert html.main_text(f"<body><{tag}><a href='/x'>teaser</a></{tag}><div>{body}</div></body>").split("\n") == a
+
+
 def test_long_and_odd_pages_end_soon():
     assert html.main_text("<div>" * 20_000 + "deep") == "deep"
     assert len(html.main_text("<article>" + "<p>x" * 50_000)) == 99_999

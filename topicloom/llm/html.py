@@ -5,10 +5,13 @@ article (menus, footers, sidebars, forms, scripts and the like, by tag, role or
 class) are set aside. For every other element the composite text density is
 computed: its characters per tag, adjusted by the characters and tags of links
 in it. The element whose children have the largest sum of densities is the
-main one. If it lies in an ``article`` or ``main`` element, that element is the
-text. Otherwise the smallest density on its path to ``body`` is a threshold,
-and what stands beside that path is kept if its density reaches it, as are
-first- and second-level headings.
+main one, whatever its tag; of equal sums an ``article`` or ``main`` element
+goes first. The smallest density on its path to ``body``, in the page as it is
+shown (menus and the like included), is a threshold, and what stands beside
+that path is kept if its density reaches it, as are first- and second-level
+headings, and prose: at least ``PROSE`` unlinked characters a tag, few of them
+in links. Without the last a second section with shorter paragraphs than the
+main one would be lost on a page that has no menus.
 
 Character references are decoded, white space within a block becomes one
 space, and blocks are joined by a line end in page order. A line break element
@@ -56,6 +59,8 @@ TAG = re.compile(r"<!--.*?(?:-->|\Z)|</?[a-zA-Z](?:[^\"'<>]|\"[^\"<]*\"|'[^'<]*'
 CUT_OFF = re.compile(r"<[a-zA-Z/!][^>]*\Z")
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 MARKED = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)\b\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+#: unlinked characters a tag of what is prose
+PROSE = 80
 INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 ENDS = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in RAW}
 
@@ -64,7 +69,7 @@ class Page:
     """Elements in page order, and the events (element, text or None for a block's edge) between them."""
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.aside, self.soft = ["#root"], [-1], [False], [False]
+        self.tag, self.parent, self.aside, self.soft, self.unseen = ["#root"], [-1], [False], [False], [False]
         self.events: list[tuple[int, str | None]] = []
         self.open: Counter[str] = Counter()  # open elements by tag
         self._read(source)
@@ -77,7 +82,7 @@ class Page:
     def _open(self, name: str, token: str, stack: list[int]) -> int:
         inside = self.open["article"] > 0
         hard = name in RAW or name in ASIDE_TAGS and name != "form" or name == "header" and not inside
-        soft = name == "form"
+        soft, unseen = name == "form", False
         if name not in ("html", "body", "article", "main") and len(token) > len(name) + 2:
             for key, value in MARKED.findall(token):
                 key, value = key.lower(), value.strip("\"'")
@@ -86,17 +91,18 @@ class Page:
                 elif key == "role":
                     soft = soft or value.lower() in ASIDE_ROLES
                 elif key == "style":
-                    hard = hard or bool(INVISIBLE.search(value))
+                    unseen = unseen or bool(INVISIBLE.search(value))
                 elif key == "aria-hidden":
-                    hard = hard or value.lower() == "true"
+                    unseen = unseen or value.lower() == "true"
                 elif token[token.lower().find("hidden") - 1].isspace():
-                    hard = True
+                    unseen = True
         elif name == "article" and inside:
             soft = bool(ASIDE_CLASS.search(" ".join(v.strip("\"'") for k, v in MARKED.findall(token) if k.lower() in ("class", "id"))))
         self.tag.append(name)
         self.parent.append(stack[-1])
-        self.aside.append(hard)
+        self.aside.append(hard or unseen)
         self.soft.append(soft)
+        self.unseen.append(unseen or name == "head")
         return len(self.tag) - 1
 
     def _close_to(self, stack: list[int], depth: int) -> None:
@@ -176,8 +182,16 @@ def set_aside(page: Page) -> list[bool]:
     return out
 
 
-def densities(page: Page, aside: list[bool]) -> tuple[list[float], list[float], list[int]]:
-    """Composite text density of each element, sum of it over its children (own text as one), and characters."""
+def hidden(page: Page) -> list[bool]:
+    """Elements that a reader does not see, with all that is in them."""
+    out = [False] * len(page.tag)
+    for i in range(1, len(page.tag)):
+        out[i] = page.unseen[i] or out[page.parent[i]]
+    return out
+
+
+def densities(page: Page, aside: list[bool]) -> tuple[list[float], list[float], list[int], list[int], list[int]]:
+    """Composite text density of each element, sum of it over its children (own text as one), characters, those in links, and tags."""
     n = len(page.tag)
     chars, links, tags, link_tags, own = [0] * n, [0] * n, [0] * n, [0] * n, [0] * n
     linked = [False] * n
@@ -209,41 +223,46 @@ def densities(page: Page, aside: list[bool]) -> tuple[list[float], list[float],
     sums = [float(x) for x in own]
     for i in range(1, n):
         sums[page.parent[i]] += density[i]
-    return density, sums, chars
+    return density, sums, chars, links, tags
+
+
+def densest(page: Page, sums: list[float], chars: list[int], aside: list[bool]) -> int | None:
+    """The element of the largest sum; of equal ones an article or main element, then the first."""
+    choice = [i for i in range(len(page.tag)) if not aside[i] and chars[i]]
+    return max(choice, key=lambda i: (sums[i], page.tag[i] in ("article", "main"), -i)) if choice else None
+
+
+def path_of(page: Page, i: int) -> list[int]:
+    """The element and those around it, up to the root."""
+    path = [i]
+    while page.parent[path[-1]] >= 0:
+        path.append(page.parent[path[-1]])
+    return path
 
 
 def kept(page: Page) -> list[bool]:
     """Elements whose text is the main text."""
     n = len(page.tag)
+    shown = densities(page, hidden(page))[0]
     aside = set_aside(page)
-    density, sums, chars = densities(page, aside)
-    roots = [i for i, t in enumerate(page.tag) if t in ("article", "main") and not aside[i] and chars[i]]
-    inside = [False] * n
-    for r in roots:
-        inside[r : page.last[r] + 1] = [True] * (page.last[r] + 1 - r)
-    choice = [i for i in range(n) if not aside[i] and chars[i] and (inside[i] or not roots)]
-    if not choice:
+    density, sums, chars, links, tags = densities(page, aside)
+    best = densest(page, sums, chars, aside)
+    if best is None:
         return [False] * n
-    best = max(choice, key=lambda i: (sums[i], -i))
-    path = [best]
-    while page.parent[path[-1]] >= 0:
-        path.append(page.parent[path[-1]])
+    path = path_of(page, best)
+    upto = next((k for k, i in enumerate(path) if page.tag[i] == "body"), len(path) - 1)
+    threshold = min(shown[i] for i in path[: upto + 1])
+    beside = set(path[1:])
+    titled = {page.parent[i] for i in range(n) if page.tag[i] in ("h1", "h2") and page.tag[page.parent[i]] in ("header", "hgroup")}
     out = [False] * n
-    holders = [i for i in path if page.tag[i] in ("article", "main")]
-    if holders:
-        articles = [i for i in holders if page.tag[i] == "article"]
-        root = articles[-1] if articles else holders[-1]
-        out[root : page.last[root] + 1] = [True] * (page.last[root] + 1 - root)
-    else:
-        out[best : page.last[best] + 1] = [True] * (page.last[best] + 1 - best)
-        upto = next((k for k, i in enumerate(path) if page.tag[i] == "body"), len(path) - 1)
-        beside = set(path[1:])
-        threshold = min(density[i] for i in path[: upto + 1])
-        for i in range(1, n):
-            if page.parent[i] in beside and i not in beside and i != best and chars[i] and (density[i] >= threshold or page.tag[i] in ("h1", "h2")):
+    out[best : page.last[best] + 1] = [True] * (page.last[best] + 1 - best)
+    for i in range(1, n):
+        if page.parent[i] in beside and i not in beside and i != best and chars[i]:
+            prose = chars[i] - links[i] >= PROSE * max(tags[i], 1) and 4 * links[i] <= chars[i]
+            if density[i] >= threshold or prose or page.tag[i] in ("h1", "h2") or i in titled:
                 out[i : page.last[i] + 1] = [True] * (page.last[i] + 1 - i)
-        for i in path[1:]:
-            out[i] = True  # text that stands directly in the path
+    for i in path[1:]:
+        out[i] = True  # text that stands directly in the path
     return [a and not b for a, b in zip(out, aside)]
 
 
