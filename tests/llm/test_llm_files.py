@@ -170,6 +170,35 @@ def test_a_small_article_does_not_hide_the_text_around_it():
         assert html.main_text(f"<body><{tag}><a href='/x'>teaser</a></{tag}><div>{body}</div></body>").split("\n") == a
 
 
+@pytest.mark.parametrize("name", ["related-work", "search-algorithms", "social-impact", "header-files", "ad-hoc-networks", "comments", "header"])
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_words_in_ids_of_sections_and_headings_lose_nothing(name, tag):
+    a, b = paragraphs("a"), paragraphs("b", 3)
+    section = lambda i, texts: f"<section id='{i}'><h2 id='{i}'>Head of {i}</h2>{''.join(f'<p>{x}</p>' for x in texts)}</section>"
+    page = f"<body><{tag}><h1>Head</h1>{section('first', a)}{section(name, b)}</{tag}></body>"
+    assert html.main_text(page).split("\n") == ["Head", "Head of first", *a, f"Head of {name}", *b]
+
+
+@pytest.mark.parametrize("name", ["header-fixed", "header", "content-widget", "sidebar", "page_comments"])
+def test_a_named_wrapper_does_not_empty_the_page(name):
+    a = paragraphs("a")
+    body = "".join(f"<p>{x}</p>" for x in a)
+    links = "".join(f"<li><a href='/{i}'>some linked words {i}</a></li>" for i in range(30))
+    for page in (f"<body><div class='{name}'>{body}</div></body>", f"<body><form id='{name}'><div>{body}</div><div class='left-{name}'><ul>{links}</ul></div></form></body>"):
+        assert html.main_text(page).split("\n") == a
+    assert html.main_text(f"<body><div class='{name}'>a</div><div class='{name}'>b</div></body>") == "a\nb"
+
+
+@pytest.mark.parametrize("name", ["ad", "share-bar", "left sidebar", "site_comments"])
+def test_density_bears_out_the_words(name):
+    a = paragraphs("a")
+    body = "".join(f"<p>{x}</p>" for x in a)
+    junk = "<div class='%s'>%s</div>"
+    links = "".join(f"<a href='/{i}'>some linked words {i}</a> " for i in range(60))
+    for inner in ("A few plain words.", links):
+        assert html.main_text(f"<body><div>{body}{junk % (name, inner)}</div></body>").split("\n") == a
+
+
 def test_long_and_odd_pages_end_soon():
     assert html.main_text("<div>" * 20_000 + "deep") == "deep"
     assert len(html.main_text("<article>" + "<p>x" * 50_000)) == 99_999

@@ -1,8 +1,14 @@
 """Main text of web pages by composite text density.
 
 A page is read into a tree of elements. Elements that never belong to an
-article (menus, footers, sidebars, forms, scripts and the like, by tag, role or
-class) are set aside. For every other element the composite text density is
+article (menus, footers, sidebars, scripts and the like, by tag or role) are set
+aside. A form, and an element whose class or id is named like one of these, is
+under suspicion only: it is set aside if its density bears that out (half of it
+in links, shorter than ``SHORT``, at most ``SMALL`` of the page, or less dense
+than the path of the densest element), and never if the densest element of the
+page lies in it or if nothing would remain. A name counts as a whole (words of
+the list and of layout); headings, and the ids of sections with a heading, are
+not looked at. For every other element the composite text density is
 computed: its characters per tag, adjusted by the characters and tags of links
 in it. The element whose children have the largest sum of densities is the
 main one, whatever its tag; of equal sums an ``article`` or ``main`` element
@@ -34,6 +40,7 @@ from pyspark.sql import DataFrame
 from .common import in_runs
 
 #: fixed HTML vocabulary
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe object svg canvas audio video math textarea select title xmp noembed noframes".split())
 BLOCKS = frozenset(
@@ -54,7 +61,14 @@ ASIDE_WORDS = (
     "sidebar|aside|footer|header|masthead|cookie|cookies|consent|notice|notices|gdpr|alert|popup|modal|overlay|newsletter|subscribe|signup|login|search|share|"
     "sharing|social|related|recommended|comment|comments|disqus|respond|reply|replies|widget|toolbar|pagination|pager|skip|disclaimer"
 )
-ASIDE_CLASS = re.compile(rf"(?:^|\s)(?:(?!has-|with-|no-|has_|with_|no_)\w+[-_])?(?:{ASIDE_WORDS})(?:[-_][\w-]*)?(?=\s|$)", re.I)
+#: words that stand beside those in the name of a class, and say nothing of their own
+LAYOUT_WORDS = (
+    "area|bar|block|body|bottom|box|button|buttons|center|col|column|container|content|element|form|group|icon|icons|inner|item|items|left|link|links|list|main|"
+    "outer|page|panel|primary|recent|right|row|secondary|section|site|text|title|top|wrap|wrapper"
+)
+ASIDE_CLASS = re.compile(rf"(?<!\S)(?:(?:{LAYOUT_WORDS})[-_]+)*(?:{ASIDE_WORDS})(?:[-_]+(?:{ASIDE_WORDS}|{LAYOUT_WORDS}))*(?!\S)", re.I)
+#: what has fewer characters is short, and what has at most this share of the page's is small
+SHORT, SMALL = 200, 0.05
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|</?[a-zA-Z](?:[^\"'<>]|\"[^\"<]*\"|'[^'<]*')*+>|</?[a-zA-Z][^>]*>|<[!?/][^>]*>", re.S)
 CUT_OFF = re.compile(r"<[a-zA-Z/!][^>]*\Z")
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
@@ -69,7 +83,7 @@ class Page:
     """Elements in page order, and the events (element, text or None for a block's edge) between them."""
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.aside, self.soft, self.unseen = ["#root"], [-1], [False], [False], [False]
+        self.tag, self.parent, self.aside, self.soft, self.unseen, self.named = ["#root"], [-1], [False], [False], [False], [""]
         self.events: list[tuple[int, str | None]] = []
         self.open: Counter[str] = Counter()  # open elements by tag
         self._read(source)
@@ -82,12 +96,13 @@ class Page:
     def _open(self, name: str, token: str, stack: list[int]) -> int:
         inside = self.open["article"] > 0
         hard = name in RAW or name in ASIDE_TAGS and name != "form" or name == "header" and not inside
-        soft, unseen = name == "form", False
+        soft, unseen, named = False, False, "form" if name == "form" else ""
         if name not in ("html", "body", "article", "main") and len(token) > len(name) + 2:
             for key, value in MARKED.findall(token):
                 key, value = key.lower(), value.strip("\"'")
                 if key in ("class", "id"):
-                    soft = soft or bool(ASIDE_CLASS.search(value)) and not (inside and name in ("h1", "header"))
+                    if name not in HEADINGS and not (inside and name == "header") and ASIDE_CLASS.search(value):
+                        named = key if named in ("", "id") else named
                 elif key == "role":
                     soft = soft or value.lower() in ASIDE_ROLES
                 elif key == "style":
@@ -97,11 +112,12 @@ class Page:
                 elif token[token.lower().find("hidden") - 1].isspace():
                     unseen = True
         elif name == "article" and inside:
-            soft = bool(ASIDE_CLASS.search(" ".join(v.strip("\"'") for k, v in MARKED.findall(token) if k.lower() in ("class", "id"))))
+            named = "class" if ASIDE_CLASS.search(" ".join(v.strip("\"'") for k, v in MARKED.findall(token) if k.lower() in ("class", "id"))) else ""
         self.tag.append(name)
         self.parent.append(stack[-1])
         self.aside.append(hard or unseen)
         self.soft.append(soft)
+        self.named.append(named)
         self.unseen.append(unseen or name == "head")
         return len(self.tag) - 1
 
@@ -240,18 +256,51 @@ def path_of(page: Page, i: int) -> list[int]:
     return path
 
 
+def threshold_of(page: Page, path: list[int], density: list[float]) -> float:
+    """The smallest density on a path, up to body."""
+    upto = next((k for k, i in enumerate(path) if page.tag[i] == "body"), len(path) - 1)
+    return min(density[i] for i in path[: upto + 1])
+
+
+def suspects(page: Page, aside: list[bool], found: tuple, path: set[int], threshold: float) -> list[bool] | None:
+    """``aside`` and the elements whose name and density both speak against them; None if there are none or nothing would remain."""
+    density, _, chars, links, _ = found
+    headed = set()
+    for i, name in enumerate(page.tag):
+        if name in HEADINGS:
+            p = page.parent[i]
+            while p >= 0 and p not in headed:
+                headed.add(p)
+                p = page.parent[p]
+    out, left, some = list(aside), chars[0], False
+    for i in range(1, len(page.tag)):
+        if out[page.parent[i]]:
+            out[i] = True
+        elif page.named[i] and chars[i] and not out[i] and i not in path and not (page.named[i] == "id" and page.tag[i] == "section" and i in headed):
+            if 2 * links[i] >= chars[i] or chars[i] < SHORT or chars[i] <= SMALL * chars[0] or density[i] < threshold:
+                out[i] = some = True
+                left -= chars[i]
+    return out if some and left else None
+
+
 def kept(page: Page) -> list[bool]:
     """Elements whose text is the main text."""
     n = len(page.tag)
     shown = densities(page, hidden(page))[0]
     aside = set_aside(page)
-    density, sums, chars, links, tags = densities(page, aside)
-    best = densest(page, sums, chars, aside)
+    found = densities(page, aside)
+    best = densest(page, *found[1:3], aside)
     if best is None:
         return [False] * n
     path = path_of(page, best)
-    upto = next((k for k, i in enumerate(path) if page.tag[i] == "body"), len(path) - 1)
-    threshold = min(shown[i] for i in path[: upto + 1])
+    named = suspects(page, aside, found, set(path), threshold_of(page, path, shown))
+    if named is not None:
+        aside = named
+        found = densities(page, aside)
+        best = densest(page, *found[1:3], aside)
+        path = path_of(page, best)
+    density, sums, chars, links, tags = found
+    threshold = threshold_of(page, path, shown)
     beside = set(path[1:])
     titled = {page.parent[i] for i in range(n) if page.tag[i] in ("h1", "h2") and page.tag[page.parent[i]] in ("header", "hgroup")}
     out = [False] * n
