@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, html, mixing, neardup, quality, sharding, urls, warc
+from ..functions.tokens import once
+from . import ann, chat, decontam, hardneg, html, mixing, neardup, periodic, quality, sharding, tokenids, urls, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -151,5 +152,56 @@ def op10_html(spark: SparkSession, folder: str) -> DataFrame:
     return html.extract(table(spark, folder, "pages"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontam, op2_mixing, op3_sharding, op4_chat, op5_neardup, op6_warc, op7_urls, op8_quality, op9_ann, op10_html)}
+def looped(doc_id, text):
+    """The words of a tenth of the documents, with a part of them repeated to the end; other texts as they are."""
+    h = F.crc32(F.encode(doc_id.cast("string"), "UTF-8"))
+    g = F.floor(h / 10).cast("long")
+
+    def repeat(w):
+        n = F.size(w)
+        a = F.pmod(g, F.greatest(n, F.lit(1))).cast("int")
+        p = (F.floor((n - a) / (3 + g % 8)) + 1).cast("int")
+        times = F.ceil((n - a) / p).cast("int")
+        tail = F.slice(F.flatten(F.array_repeat(F.slice(w, a + 1, p), times)), F.lit(1), n - a)
+        return F.when(n > 0, F.array_join(F.concat(F.slice(w, F.lit(1), a), tail), " "))
+
+    return F.when(h % 10 == 0, once(F.regexp_extract_all(text, F.lit(mixing.WORD), F.lit(0)), repeat)).otherwise(text)
+
+
+def op11_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", looped(F.col("doc_id"), F.col("text")).alias("text"))
+    higher = lambda r, b: (r["length"] * b["period"] > b["length"] * r["period"]) | b["length"].isNull()
+    nothing = F.lit(None).cast("struct<start: bigint, length: bigint, period: bigint>")
+    line = lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string"))
+    found = periodic.runs(docs).withColumn("best", F.aggregate("runs", nothing, lambda b, r: F.when(higher(r, b), r).otherwise(b)))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_token_ids(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, folder, "documents")
+    files = tokenids.write(docs, tokenids.file_folder(spark), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    kind = docs.schema["doc_id"].dataType
+    return tokenids.read(files, with_ids=False).select(F.col("doc_id").cast(kind).alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    component = lambda x: F.when(~F.isnan(x) & (F.abs(x) < float("inf")), F.floor(F.lit(256.0) * x.cast("double")))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), label.alias("label"), F.transform("embedding", component).alias("v"))
+    return hardneg.mine(vectors, F.col("id") % 50 == 0)
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f for f in (
+        op1_decontam, op2_mixing, op3_sharding, op4_chat, op5_neardup, op6_warc, op7_urls, op8_quality, op9_ann, op10_html,
+        op11_runs, op12_token_ids, op13_hard_negatives,
+    )
+}
 ORACLES: dict[str, str] = {"op1_decontam": OP1_SQL, "op4_chat": OP4_SQL, "op7_urls": OP7_SQL}
