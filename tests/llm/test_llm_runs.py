@@ -135,6 +135,7 @@ def tokenizer_path():
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.one_of(st.text(max_size=60), st.text(" \n\tabZ.,'9é 　日ß!<|>s", max_size=80)), max_size=8))
 def test_pieces_encode_like_whole_texts(texts):
+    texts += ["don't, 's.it's\n\n x\ny ", " a,b <|endoftext|> c.d"][: len(texts) % 3]
     texts = [t.encode("utf-8", "ignore").decode() for t in texts]
     model, in_pieces = tokenids.tokenizer(tokenizer_path())
     ids, counts = tokenids.encode([t.encode() for t in texts], tokenizer_path())

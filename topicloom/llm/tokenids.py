@@ -19,10 +19,10 @@ Rows are range-partitioned by (doc_id, hash of the text), and each task encodes
 and writes its range as it comes, so memory holds some blocks and the document
 index of one file. File names hold a fresh id, and only files listed in the
 returned table count: what a lost or repeated attempt leaves behind is never
-read. A byte-level tokenizer never joins what lies on two sides of a space
-before a printable ASCII character, so texts are cut there, and every distinct
-piece of a batch is encoded once; this also bounds the memory of a long text.
-Tokenizers of another kind encode whole texts.
+read. A byte-level tokenizer looks at words, marks and white space one by one, so
+texts are cut where its pattern always does (:func:`piece_starts`), and every
+distinct piece of a run of texts is encoded once; this also bounds the memory of
+a long text. Tokenizers of another kind encode whole texts.
 
 Nulls: a null text is empty and gives the end id only; a null doc_id comes
 first. Repeated rows follow each other, ties of doc_id by the hash of the text.
@@ -36,6 +36,7 @@ import struct
 import uuid
 import zlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -49,6 +50,8 @@ MAGIC = b"PFORIDS1"
 BLOCK = 1024
 #: blocks encoded, written, or read at once
 GROUP = 256
+#: bytes of text whose pieces are encoded together
+RUN_BYTES = 32 << 20
 NULL = 0xFFFFFFFF
 HEAD = struct.Struct("<IHBBH")
 TRAILER = struct.Struct("<QQQQQI8s")
@@ -134,6 +137,13 @@ def decode_blocks(data: bytes) -> np.ndarray:
 # encoding
 
 
+LETTER, MARK, AFTER_SPACE = np.zeros((3, 256), dtype=bool)
+LETTER[65:91] = LETTER[97:123] = True
+MARK[33:48] = MARK[58:65] = MARK[91:97] = MARK[123:127] = True
+MARK[39] = False  # an apostrophe may belong to the letters after it
+AFTER_SPACE[33:127] = AFTER_SPACE[195:224] = True  # first bytes of characters that are no white space
+
+
 @lru_cache(maxsize=4)
 def tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -145,25 +155,44 @@ def tokenizer(path: str):
     return found, in_pieces
 
 
+def piece_starts(joined: bytes, first: np.ndarray, added: list[str]) -> np.ndarray:
+    """Where pieces begin that a byte-level tokenizer encodes alone as in their text.
+
+    Its pattern joins no letter with a mark, nothing with a line end after it,
+    and a space only with what follows; white space of several characters is
+    left whole. A text with an added token is cut at spaces only.
+    """
+    data = np.frombuffer(joined, np.uint8)
+    cut = np.zeros(len(data) + 1, bool)
+    if len(data) > 1:
+        space = (data[:-1] == 32) & AFTER_SPACE[data[1:]]
+        inner = first[(first > 0) & (first < len(data))]
+        space[inner - 1] = False  # a space that ends its text is followed by nothing
+        cut[:-2] = space
+        if not any(token.encode() in joined for token in added):
+            letter, mark, line = LETTER[data], MARK[data], data == 10
+            solid = letter | mark
+            cut[1:-1] |= (letter[:-1] & (mark[1:] | line[1:])) | (mark[:-1] & (letter[1:] | line[1:]))
+            cut[2:-1] |= solid[:-2] & line[1:-1] & solid[2:]
+    cut[first] = True
+    return np.flatnonzero(cut)
+
+
 def encode(texts: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
-    """All ids of the texts, and how many each text has."""
+    """All ids of the texts, and how many each text has. Every distinct piece is encoded once."""
     import pyarrow as pa
 
     model, in_pieces = tokenizer(path)
-    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    first = np.concatenate([[0], np.cumsum(lengths)])
-    cuts = first
-    if in_pieces:
-        data = np.frombuffer(b"".join(texts), np.uint8)
-        spaces = np.flatnonzero((data[:-1] == 32) & (data[1:] > 32) & (data[1:] < 127)) if len(data) else np.zeros(0, np.int64)
-        cuts = np.union1d(first, np.setdiff1d(spaces, first - 1))  # a space that ends its text is followed by nothing
-    pieces = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(b"".join(texts))])
+    joined = b"".join(texts)
+    first = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))])
+    cuts = piece_starts(joined, first, [t.content for t in model.get_added_tokens_decoder().values()]) if in_pieces else np.unique(first)
+    pieces = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(joined)])
     distinct = pieces.dictionary_encode()
-    ids, counts, batch = [], [], distinct.dictionary.cast(pa.string(), safe=True)
+    ids, counts, batch = [], [], distinct.dictionary.cast(pa.string())
     for start in range(0, len(batch), 4096):
         found = [e.ids for e in model.encode_batch_fast(batch.slice(start, 4096).to_pylist(), add_special_tokens=False)]
         counts.append(np.fromiter(map(len, found), np.int64, len(found)))
-        ids.append(np.fromiter((x for f in found for x in f), np.uint32, int(counts[-1].sum())))
+        ids.append(np.fromiter(chain.from_iterable(found), np.uint32, int(counts[-1].sum())))
     offsets = np.concatenate([[0], np.cumsum(np.concatenate(counts or [[]]))]).astype(np.int32)
     lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids or [np.zeros(0, np.uint32)])))
     which = distinct.indices.to_numpy()
@@ -249,7 +278,7 @@ def write(
         done, writer, part = [], None, None
         for batch in batches:
             part = batch.column("_part")[0].as_py() if batch.num_rows else part
-            for run in in_runs([batch]):
+            for run in in_runs([batch], RUN_BYTES):
                 ids, counts = with_end(*encode(utf8(run.column("text")), tokenizer_path), end_id)
                 writer = writer or Writer(folder, percentile)
                 writer.add(ids, counts, run.column("doc_id").cast(pa.binary()).to_pylist())
