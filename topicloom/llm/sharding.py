@@ -5,16 +5,17 @@ sample of keys, drawn with chances proportional to the bytes behind a key,
 gives quantile boundaries; records are dealt to the ranges between them, and a
 range with too many bytes is subdivided. Exact byte and row sums of the parts
 give every record its place in the whole order, and shards are equal stretches
-of bytes of that order. Equal texts lie side by side and share a shard unless a
-boundary falls between them.
+of bytes of that order. Equal texts share a shard unless a boundary of shards falls
+between them or their range holds too many bytes and is subdivided.
 
 Nulls: a null text has no bytes and crc32 0; null ids are allowed. Repeated
-rows are each given a slot. An empty table gives an empty result. Shards of a
+rows are each given a slot; ties of the key go by the place of the row as read. An empty table gives an empty result. Shards of a
 table with few records may stay empty. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,14 +47,19 @@ def splitters(keyed: DataFrame, total: int, ranges: int, sample: int, seed: int)
     return sorted(set(out))[: ranges - 1]
 
 
-def range_of(bounds: list[tuple[int, int]], low: int = 0) -> Column:
-    """Number of boundaries at or below the record's key, as a tree of comparisons."""
+def range_of(bounds: list[tuple[int, int]]) -> Column:
+    """Number of boundaries at or below the record's key, by halving steps over two literal arrays."""
     if not bounds:
-        return F.lit(low)
-    middle = len(bounds) // 2
-    a, b = bounds[middle]
-    less = (F.col(KEY[0]) < a) | ((F.col(KEY[0]) == a) & (F.col(KEY[1]) < b))
-    return F.when(less, range_of(bounds[:middle], low)).otherwise(range_of(bounds[middle + 1 :], low + middle + 1))
+        return F.lit(0)
+    first, second = (F.lit(np.array(column, dtype=np.int64)) for column in zip(*bounds))
+
+    def further(low: Column, step: Column) -> Column:
+        a, b = F.get(first, low + step - 1), F.get(second, low + step - 1)  # null beyond the last boundary
+        at_or_below = (a < F.col(KEY[0])) | ((a == F.col(KEY[0])) & (b <= F.col(KEY[1])))
+        return F.when(at_or_below, low + step).otherwise(low)
+
+    steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), further)
 
 
 def shard(
@@ -69,7 +75,7 @@ def shard(
         )
     )
     total = keyed.agg(F.sum("size")).first()[0] or 0
-    ranged = keyed.withColumn("_range", range_of(splitters(keyed, total, ranges, sample, seed)))
+    ranged = stage(keyed.withColumn("_range", range_of(splitters(keyed, total, ranges, sample, seed))))
     full = max(1, min(part_bytes, 2 * total // ranges))
     ways = ranged.groupBy("_range").agg(F.greatest(F.ceil(F.sum("size") / full), F.lit(1)).alias("_ways"))
     parts = (
