@@ -3,6 +3,7 @@
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from topicloom.llm import chat, mixing, sharding, urls
@@ -90,6 +91,26 @@ def test_mix_empty(spark):
     assert mixing.repeated(docs(spark, [])).columns == docs(spark, []).columns
 
 
+CLASHING = ["_key", "_id", "_own", "_maybe", "_times", "_score", "score", "_copy", "_word", "_bits", "_whole", "_row", "label", "content", "class", "_label"]
+
+
+def test_columns_with_names_of_our_own_stay(spark, tmp_path):
+    import corpus_pipeline
+    from topicloom.llm import decontam, neardup, quality
+
+    rows = [(i, f"some words number {i} " * 9, f"s{i % 3}") for i in range(30)] + [(50, "some words number 3 " * 9, "s0"), (51, None, None)]
+    frame = docs(spark, rows).selectExpr("doc_id", "text", "source", *[f"concat('{c}', doc_id) AS {c}" for c in CLASHING])
+    bench = spark.createDataFrame([(1, "number 7 some words number 7 some words number 7")], "item_id long, text string")
+    spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    for kept in (
+        corpus_pipeline.good(spark, frame, str(tmp_path)), neardup.first_of_each(frame), decontam.clean(frame, bench), mixing.repeated(frame),
+        quality.score(frame, quality.fit(np.zeros((0, len(quality.NAMES))), np.zeros(0)), "p").drop("p"),
+    ):
+        assert kept.columns == frame.columns
+        found = kept.collect()
+        assert found and all(r[c] == f"{c}{r.doc_id}" for r in found for c in CLASHING)
+
+
 def test_repeated_documents(spark):
     got = mixing.repeated(docs(spark, ROWS), block_words=16)
     assert got.columns == docs(spark, []).columns
@@ -154,10 +175,23 @@ def test_chat_rotates(spark):
 def test_chat_spreads_crowded_turns(spark):
     rows = spark.createDataFrame([(1, 0, "ann", f"t{i}") for i in range(300)], "conv_id long, turn long, role string, text string")
     got = chat.rotate(rows, segment_rows=64).collect()
-    assert len(got) > 3 and sum(r.n_turns for r in got) == 300
+    assert len(got) == 5 and [r.n_turns for r in sorted(got, key=lambda r: r.part)] == [64, 64, 64, 64, 44]
     assert Counter(t for r in got for t in r.text.split("\n") if t.startswith("t")) == Counter(f"t{i}<|im_end|>" for i in range(300))
 
 
+def test_parts_joined_are_the_dialogue(spark):
+    turns = [(1, i // 7, f"p{i % 3}", f"text {i * 37 % 911}") for i in range(1500)] + [(1, None, "p1", "again")] * 700 + [(2, 1, "ann", "alone")]
+    rows = spark.createDataFrame([turns[i * 1009 % len(turns)] for i in range(len(turns))], "conv_id long, turn long, role string, text string").repartition(5)
+    parts = defaultdict(list)
+    for r in chat.rotate(rows, segment_rows=128).collect():
+        assert r.n_turns <= 128
+        assert all(r.text[s.start : s.end].startswith(("text", "again", "alone")) and r.text[: s.start].endswith("assistant\n") for s in r.spans)
+        parts[r.conv_id, r.segment, r.participant].append((r.part, r.text))
+    joined = {(*k, "".join(t for _, t in sorted(v))) for k, v in parts.items()}
+    assert joined == {(c, s, who, text) for c, s, who, _, text, _ in brute_chat(turns)}
+    assert all(sorted(p for p, _ in v) == list(range(len(v))) for v in parts.values())
+
+
 RULES = [("net", "/", "block"), ("Example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"), ("net", "/", "block"), (None, "/", "block"), ("both.de", "/", "allow"), ("both.de", "/", "block")]
 URLS = ["http://a.net", "http://a.net/", "https://EXAMPLE.net/en/x?y#z", "http://x.example.net/en/", "http://example.net/de", "http://example.com/de/a", "http://notexample.com/de/a",
         "ftp://b.org/fr/", "http://b.org/frx", None, "", "no scheme", "://", "http://net/", "http://net?q=/", "http://a.b.c.d.e.net//", "http://both.de/x", "http://" + "a." * 3000 + "net/" + "p" * 9000, "x://example.net/en/#://"]
@@ -187,6 +221,25 @@ def test_urls(spark):
     assert {r.verdict for r in urls.judge(rows, rules.limit(0)).collect()} == {"allow"}
 
 
+def test_a_list_too_large_raises(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(urls, "MAX_BITS", 256)
+    corpus = spark.range(3000).select(F.array(F.concat(F.lit("k"), "id")).alias("_keys"))
+    with pytest.raises(ValueError, match="keys need a filter"):
+        urls.Cascade(spark.range(1000).select(F.concat(F.lit("k"), "id").alias("key")), corpus, "_keys")
+
+
+@pytest.mark.parametrize("bits", [0.2, 0.01])
+def test_levels_that_pass_all_are_built_again(spark, bits):
+    from pyspark.sql import functions as F
+
+    corpus = spark.range(3000).select(F.array(F.concat(F.lit("k"), "id")).alias("_keys"), "id")
+    cascade = urls.Cascade(spark.range(1000).select(F.concat(F.lit("k"), "id").alias("key")), corpus, "_keys", bits_per_key=bits)
+    found = cascade.attach(corpus, "_w").filter(cascade.contains("_w", F.element_at("_keys", 1))).select("id").collect()
+    assert sorted(r.id for r in found) == list(range(1000))
+
+
 def test_cascade_is_exact_for_many_keys(spark):
     from pyspark.sql import functions as F
 

@@ -158,6 +158,14 @@ def test_agreement_estimates_similarity():
     assert neardup.similarities([b"a b c d e f", b"A b c d e f!"], idf)[0, 1] == pytest.approx(1)
 
 
+@pytest.mark.parametrize("weight", [1 + i / 100 for i in range(101)])
+def test_a_similarity_of_exactly_four_fifths_is_a_link(weight):
+    idf = np.full(1 << neardup.BUCKET_BITS, weight)
+    shared = " ".join(f"w{i}" for i in range(12))  # eight shingles, and one more of either text
+    assert neardup.links([f"{shared} left".encode(), f"{shared} right".encode()], idf).tolist() == [[0, 1]]
+    assert neardup.links([f"{shared} left".encode(), f"{shared} right side".encode()], idf).tolist() == []
+
+
 def test_similarities_of_a_block():
     rng = random.Random(2)
     base = " ".join(f"t{rng.randrange(30)}" for _ in range(150))

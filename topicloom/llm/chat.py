@@ -5,10 +5,10 @@ with that speaker as the assistant and all others as named users; only the
 assistant's contents count for the loss, as character spans of the text.
 
 Long dialogues are rendered in segments of ``segment_turns`` consecutive turn
-numbers, so that no text or task grows without bound; the segments of a
-dialogue, joined in order, are its whole text. Should more than
-``segment_rows`` rows carry the turn numbers of one segment (repeated rows),
-these are spread over further parts by a hash.
+numbers, so that no text or task grows without bound. A segment with more than
+``segment_rows`` rows (repeated or null turn numbers) is rendered in parts of so
+many consecutive rows. The segments and parts of a dialogue, joined in order,
+are its whole text; spans count from the start of their part.
 
 Nulls: a null text is an empty turn; a null or empty role is an unnamed user
 and no participant; null turn numbers form a last segment of their own (null);
@@ -20,13 +20,14 @@ columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stage
 
 START, END = "<|im_start|>", "<|im_end|>"
 SYSTEM = "system"
+TURN = ["conv_id", "segment", "_turn", "speaker", "body"]
 
 
 def header(speaker: Column, participant: Column) -> Column:
@@ -62,21 +63,38 @@ def render(turns: Column, participant: Column) -> tuple[Column, Column]:
     return F.array_join(pieces, ""), spans
 
 
+def in_parts(rows: DataFrame, segment_rows: int) -> DataFrame:
+    """Rows of crowded segments with their part, equal rows of a part as one row with ``times``.
+
+    Equal rows are counted first; what is left is ranged by its order, and sums
+    by range give every row its place in its segment.
+    """
+    key = ["_group", F.col("_turn").isNull(), "_turn", "speaker", "body"]
+    counted = rows.groupBy("_group", *TURN).agg(F.count(F.lit(1)).alias("_n"))
+    ranged = stage(counted.repartitionByRange(*key).withColumn("_range", F.spark_partition_id()))
+    before = Window.partitionBy("_group").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy("_group", "_range").agg(F.sum("_n").alias("_sum"))
+    offsets = sums.select("_group", "_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
+    within = Window.partitionBy("_group", "_range").orderBy(*key[1:]).rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.withColumn("_run", F.coalesce(F.sum("_n").over(within), F.lit(0))).join(offsets, ["_group", "_range"])
+    placed = placed.withColumn("_first", F.col("_offset") + F.col("_run")).withColumn("_last", F.col("_first") + F.col("_n") - 1)
+    parts = placed.withColumn("part", F.explode(F.expr(f"sequence(_first div {segment_rows}, _last div {segment_rows})")))
+    times = F.least(F.col("_last") + 1, (F.col("part") + 1) * segment_rows) - F.greatest(F.col("_first"), F.col("part") * segment_rows)
+    return parts.select(*TURN, F.col("part").cast("long").alias("part"), times.cast("long").alias("times"))
+
+
 def rotate(turns: DataFrame, segment_turns: int = 1024, segment_rows: int = 4096) -> DataFrame:
     """conv_id, segment, part, participant, n_turns, text and spans for all participants of ``turns`` (conv_id, turn, role, text)."""
     rows = turns.select(
         "conv_id", F.floor(F.col("turn") / segment_turns).alias("segment"), F.col("turn").alias("_turn"),
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("speaker"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("body"),
     ).withColumn("_group", F.xxhash64("conv_id", "segment"))
-    crowded = stage(
-        rows.groupBy("_group").agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > segment_rows)
-        .select("_group", F.ceil(F.col("_rows") / segment_rows).alias("_parts"))
-    )
-    rows = rows.join(crowded, "_group", "left").withColumn(
-        "part", F.when(F.col("_parts").isNotNull(), F.pmod(F.xxhash64("_turn", "speaker", "body", F.monotonically_increasing_id()), F.col("_parts"))).otherwise(0)
-    )
-    order = F.struct(F.col("_turn").isNull().alias("a"), F.col("_turn").alias("b"), "speaker", "body")
-    segments = rows.groupBy("conv_id", "segment", "part").agg(F.array_sort(F.collect_list(order)).alias("turns"))
+    crowded = stage(rows.groupBy("_group").agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > segment_rows).select("_group"))
+    usual = rows.join(crowded, "_group", "left_anti").select(*TURN, F.lit(0).cast("long").alias("part"), F.lit(1).cast("long").alias("times"))
+    dealt = usual.unionByName(in_parts(rows.join(crowded, "_group", "left_semi"), segment_rows))
+    order = F.struct(F.col("_turn").isNull().alias("a"), F.col("_turn").alias("b"), "speaker", "body", "times")
+    ordered = F.array_sort(F.collect_list(order))
+    segments = dealt.groupBy("conv_id", "segment", "part").agg(F.flatten(F.transform(ordered, lambda t: F.array_repeat(t, t["times"].cast("int")))).alias("turns"))
     named = (F.col("speaker") != "") & (F.col("speaker") != SYSTEM)
     people = rows.filter(named).groupBy("conv_id", "speaker").agg(F.lit(1).alias("_one")).select(F.col("conv_id").alias("_conv"), F.col("speaker").alias("participant"))
     text, spans = render(F.col("turns"), F.col("participant"))

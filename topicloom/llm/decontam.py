@@ -210,5 +210,5 @@ def overlaps(docs: DataFrame, bench: DataFrame, window: int = WINDOW, gram: int
 def clean(docs: DataFrame, bench: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """The documents that no benchmark window occurs in, with all their columns."""
     hit = overlaps(docs, bench, window, gram).filter("contaminated").select(F.col("doc_id").alias("_id"), F.col("doc_key").alias("_key")).distinct()
-    keyed = docs.withColumn("_own", doc_key())
-    return keyed.join(stage(hit), (F.col("_own") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti").drop("_own")
+    keyed = docs.select("doc_id", doc_key().alias("_own"), F.struct("*").alias("_whole"))  # names of other columns cannot clash
+    return keyed.join(stage(hit), (F.col("_own") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti").select("_whole.*")

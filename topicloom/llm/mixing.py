@@ -203,6 +203,6 @@ def repeated(docs: DataFrame, seed: int = 42, **settings) -> DataFrame:
         share.select(F.col("doc_id").alias("_id"), F.col("doc_key").alias("_key"), F.floor(F.col("_share") + unit_interval(F.col("doc_key"), seed)).cast("int").alias("_times"))
         .filter("_times > 0")
     )
-    keyed = docs.withColumn("_own", doc_key(seed))
+    keyed = docs.select("doc_id", doc_key(seed).alias("_own"), F.struct("*").alias("_whole"))  # names of other columns cannot clash
     joined = keyed.join(times, (F.col("_own") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(docs.columns)
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_whole.*")

@@ -37,7 +37,10 @@ from .common import Words, in_runs, marked, mixed, stage, utf8
 from .components import components
 
 SHINGLE = 5
-LEAST = 0.8
+#: least similarity of a link, as a fraction: whole weights are compared exactly
+LEAST = (4, 5)
+#: weights are whole multiples of 1 / SCALE
+SCALE = 10_000
 BANDS, ROWS = 14, 4
 SAMPLES = BANDS * ROWS
 #: candidates agree in at least this share of their draws (3.6 standard deviations below 0.8)
@@ -80,7 +83,7 @@ def inverse_frequencies(df: np.ndarray, n: int) -> np.ndarray:
 
 
 def shingles(words: Words, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, hash, weight) of the distinct shingles, ordered by document and hash."""
+    """(document, hash, weight) of the distinct shingles, ordered by document and hash. Weights are whole, in units of 1 / ``SCALE``."""
     values = idf[word_buckets(words)]
     sums = np.concatenate([[0.0], np.cumsum(values)])
     docs, hashes, weights = [], [], []
@@ -99,7 +102,7 @@ def shingles(words: Words, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
     at = np.flatnonzero(new)
     times = np.diff(np.append(at, len(h)))
-    return doc[at], h[at], times * np.round(w[at], 4)
+    return doc[at], h[at], times * np.round(w[at] * SCALE)
 
 
 class Draws:
@@ -119,7 +122,7 @@ class Draws:
         out = np.zeros((n, SAMPLES), np.uint32)
         if not len(h):
             return out
-        log_w = np.round(np.log(w), 4).astype(np.float32)
+        log_w = np.round(np.log(w / SCALE), 4).astype(np.float32)
         starts = np.flatnonzero(np.diff(doc, prepend=-1))
         own, lengths = doc[starts], np.diff(np.append(starts, len(doc)))
         with np.errstate(over="ignore"):
@@ -220,11 +223,12 @@ def screened(pairs: DataFrame, contents: DataFrame) -> DataFrame:
     return both.select("a", "b", "_ma", "_mb").mapInArrow(keep, "a binary, b binary")
 
 
-def similarities(texts: list[bytes], idf: np.ndarray, columns: int = 4096) -> np.ndarray:
-    """Weighted Jaccard similarity of all pairs of a block of texts.
+def overlaps(texts: list[bytes], idf: np.ndarray, columns: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """Common weight and weight of the union of all pairs of a block of texts, as whole numbers.
 
     Shingles of one weight wherever they occur are counted by matrix products,
-    the others by minima; ``columns`` shingles at a time.
+    the others by minima; ``columns`` shingles at a time. Weights are whole and
+    sums stay below 2**53, so nothing is rounded.
     """
     n = len(texts)
     doc, h, w = shingles(Words(texts), idf)
@@ -244,15 +248,26 @@ def similarities(texts: list[bytes], idf: np.ndarray, columns: int = 4096) -> np
         place[chosen] = np.arange(len(chosen))
         for start in range(0, len(chosen), columns):
             here = (place[at] >= start) & (place[at] < start + columns)
-            m = np.zeros((n, min(columns, len(chosen) - start)), np.float32 if alike else np.float64)
+            m = np.zeros((n, min(columns, len(chosen) - start)))
             m[doc[here], place[at[here]] - start] = 1 if alike else w[here]
             if alike:
-                common += (m * low[chosen[start : start + columns]].astype(np.float32)) @ m.T
+                common += (m * low[chosen[start : start + columns]]) @ m.T
             else:
                 for i in range(n):
                     common[i] += np.minimum(m, m[i]).sum(axis=1)
-    both = total[:, None] + total[None, :] - common
-    return np.divide(common, both, out=np.zeros((n, n)), where=both > 0)
+    return common, total[:, None] + total[None, :] - common
+
+
+def similarities(texts: list[bytes], idf: np.ndarray, columns: int = 4096) -> np.ndarray:
+    """Weighted Jaccard similarity of all pairs of a block of texts."""
+    common, both = overlaps(texts, idf, columns)
+    return np.divide(common, both, out=np.zeros(common.shape), where=both > 0)
+
+
+def links(texts: list[bytes], idf: np.ndarray) -> np.ndarray:
+    """Pairs (i, j), i < j, of a similarity of ``LEAST`` or more."""
+    common, both = overlaps(texts, idf)
+    return np.argwhere(np.triu((common > 0) & (LEAST[1] * common >= LEAST[0] * both), 1))
 
 
 def forest(linked: np.ndarray, parent: dict[int, int]) -> list[tuple[int, int]]:
@@ -345,8 +360,7 @@ def linked(candidates: DataFrame, contents: DataFrame, docs: DataFrame, idf) ->
     texts = stage(texts.groupBy("doc_key").agg(F.first("text").alias("text")).join(keys, "doc_key").select("content", "group", "text"))
 
     def pairs_of(table):
-        found = np.argwhere(np.triu(similarities(utf8(table.column("text")), idf.value), 1) >= LEAST)
-        return forest(found, {})
+        return forest(links(utf8(table.column("text")), idf.value), {})
 
     return stage(within_cells(in_blocks(texts, "group", ["text"]), "group", pairs_of).distinct())
 
@@ -390,9 +404,10 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     members = stage(rows.join(found, "content").select("label", F.col("doc_id").alias("_id"), F.col("doc_key").alias("_key")))
     own = F.struct(F.col("_id").isNull().alias("x"), F.col("_id").alias("_id"), F.col("_key").alias("_key"))
     first = members.groupBy("label").agg(F.min(own).alias("_first")).select("_first._id", "_first._key")
-    flagged = marked(docs.withColumn("_own", F.xxhash64("doc_id", "text")), F.col("_own"), members.select("_key"))
+    keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("_own"), F.struct("*").alias("_whole"))  # names of other columns cannot clash
+    flagged = marked(keyed, F.col("_own"), members.select("_key"))
     several = flagged.filter("_maybe")
     same = (F.col("_own") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))
     once = several.join(stage(first), same).dropDuplicates(["_own", "_id"])  # equal rows: one stays
     alone = flagged.filter("NOT _maybe").unionByName(several.join(members, same, "left_anti"))
-    return alone.unionByName(once.select(alone.columns)).select(docs.columns)
+    return alone.select("_whole.*").unionAll(once.select("_whole.*"))

@@ -79,17 +79,19 @@ WITH t AS (
   SELECT t.*, participant, '<|im_start|>' || CASE WHEN speaker = participant THEN 'assistant' WHEN speaker = 'system' THEN 'system'
     WHEN speaker = '' THEN 'user' ELSE 'user name=' || speaker END || chr(10) AS head
   FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id
+), n AS (
+  SELECT *, CAST((row_number() OVER (PARTITION BY conv_id, segment, participant ORDER BY turn, speaker, body) - 1) // 4096 AS BIGINT) AS part FROM m
 ), s AS (
   SELECT *, head || body || '<|im_end|>' || chr(10) AS piece,
-    coalesce(sum(length(head || body || '<|im_end|>' || chr(10))) OVER (PARTITION BY conv_id, segment, participant
+    coalesce(sum(length(head || body || '<|im_end|>' || chr(10))) OVER (PARTITION BY conv_id, segment, part, participant
       ORDER BY turn, speaker, body ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS begins
-  FROM m
+  FROM n
 )
-SELECT conv_id, segment, CAST(0 AS BIGINT) AS part, participant, count(*) AS n_turns,
+SELECT conv_id, segment, part, participant, count(*) AS n_turns,
   string_agg(piece, '' ORDER BY turn, speaker, body) AS text,
   coalesce(string_agg(CAST(begins AS BIGINT) || '-' || CAST(begins + length(body) AS BIGINT), ',' ORDER BY turn, speaker, body)
     FILTER (speaker = participant), '') AS loss_spans
-FROM s GROUP BY conv_id, segment, participant
+FROM s GROUP BY conv_id, segment, part, participant
 """
 
 

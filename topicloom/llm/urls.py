@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, stage
 
-#: bits of one level at most; more listed keys mean more levels, not wrong answers
-MAX_BITS = 1 << 26
+#: bits of one level at most; a list that needs more raises an error
+MAX_BITS = 1 << 28
 HASHES = 4
 
 
@@ -70,8 +70,10 @@ def positions(key: Column, bits: int, seed: int) -> Column:
 
 
 def bloom(keys: DataFrame, count: int, seed: int, bits_per_key: float) -> Level:
-    """The filter of the keys; its size is bounded by ``MAX_BITS``."""
-    bits = min(MAX_BITS, max(64, 1 << math.ceil(math.log2(max(1.0, count * bits_per_key)))))
+    """The filter of the keys, sized by their number; ``MAX_BITS`` bounds what travels to the tasks."""
+    bits = max(64, 1 << math.ceil(math.log2(max(1.0, count * bits_per_key))))
+    if bits > MAX_BITS:
+        raise ValueError(f"{count} keys need a filter of {bits} bits; more than {MAX_BITS} are not sent to the tasks")
     marks = keys.select(F.explode(positions(F.col("key"), bits, seed)).alias("_bit"))
     words = marks.groupBy(F.shiftright("_bit", 6).alias("id")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(_bit % 64 AS INT))")).alias("_word"))
     filled = keys.sparkSession.range(bits // 64).join(words, "id", "left").select("id", F.coalesce("_word", F.lit(0).cast("long")).alias("_word"))
@@ -93,9 +95,15 @@ class Cascade:
         passed = self._passing(corpus, 0, key_array).distinct()
         outside = stage(passed.join(inside, "key", "left_anti"))
         while n_out := outside.count():
-            self._add(outside, n_out, bits_per_key, seed)
-            again = self._passing(inside.select(F.array("key").alias(key_array)), len(self.levels) - 1, key_array)
-            inside, outside = outside, stage(again)
+            rows, held, wider = inside.select(F.array("key").alias(key_array)), n_in, bits_per_key
+            while True:  # every level must pass fewer keys than it was asked about; else it is built again with more bits
+                self._add(outside, n_out, wider, seed)
+                again = stage(self._passing(rows, len(self.levels) - 1, key_array))
+                if again.count() < held:
+                    break
+                self.levels.pop()
+                wider *= 2
+            inside, outside, n_in = outside, again, n_out
 
     def _add(self, keys: DataFrame, count: int, bits_per_key: float, seed: int) -> None:
         self.levels.append(bloom(keys, count, seed + len(self.levels), bits_per_key))

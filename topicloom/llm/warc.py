@@ -2,8 +2,8 @@
 
 Rows are written where they are: each task fills archives of about
 ``archive_bytes`` of payload. The first ``train_bytes`` of an archive's records
-are held back to build its dictionary, which leads the file in a skippable
-frame (compressed); then every record is compressed as a frame of its own, so
+are held back to build its dictionary (from the first 128 KiB of each of them;
+records are stored whole), which leads the file in a skippable frame (compressed); then every record is compressed as a frame of its own, so
 single records can be read and a damaged one does not cost the others. An
 archive with too few records for a dictionary has none and no leading frame.
 
