@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicloom.llm import decontam, mixing, neardup, quality, sharding
+from topicloom.llm.common import unused
 from topicloom.session import materialize
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -26,7 +27,8 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, trained on ``labels``, does not reject."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.train(docs, labels)
-    return quality.score(docs, model, "_score", least=QUALITY_LEAST).select(docs.columns)
+    name = unused(docs, "score")
+    return quality.score(docs, model, name, least=QUALITY_LEAST).drop(name)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
