@@ -344,7 +344,11 @@ def forum_profile(spark, d):
 
 # --- units ----------------------------------------------------------------------
 
-def _sql_units(pieces: str, kind: str) -> str:
+SQL_SENTENCES = f"string_split(regexp_replace(text, '([.!?]){SQL_WS}+', '\\1' || chr(1), 'g'), chr(1))"
+SQL_PARAGRAPHS = "regexp_split_to_array(text, '\\n\\s*\\n')"
+
+
+def sql_units(pieces: str, kind: str) -> str:
     return f"""WITH p AS (SELECT doc_id, list_filter(list_transform({pieces}, lambda x: {sql_strip('x')}), lambda x: x <> '') AS parts FROM documents),
 u AS (SELECT doc_id, unnest(parts) AS text, unnest(range(len(parts))) AS unit_id FROM p)
 SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(unit_id AS BIGINT) AS unit_id, '{kind}' AS unit_type, text FROM u"""
@@ -355,19 +359,19 @@ def n1(spark, d):
     return units.text_units(documents(spark, d), "doc_id", "text")
 
 
-@register("n2_sentences", _sql_units(f"string_split(regexp_replace(text, '([.!?]){SQL_WS}+', '\\1' || chr(1), 'g'), chr(1))", "sentence"))
+@register("n2_sentences", sql_units(SQL_SENTENCES, "sentence"))
 def n2(spark, d):
     return units.sentence_units(documents(spark, d), "doc_id", "text", abbreviations=())
 
 
-@register("n3_paragraphs", _sql_units("regexp_split_to_array(text, '\\n\\s*\\n')", "paragraph"))
+@register("n3_paragraphs", sql_units(SQL_PARAGRAPHS, "paragraph"))
 def n3(spark, d):
     return units.paragraph_units(documents(spark, d), "doc_id", "text")
 
 
 # --- joins ----------------------------------------------------------------------
 
-@register("j1_sentence_metadata", _sql_units(f"string_split(regexp_replace(text, '([.!?]){SQL_WS}+', '\\1' || chr(1), 'g'), chr(1))", "sentence").replace(
+@register("j1_sentence_metadata", sql_units(SQL_SENTENCES, "sentence").replace(
     "SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(unit_id", "SELECT CAST(u.doc_id AS VARCHAR) AS doc_id, lang, source, quality, CAST(unit_id").replace(
     ", 'sentence' AS unit_type, text FROM u", " FROM u JOIN documents d ON u.doc_id = d.doc_id LEFT JOIN labels l ON u.doc_id = l.doc_id").replace(
     "CAST(unit_id AS BIGINT) AS unit_id", "CAST(unit_id AS BIGINT) AS unit_id"))

@@ -12,7 +12,7 @@ from ..session import scratch_path
 from ..sources import files, store
 from .corpus import SURVIVAL
 from .tables import documents, register, sql_clean, sql_nonblank, sql_strip, sql_words, table
-from .topics import SQL_SOURCE_TOPIC, by_source, centres, search_terms, sql_ctfidf, vectors, words_of
+from .topics import LETTER_VECTORS, SQL_SOURCE_TOPIC, by_source, search_phrases, source_model, sql_ctfidf, words_of
 
 
 def forum_files(spark: SparkSession, d: str) -> str:
@@ -162,11 +162,14 @@ def s13(spark, d):
 
 @register("s13_search_report")
 def search_report(spark, d):
-    hits, _ = explore.search_topics(search_terms(spark, d), centres(spark, d), 5)
-    rows = by_source(spark, d)
-    own = explore.representative_docs(vectors(spark, d), centres(spark, d), 3, "vec_id")
-    docs = own.join(rows.select(F.col("doc_id").alias("vec_id"), F.col("text").alias("document")), "vec_id").select("topic", "rank", "document")
-    lines = store.search_lines(hits, words_of(rows), docs)
+    """Whole phrases searched in a model of all documents, with its words and representative documents."""
+    model = source_model(spark, d)
+    hits, _ = model.search(search_phrases(spark, d), 5)
+    rows = documents(spark, d).select("doc_id", F.col("text").alias("document"))
+    placed = LETTER_VECTORS.transform(rows, text_col="document").join(model.assignments.select("doc_id", "topic"), "doc_id")
+    own = explore.representative_docs(placed, model.topic_vectors, 3)
+    docs = own.join(rows, "doc_id").select("topic", "rank", "document")
+    lines = store.search_lines(hits, model.words, docs)
     path = scratch_path(spark, "search")
     store.write_lines(lines, path)
     return spark.read.text(path)

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from ..config import Clustering, Modeling
 from ..functions import tokens as K
-from ..operators import density, embed, explore, hierarchy, merging, outliers, represent, similarity, terms, trends
+from ..operators import density, embed, explore, hierarchy, merging, outliers, represent, similarity, terms, trends, units
 from ..plans import modeling
 from ..session import materialize, scratch_path
+from .corpus import SQL_PARAGRAPHS, SQL_SENTENCES, sql_units
 from .tables import SQL_X, SQL_Y, documents, events, register, table, with_plane
 
 SQL_TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')"
@@ -156,17 +157,21 @@ def m25(spark, d):
     return c.select("topic", (F.col("dim") + 1).cast("long").alias("dim"), F.round("v", 6).alias("value"))
 
 
-@register("j7_topic_similarity", f"WITH {SQL_VECTORS} SELECT vec_id, topic, round(similarity, 6) AS similarity FROM sims")
+@register("j7_topic_similarity", f"""WITH {SQL_VECTORS} SELECT vec_id, topic, round(similarity, 6) AS similarity FROM sims
+QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY similarity DESC, topic) <= 5""")
 def j7(spark, d):
-    s = similarity.similarities(table(spark, d, "embeddings"), centres(spark, d), "vec_id")
+    """The five most similar topics of every vector."""
+    s = similarity.similarities(table(spark, d, "embeddings"), centres(spark, d), "vec_id", top=5)
     return s.select("vec_id", "topic", F.round("similarity", 6).alias("similarity"))
 
 
-@register("m10_probabilities", f"""WITH {SQL_VECTORS}, p AS (SELECT vec_id, topic, greatest(similarity, 0) AS p FROM sims)
-SELECT vec_id, topic, round(p / sum(p) OVER (PARTITION BY vec_id), 6) AS probability FROM p""")
+@register("m10_probabilities", f"""WITH {SQL_VECTORS}, p AS (SELECT vec_id, topic, similarity, greatest(similarity, 0) AS p FROM sims),
+q AS (SELECT vec_id, topic, p, p / sum(p) OVER (PARTITION BY vec_id) AS q FROM p)
+SELECT vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, topic) AS rank, topic, round(q, 6) AS probability FROM q QUALIFY rank <= 5""")
 def m10(spark, d):
-    p = similarity.probabilities(table(spark, d, "embeddings"), centres(spark, d), "vec_id")
-    return p.select("vec_id", "topic", F.round("probability", 6).alias("probability"))
+    """The five most probable topics; the probabilities count all topics."""
+    p = similarity.top_probabilities(table(spark, d, "embeddings"), centres(spark, d), 5, "vec_id")
+    return p.select("vec_id", "rank", "topic", F.round("probability", 6).alias("probability"))
 
 
 @register("m10_probability_arrays", f"""WITH {SQL_VECTORS}, p AS (SELECT vec_id, topic, greatest(similarity, 0) AS p FROM sims),
@@ -192,13 +197,35 @@ def m14(spark, d):
 
 # --- representation -------------------------------------------------------------
 
+LETTERS = "aeinorst"
+
+
+def count_letters(texts):
+    """A stand-in for a user's encoder that SQL can follow: how often some letters occur."""
+    import numpy as np
+
+    return np.array([[t.count(c) for c in LETTERS] for t in texts], dtype=np.float32)
+
+
+def letter_encoder():
+    return count_letters
+
+
+embed.register_encoder("letters", letter_encoder)
+LETTER_VECTORS = embed.NamedEmbedding("letters")
+
+
+def sql_letters(e: str = "text") -> str:
+    return "[" + ", ".join(f"CAST(length({e}) - length(replace({e}, '{c}', '')) AS DOUBLE)" for c in LETTERS) + "]"
+
+
 def docs_with_vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Documents by language, and the vectors that share their ids."""
-    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    return by_language(spark, d).join(v.select("doc_id"), "doc_id", "left_semi"), v
+    """Documents by language, and their letter vectors."""
+    docs = by_language(spark, d)
+    return docs, LETTER_VECTORS.transform(docs)
 
 
-SQL_DOC_VECTORS = f"""dv AS (SELECT d.*, e.embedding FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id),
+SQL_DOC_VECTORS = f"""dv AS (SELECT *, {sql_letters()} AS embedding FROM documents),
 {sql_ctfidf(SQL_LANG_TOPIC, 'dv')},
 cand AS (SELECT topic, word FROM cw QUALIFY row_number() OVER (PARTITION BY topic ORDER BY weight DESC, word) <= 100),
 dims AS (SELECT doc_id, topic, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS dim FROM docs),
@@ -210,13 +237,13 @@ wv AS (SELECT word, list(v ORDER BY dim) AS wvec FROM wm GROUP BY word),
 ks AS (SELECT topic, word, round(list_cosine_similarity(wvec, vector), 10) AS sim FROM cand JOIN wv USING (word) JOIN tv USING (topic))"""
 
 
-def representation_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def representation_inputs(spark: SparkSession, d: str, config=None) -> tuple[DataFrame, DataFrame, DataFrame]:
     docs, v = docs_with_vectors(spark, d)
     docs = docs.select("doc_id", "topic", "text")
-    w = weights_of(docs)
+    w, v = materialize(weights_of(docs)), materialize(v)
     tv = similarity.mean_vectors(v.join(docs.select("doc_id", "topic"), "doc_id"), "topic")
-    wv = represent.word_vectors(docs, v, terms.top_words(w, represent.CANDIDATES))
-    return materialize(w), materialize(tv), materialize(wv)
+    wv = represent.word_vectors(docs, v, terms.top_words(w, represent.most_candidates(config)))
+    return w, materialize(tv), materialize(wv)
 
 
 @register("m7_keywords", f"""WITH {SQL_DOC_VECTORS} SELECT topic, row_number() OVER (PARTITION BY topic ORDER BY sim DESC, word) AS rank, word, round(sim, 6) AS weight
@@ -239,7 +266,7 @@ def m9(spark, d):
         {"aspect_name": "varied", "chain": [{"model_name": "keywords", "params": {"top_n_words": 20}},
                                             {"model_name": "diverse", "params": {"diversity": 0.3}}]},
     ]
-    return represent.aspects(steps, *representation_inputs(spark, d))
+    return represent.aspects(steps, *representation_inputs(spark, d, steps))
 
 
 @register("m9_main_and_keywords", f"""WITH {SQL_DOC_VECTORS},
@@ -393,43 +420,131 @@ def g18_table(spark, d):
 
 # --- merging --------------------------------------------------------------------
 
-def halves(spark: SparkSession, d: str) -> list[tuple[DataFrame, DataFrame]]:
-    """Two models: languages and sources of the documents that have vectors."""
+PLAIN = Modeling(min_topic_size=1, stop_words=None)
+
+
+def halves(spark: SparkSession, d: str) -> list[modeling.TopicModel]:
+    """Two models: even documents by language, odd ones by source."""
     docs, v = docs_with_vectors(spark, d)
-    rows = docs.select("doc_id", "topic", F.substring("source", 4, 9).cast("int").alias("other")).join(v, "doc_id")
-    first = similarity.mean_vectors(rows, "topic"), rows.select("doc_id", "topic")
-    second = similarity.mean_vectors(rows, "other").withColumnRenamed("other", "topic"), rows.select("doc_id", F.col("other").alias("topic"))
-    return [first, second]
+    rows = docs.select("doc_id", "text", "topic", F.substring("source", 4, 9).cast("int").alias("other"))
+    v = materialize(v)
+    out = []
+    for half, topic in ((0, "topic"), (1, "other")):
+        part = materialize(rows.filter(F.col("doc_id") % 2 == half).select("doc_id", F.col(topic).alias("topic"), "text"))
+        assigned = part.select("doc_id", "topic", F.lit(1.0).alias("strength"))
+        out.append(modeling.describe(assigned, part, v, PLAIN, embedding=LETTER_VECTORS))
+    return out
 
 
-_SQL_MERGE = f"""WITH dv AS (SELECT d.doc_id, {SQL_LANG_TOPIC} AS a, {SQL_SOURCE_TOPIC} AS b, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS dim
- FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id),
-va AS (SELECT a, list(v ORDER BY dim) AS vec FROM (SELECT a, dim, avg(v) AS v FROM dv GROUP BY ALL) GROUP BY a),
-vb AS (SELECT b, list(v ORDER BY dim) AS vec FROM (SELECT b, dim, avg(v) AS v FROM dv GROUP BY ALL) GROUP BY b),
+_SQL_MERGE = f"""WITH dv AS (SELECT doc_id, doc_id % 2 AS half, {SQL_LANG_TOPIC} AS a, {SQL_SOURCE_TOPIC} AS b, unnest({sql_letters()}) AS v, generate_subscripts({sql_letters()}, 1) AS dim FROM documents),
+va AS (SELECT a, list(v ORDER BY dim) AS vec FROM (SELECT a, dim, avg(v) AS v FROM dv WHERE half = 0 GROUP BY ALL) GROUP BY a),
+vb AS (SELECT b, list(v ORDER BY dim) AS vec FROM (SELECT b, dim, avg(v) AS v FROM dv WHERE half = 1 GROUP BY ALL) GROUP BY b),
 best AS (SELECT b, a, list_cosine_similarity(vb.vec, va.vec) AS s FROM vb, va QUALIFY row_number() OVER (PARTITION BY b ORDER BY s DESC, a) = 1),
-m AS (SELECT b AS topic, CASE WHEN s >= 0.3 THEN a ELSE (SELECT max(a) FROM va) + row_number() OVER (PARTITION BY s >= 0.3 ORDER BY b) END AS merged, s FROM best),
+m AS (SELECT b AS topic, CASE WHEN s >= 0.99 THEN a ELSE (SELECT max(a) FROM va) + row_number() OVER (PARTITION BY s >= 0.99 ORDER BY b) END AS merged, s FROM best),
 mp AS (SELECT 0 AS model, a AS topic, CAST(a AS BIGINT) AS merged_topic, CAST(NULL AS DOUBLE) AS similarity FROM va
  UNION ALL SELECT 1, topic, CAST(merged AS BIGINT), round(s, 6) FROM m),
-asg AS (SELECT DISTINCT doc_id, a AS topic, 0 AS model FROM dv UNION ALL SELECT DISTINCT doc_id, b, 1 FROM dv) """
+asg AS (SELECT *, doc_id % 2 AS model, CASE doc_id % 2 WHEN 0 THEN {SQL_LANG_TOPIC} ELSE {SQL_SOURCE_TOPIC} END AS topic FROM documents),
+joined AS (SELECT asg.* EXCLUDE (topic, model), merged_topic FROM asg JOIN mp USING (model, topic))"""
 
 
-@register("m22_merge_mapping", _SQL_MERGE + "SELECT * FROM mp")
+@register("m22_merge_mapping", _SQL_MERGE + " SELECT * FROM mp")
 def m22(spark, d):
-    _, _, mapping = merging.merge_models(halves(spark, d), 0.3)
+    _, mapping = modeling.merge(halves(spark, d), 0.99)
     return mapping.select("model", "topic", F.col("merged_topic").cast("long").alias("merged_topic"), F.round("similarity", 6).alias("similarity"))
 
 
-@register("m22_merged_assignments", _SQL_MERGE + "SELECT merged_topic AS topic, count(*) AS n FROM asg JOIN mp USING (model, topic) GROUP BY merged_topic")
+@register("m22_merged_assignments", _SQL_MERGE + " SELECT merged_topic AS topic, count(*) AS n FROM joined GROUP BY merged_topic")
 def m22_rows(spark, d):
-    _, assigned, _ = merging.merge_models(halves(spark, d), 0.3)
-    return assigned.groupBy(F.col("topic").cast("long").alias("topic")).agg(F.count(F.lit(1)).alias("n"))
+    merged, _ = modeling.merge(halves(spark, d), 0.99)
+    return merged.assignments.groupBy(F.col("topic").cast("long").alias("topic")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("m23_compare_models", _SQL_MERGE + "SELECT 'first' AS model, count(*) AS n_topics FROM va UNION ALL SELECT 'second', count(*) FROM vb UNION ALL SELECT 'merged', count(DISTINCT merged_topic) FROM mp")
+@register("m22_merged_model", f"""{_SQL_MERGE}, {sql_ctfidf("merged_topic", "joined")}, n AS (SELECT topic, count(*) AS count FROM docs GROUP BY topic),
+mv AS (SELECT topic, sqrt(sum(v * v)) AS length FROM (SELECT merged_topic AS topic, dim, avg(v) AS v FROM joined JOIN dv USING (doc_id) GROUP BY ALL) GROUP BY topic)
+SELECT topic, count, string_agg(word, ', ' ORDER BY rank) AS words, round(length, 6) AS length FROM n JOIN tw USING (topic) JOIN mv USING (topic) GROUP BY ALL""")
+def m22_model(spark, d):
+    """Counts, words and lengths of the vectors of a merged model that was saved and loaded: those of all documents together."""
+    merged, _ = modeling.merge(halves(spark, d), 0.99)
+    path = scratch_path(spark, "merged")
+    merged.save(path)
+    model = modeling.load_model(spark, path)
+    lengths = model.topic_vectors.select("topic", F.round(embed.V.norm("vector"), 6).alias("length"))
+    return model.info().join(lengths, "topic").select(F.col("topic").cast("long").alias("topic"), "count", F.array_join("representation", ", ").alias("words"), "length")
+
+
+@register("m23_compare_models", _SQL_MERGE + " SELECT 'first' AS model, count(*) AS n_topics FROM va UNION ALL SELECT 'second', count(*) FROM vb UNION ALL SELECT 'merged', count(DISTINCT merged_topic) FROM mp")
 def m23(spark, d):
     models = halves(spark, d)
-    merged, _, _ = merging.merge_models(models, 0.3)
-    return merging.compare_sizes({"first": models[0][0], "second": models[1][0], "merged": merged})
+    merged, _ = modeling.merge(models, 0.99)
+    return merging.compare_sizes({"first": models[0].topic_vectors, "second": models[1].topic_vectors, "merged": merged.topic_vectors})
+
+
+# --- models of units ------------------------------------------------------------
+
+def unit_model(spark: SparkSession, d: str, make) -> tuple[modeling.TopicModel, DataFrame]:
+    """A model of units by the language of their documents, and the topics it gives all of them."""
+    parts = materialize(make(documents(spark, d).select("doc_id", "text", "lang")))
+    labels = units.with_unit_key(parts).select("unit", F.col("lang").alias("cluster"))
+    model, vectors = modeling.fit_units(parts, LETTER_VECTORS, PLAIN, labels)
+    return model, model.transform(vectors)
+
+
+def sql_unit_topics(pieces: str) -> str:
+    """CTEs up to ``ut(doc_id, unit_id, topic)``."""
+    return f"""WITH un AS ({sql_units(pieces, "unit")}),
+ul AS (SELECT un.*, lang, {sql_letters("un.text")} AS vec FROM un JOIN documents d ON un.doc_id = CAST(d.doc_id AS VARCHAR)),
+r AS (SELECT lang, row_number() OVER (ORDER BY count(*) DESC, min(doc_id)) - 1 AS topic FROM ul GROUP BY lang),
+uv AS (SELECT doc_id, unit_id, topic AS own, vec FROM ul JOIN r USING (lang)),
+dims AS (SELECT own AS topic, unnest(vec) AS v, generate_subscripts(vec, 1) AS dim FROM uv),
+tv AS (SELECT topic, list(v ORDER BY dim) AS vector FROM (SELECT topic, dim, avg(v) AS v FROM dims GROUP BY ALL) GROUP BY topic),
+sims AS (SELECT doc_id, unit_id, own, t.topic, CASE WHEN list_sum(vec) = 0 THEN 0.0 ELSE list_cosine_similarity(vec, vector) END AS similarity FROM uv, tv t),
+h AS (SELECT topic, floor(similarity * 2000) AS b, count(*) AS n FROM sims WHERE topic = own GROUP BY ALL),
+rr AS (SELECT topic, b, sum(n) OVER (PARTITION BY topic ORDER BY b) AS r, sum(n) OVER (PARTITION BY topic) AS t FROM h),
+fl AS (SELECT topic, min(b) / 2000 AS floor FROM rr WHERE r >= t * 0.05 GROUP BY topic),
+best AS (SELECT doc_id, unit_id, topic, similarity FROM sims QUALIFY row_number() OVER (PARTITION BY doc_id, unit_id ORDER BY similarity DESC, topic) = 1),
+ut AS (SELECT doc_id, unit_id, CASE WHEN similarity < floor THEN -1 ELSE topic END AS topic FROM best JOIN fl USING (topic))"""
+
+
+SQL_SHARES = """ SELECT doc_id, CAST(sum(count(*)) OVER (PARTITION BY doc_id) AS BIGINT) AS n_units, topic, count(*) AS n,
+round(count(*) / sum(count(*)) OVER (PARTITION BY doc_id), 9) AS share FROM ut GROUP BY doc_id, topic"""
+
+
+def shares(assigned: DataFrame) -> DataFrame:
+    each = units.topic_shares(assigned).select("doc_id", "n_units", F.explode("shares").alias("s"))
+    return each.select("doc_id", "n_units", "s.topic", "s.n", F.round("s.share", 9).alias("share"))
+
+
+def sentences(docs: DataFrame) -> DataFrame:
+    return units.sentence_units(docs, "doc_id", "text", (), ["lang"])
+
+
+@register("n2_sentence_topic_shares", sql_unit_topics(SQL_SENTENCES) + SQL_SHARES)
+def n2_shares(spark, d):
+    """Sentences of all documents, their topics, and the shares of topics per document."""
+    return shares(unit_model(spark, d, sentences)[1])
+
+
+@register("n3_paragraph_topic_shares", sql_unit_topics(SQL_PARAGRAPHS) + SQL_SHARES)
+def n3_shares(spark, d):
+    return shares(unit_model(spark, d, lambda docs: units.paragraph_units(docs, "doc_id", "text", ["lang"]))[1])
+
+
+@register("j1_sentence_topics", sql_unit_topics(SQL_SENTENCES) + """ SELECT ut.doc_id, unit_id, topic, source, quality FROM ut
+JOIN documents d ON ut.doc_id = CAST(d.doc_id AS VARCHAR) LEFT JOIN labels l ON ut.doc_id = CAST(l.doc_id AS VARCHAR)""")
+def j1_topics(spark, d):
+    """The topic of every sentence beside the columns of its document."""
+    meta = documents(spark, d).join(table(spark, d, "labels"), "doc_id", "left").withColumn("doc_id", F.col("doc_id").cast("string"))
+    rows = modeling.unit_topics(unit_model(spark, d, sentences)[1], meta, ["source", "quality"])
+    return rows.select("doc_id", "unit_id", "topic", "source", "quality")
+
+
+@register("n2_sentence_topic_info", sql_unit_topics(SQL_SENTENCES) + f""", {sql_ctfidf("own_topic", "(SELECT ul.text, r.topic AS own_topic FROM ul JOIN r USING (lang))")},
+n AS (SELECT topic, count(*) AS count FROM docs GROUP BY topic)
+SELECT topic, count, string_agg(word, ', ' ORDER BY rank) AS words FROM n JOIN tw USING (topic) GROUP BY ALL""")
+def n2_info(spark, d):
+    """Topic info of a model whose documents are sentences."""
+    info = unit_model(spark, d, sentences)[0].info()
+    return info.select("topic", "count", F.array_join("representation", ", ").alias("words"))
 
 
 # --- embedding, reduction, clustering -------------------------------------------
@@ -558,32 +673,43 @@ def q5(spark, d):
     return explore.document_info(rows.select("doc_id", "lang"), rows.select("doc_id", "topic"), info).select("doc_id", "lang", "topic", "name")
 
 
-def search_terms(spark: SparkSession, d: str) -> DataFrame:
-    """Search phrases: the benchmark items, with the vector of the same number."""
-    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("pos"), "embedding")
-    items = table(spark, d, "benchmark").select(F.col("item_id").alias("pos"), F.col("text").alias("term"))
-    return items.join(v, "pos")
+def source_model(spark: SparkSession, d: str) -> modeling.TopicModel:
+    """A model of all documents by source, with the embedding that made its vectors."""
+    docs = documents(spark, d).select("doc_id", "text", "source")
+    labels = docs.select("doc_id", F.col("source").alias("cluster"))
+    return modeling.fit(docs, materialize(LETTER_VECTORS.transform(docs)), PLAIN, labels=labels, embedding=LETTER_VECTORS)
+
+
+def search_phrases(spark: SparkSession, d: str) -> DataFrame:
+    """Search phrases: the whole benchmark texts."""
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("pos"), F.col("text").alias("term"))
 
 
-SQL_HITS = f"""WITH {SQL_VECTORS}, hits AS (SELECT vec_id AS pos, text AS term, topic, similarity FROM sims JOIN benchmark ON vec_id = item_id
-QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY similarity DESC, topic) <= 5) """
+SQL_HITS = f"""WITH r AS (SELECT source, row_number() OVER (ORDER BY count(*) DESC, min(doc_id)) - 1 AS topic FROM documents GROUP BY source),
+dims AS (SELECT topic, unnest({sql_letters()}) AS v, generate_subscripts({sql_letters()}, 1) AS dim FROM documents JOIN r USING (source)),
+tv AS (SELECT topic, list(v ORDER BY dim) AS vector FROM (SELECT topic, dim, avg(v) AS v FROM dims GROUP BY ALL) GROUP BY topic),
+hits AS (SELECT item_id AS pos, text AS term, topic, CASE WHEN list_sum({sql_letters()}) = 0 THEN 0.0 ELSE list_cosine_similarity({sql_letters()}, vector) END AS similarity FROM benchmark, tv
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY similarity DESC, topic) <= 5) """
 
 
 @register("q6_find_topics", SQL_HITS + "SELECT pos, topic, round(similarity, 6) AS similarity FROM hits")
 def q6(spark, d):
-    out = explore.find_topics(search_terms(spark, d), centres(spark, d), 5)
+    """Whole phrases, embedded by the embedding of a model that was saved and loaded."""
+    path = scratch_path(spark, "search")
+    source_model(spark, d).save(path)
+    out = modeling.load_model(spark, path).find_topics(search_phrases(spark, d), 5)
     return out.select("pos", "topic", F.round("similarity", 6).alias("similarity"))
 
 
 @register("q7_batch_search", SQL_HITS + "SELECT pos, term, topic, round(similarity, 6) AS similarity FROM hits")
 def q7(spark, d):
-    hits, _ = explore.search_topics(search_terms(spark, d), centres(spark, d), 5)
+    hits, _ = source_model(spark, d).search(search_phrases(spark, d), 5)
     return hits.withColumn("similarity", F.round("similarity", 6))
 
 
 @register("g11_terms_per_topic", SQL_HITS + "SELECT topic, string_agg(term, ', ' ORDER BY pos) AS terms FROM hits GROUP BY topic")
 def g11(spark, d):
-    return explore.search_topics(search_terms(spark, d), centres(spark, d), 5)[1]
+    return source_model(spark, d).search(search_phrases(spark, d), 5)[1]
 
 
 @register("q8_target_rows", f"SELECT doc_id, lang, {SQL_SOURCE_TOPIC} AS topic FROM documents WHERE {SQL_SOURCE_TOPIC} IN (2, 5, 7)")

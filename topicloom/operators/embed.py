@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,8 @@ from ..functions import tokens as K
 from ..functions import vectors as V
 
 Encoder = Callable[[list[str]], np.ndarray]
+#: cells of the word-document matrix multiplied at once
+CELLS = 1 << 16
 
 
 def embed_texts(
@@ -24,21 +27,30 @@ def embed_texts(
     """``id, embedding`` from a user's encoder; a null text is encoded as ''.
 
     ``make_encoder`` runs once per task and returns a function from a batch of
-    texts to an array with one row per text.
+    texts to an array with one row per text. Ids may be of any type.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches):
         encode = None
-        for pdf in batches:
-            if pdf.empty:
+        for batch in batches:
+            if not batch.num_rows:
                 continue
             encode = encode or make_encoder()
-            texts = pdf[text_col].fillna("").tolist()
+            texts = batch.column(text_col).fill_null("").to_pylist()
             parts = [np.asarray(encode(texts[i:i + batch_size]), dtype=np.float32) for i in range(0, len(texts), batch_size)]
-            yield pd.DataFrame({id_col: pdf[id_col], "embedding": list(np.vstack(parts))})
+            yield _embedded(batch.column(id_col), np.vstack(parts), id_col)
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, text_col).mapInPandas(run, f"`{id_col}` {kind}, embedding array<float>")
+    return df.select(id_col, F.col(text_col).cast("string").alias(text_col)).mapInArrow(run, f"`{id_col}` {kind}, embedding array<float>")
+
+
+def _embedded(ids, matrix: np.ndarray, id_col: str):
+    """An Arrow batch of ids and the rows of a matrix."""
+    import pyarrow as pa
+
+    n, d = matrix.shape
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * d), pa.array(matrix.astype(np.float32).ravel()))
+    return pa.RecordBatch.from_arrays([ids, lists], [id_col, "embedding"])
 
 
 @dataclass(frozen=True)
@@ -66,22 +78,68 @@ class HashedEmbedding:
         """``id, embedding``; a text without words gives the zero vector."""
         idf, dim, seed = np.array(self.idf), self.dim, self.seed
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches):
             signs = np.random.default_rng(seed).choice([-1.0, 1.0], size=(len(idf), dim))
-            for pdf in batches:
-                if pdf.empty:
-                    continue
-                out = []
-                for slots in pdf["_slots"]:
-                    at, tf = np.unique(np.asarray(slots, dtype=np.int64), return_counts=True)
-                    v = (tf * idf[at]) @ signs[at]
-                    size = np.linalg.norm(v)
-                    out.append((v / size if size > 0 else v).astype(np.float32))
-                yield pd.DataFrame({id_col: pdf[id_col], "embedding": out})
+            for batch in batches:
+                slots = batch.column("_slots")
+                row = np.repeat(np.arange(batch.num_rows), slots.value_lengths().to_numpy())
+                cell, tf = np.unique(row * len(idf) + slots.flatten().to_numpy(), return_counts=True)
+                row, slot = np.divmod(cell, len(idf))
+                out = np.zeros((batch.num_rows, dim))
+                for a in range(0, len(cell), CELLS):  # sums of weighted sign rows, some cells at a time
+                    part = slice(a, a + CELLS)
+                    first = np.flatnonzero(np.diff(row[part], prepend=-1))
+                    out[row[part][first]] += np.add.reduceat((tf[part] * idf[slot[part]])[:, None] * signs[slot[part]], first)
+                size = np.linalg.norm(out, axis=1, keepdims=True)
+                yield _embedded(batch.column(id_col), np.divide(out, size, out=np.zeros_like(out), where=size > 0), id_col)
 
         kind = df.schema[id_col].dataType.simpleString()
         words = df.select(id_col, _slots(text_col, len(idf), self.stop_words).alias("_slots"))
-        return words.mapInPandas(run, f"`{id_col}` {kind}, embedding array<float>")
+        return words.mapInArrow(run, f"`{id_col}` {kind}, embedding array<float>")
+
+    def state(self) -> dict[str, Any]:
+        return {"kind": "hashed", "idf": list(self.idf), "dim": self.dim, "seed": self.seed, "stop_words": self.stop_words}
+
+
+#: encoders by name, for models that are saved and loaded
+ENCODERS: dict[str, Callable[[], Encoder]] = {}
+
+
+def register_encoder(name: str, make_encoder: Callable[[], Encoder]) -> None:
+    """Name a user's encoder, so that a model can be saved with it and loaded in a session that registered it too."""
+    if ENCODERS.get(name, make_encoder) is not make_encoder:
+        raise ValueError(f"another encoder is registered as {name!r}")
+    ENCODERS[name] = make_encoder
+
+
+@dataclass(frozen=True)
+class NamedEmbedding:
+    """Vectors of a registered encoder."""
+
+    name: str
+    batch_size: int = 32
+
+    def transform(self, df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        if self.name not in ENCODERS:
+            raise ValueError(f"no encoder is registered as {self.name!r}")
+        return embed_texts(df, ENCODERS[self.name], id_col, text_col, self.batch_size)
+
+    def state(self) -> dict[str, Any]:
+        return {"kind": "named", "name": self.name, "batch_size": self.batch_size}
+
+
+Embedding = HashedEmbedding | NamedEmbedding
+
+
+def embedding_of(state: dict[str, Any] | None) -> Embedding | None:
+    """The embedding of a saved state."""
+    if state is None:
+        return None
+    values = {k: tuple(v) if isinstance(v, list) else v for k, v in state.items() if k != "kind"}
+    kinds = {"hashed": HashedEmbedding, "named": NamedEmbedding}
+    if state.get("kind") not in kinds:
+        raise ValueError(f"unknown kind of embedding {state.get('kind')!r}")
+    return kinds[state["kind"]](**values)
 
 
 def _slots(text_col: str, n_features: int, stop_words) -> Column:

@@ -6,7 +6,6 @@ import logging
 from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,17 +35,19 @@ def own_similarity(
     kind = rows.schema[id_col].dataType.simpleString()
     parts = []
     for ids, m in S._blocks(topic_vectors, "topic", "vector", block_bytes):
-        place = {t: i for i, t in enumerate(ids)}
 
-        def score(batches, place=place, m=m):
-            for pdf in batches:
-                pdf = pdf[pdf["topic"].isin(place.keys())]
-                if pdf.empty:
-                    continue
-                own = m[[place[t] for t in pdf["topic"]]]
-                yield pd.DataFrame({id_col: pdf[id_col], "topic": pdf["topic"], "similarity": np.einsum("ij,ij->i", S._matrix(pdf[vector]), own)})
+        def score(batches, ids=np.array(ids, dtype=np.int64), m=m):
+            import pyarrow as pa
 
-        parts.append(slim.mapInPandas(score, f"`{id_col}` {kind}, topic int, similarity double"))
+            for batch in batches:
+                topic = batch.column("topic").fill_null(np.iinfo(np.int32).min).to_numpy().astype(np.int64)
+                at = np.minimum(np.searchsorted(ids, topic), len(ids) - 1)  # ids come in order
+                batch, at = batch.filter(pa.array(ids[at] == topic)), at[ids[at] == topic]
+                if batch.num_rows:
+                    own = np.einsum("ij,ij->i", S._matrix(batch.column(vector)), m[at])
+                    yield pa.RecordBatch.from_arrays([batch.column(id_col), batch.column("topic"), pa.array(own)], [id_col, "topic", "similarity"])
+
+        parts.append(slim.mapInArrow(score, f"`{id_col}` {kind}, topic int, similarity double"))
     if not parts:
         return rows.sparkSession.createDataFrame([], f"`{id_col}` {kind}, topic int, similarity double")
     out = parts[0]

@@ -10,22 +10,25 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .sampling import top_n, with_row_number
 
 BLOCK_BYTES = 64 << 20
+#: similarities held at once within a batch
+STRIP = 1 << 22
 FLOOR_BINS = 2000
 
 
-def mean_vectors(rows: DataFrame, key: str, vector: str = "embedding", name: str = "vector") -> DataFrame:
-    """Element-wise mean of the vectors of each key, combined on the map side."""
+def mean_vectors(rows: DataFrame, key: str, vector: str = "embedding", name: str = "vector", count: str | None = None) -> DataFrame:
+    """Element-wise mean of the vectors of each key, combined on the map side; ``count`` names a column of their number."""
     vec = array_to_vector(F.col(vector).cast("array<double>"))
-    return rows.groupBy(key).agg(vector_to_array(Summarizer.mean(vec)).alias(name))
+    number = [] if count is None else [F.count(F.lit(1)).alias(count)]
+    return rows.groupBy(key).agg(vector_to_array(Summarizer.mean(vec)).alias(name), *number)
 
 
 def _blocks(topics: DataFrame, topic_col: str, vector: str, block_bytes: int) -> Iterator[tuple[list, np.ndarray]]:
@@ -50,8 +53,29 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    return _unit(np.array(column.tolist(), dtype=np.float64))
+def _matrix(column) -> np.ndarray:
+    """Unit rows of an Arrow column of vectors."""
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return _unit(values.reshape(len(column), -1))
+
+
+def _strips(batch, vector: str, m: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """First row and similarities of as many rows of a batch as ``STRIP`` numbers allow."""
+    rows = max(1, STRIP // max(1, len(m)))
+    for start in range(0, batch.num_rows, rows):
+        yield start, _matrix(batch.column(vector).slice(start, rows)) @ m.T
+
+
+def _first(sim: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the ``k`` largest numbers of each row, largest first, equal ones by column."""
+    if k >= sim.shape[1]:
+        return np.argsort(-sim, axis=1, kind="stable")
+    least = np.partition(sim, sim.shape[1] - k, axis=1)[:, sim.shape[1] - k]
+    out = np.empty((len(sim), k), dtype=np.int64)
+    for i, row in enumerate(sim):  # few columns reach the k-th largest
+        at = np.flatnonzero(row >= least[i])
+        out[i] = at[np.argsort(-row[at], kind="stable")][:k]
+    return out
 
 
 def _type(df: DataFrame, column: str) -> str:
@@ -62,28 +86,30 @@ def similarities(
     rows: DataFrame, topics: DataFrame, id_col: str = "doc_id", vector: str = "embedding",
     topic_col: str = "topic", topic_vector: str = "vector", top: int | None = None, block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """``id, topic, similarity`` (cosine) for all topics, or the ``top`` most similar ones."""
+    """``id, topic, similarity`` (cosine) for the ``top`` most similar topics, or all.
+
+    The best of each block of topics are chosen within the batch, and the
+    blocks' lists are merged, so with ``top`` no row is made for any other
+    pair. Ids may be of any type.
+    """
     slim = rows.select(id_col, vector)
     schema = f"`{id_col}` {_type(rows, id_col)}, topic {_type(topics, topic_col)}, similarity double"
+    kind = to_arrow_type(topics.schema[topic_col].dataType)
     parts = []
     for ids, m in _blocks(topics, topic_col, topic_vector, block_bytes):
-        names = np.array(ids, dtype=object)
-
-        def score(batches, names=names, m=m):
-            k = len(names) if top is None else min(top, len(names))
-            for pdf in batches:
-                if pdf.empty:
-                    continue
-                sim = _matrix(pdf[vector]) @ m.T
-                # stable: equal similarities keep the smaller topic first
-                best = np.argsort(-sim, axis=1, kind="stable")[:, :k] if top is not None else np.tile(np.arange(k), (len(sim), 1))
-                yield pd.DataFrame({
-                    id_col: np.repeat(pdf[id_col].to_numpy(), k),
-                    "topic": names[best.ravel()],
-                    "similarity": np.take_along_axis(sim, best, axis=1).ravel(),
-                })
-
-        parts.append(slim.mapInPandas(score, schema))
+
+        def score(batches, ids=ids, m=m):
+            import pyarrow as pa
+
+            names, k = pa.array(ids, kind), len(ids) if top is None else min(top, len(ids))
+            for batch in batches:
+                for start, sim in _strips(batch, vector, m):
+                    best = np.tile(np.arange(k), (len(sim), 1)) if top is None else _first(sim, k)
+                    own = batch.column(id_col).take(pa.array(np.repeat(np.arange(start, start + len(sim)), k)))
+                    columns = [own, names.take(pa.array(best.ravel())), pa.array(np.take_along_axis(sim, best, axis=1).ravel())]
+                    yield pa.RecordBatch.from_arrays(columns, [id_col, "topic", "similarity"])
+
+        parts.append(slim.mapInArrow(score, schema))
     if not parts:
         return rows.sparkSession.createDataFrame([], schema)
     out = parts[0]
@@ -118,42 +144,93 @@ def probability_arrays(
         share = F.transform("_p", lambda e: F.coalesce(e["p"] / F.nullif(F.col("_t"), F.lit(0.0)), F.lit(0.0)))
         return listed.select(id_col, F.col("_p.topic").alias("topics"), share.alias("probabilities"))
     ids, m = blocks[0]
+    arrow_kind = to_arrow_type(topics.schema[topic_col].dataType)
 
     def score(batches):
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            p = np.maximum(_matrix(pdf[vector]) @ m.T, 0.0)
-            total = p.sum(axis=1, keepdims=True)
-            p = np.divide(p, total, out=np.zeros_like(p), where=total > 0)
-            yield pd.DataFrame({id_col: pdf[id_col], "topics": [ids] * len(pdf), "probabilities": list(p)})
+        import pyarrow as pa
+
+        names, n = pa.array(ids, arrow_kind), len(ids)
+        for batch in batches:
+            for start, sim in _strips(batch, vector, m):
+                p = _shares(sim)[0]
+                offsets = pa.array(np.arange(0, n * len(p) + 1, n, dtype=np.int32))
+                every = pa.ListArray.from_arrays(offsets, names.take(pa.array(np.tile(np.arange(n), len(p)))))
+                columns = [batch.column(id_col).slice(start, len(p)), every, pa.ListArray.from_arrays(offsets, pa.array(p.ravel()))]
+                yield pa.RecordBatch.from_arrays(columns, [id_col, "topics", "probabilities"])
 
     schema = f"`{id_col}` {_type(rows, id_col)}, topics array<{kind}>, probabilities array<double>"
-    return rows.select(id_col, vector).mapInPandas(score, schema)
+    return rows.select(id_col, vector).mapInArrow(score, schema)
 
 
-def probabilities(
-    rows: DataFrame, topics: DataFrame, id_col: str = "doc_id", vector: str = "embedding",
+def _shares(sim: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Similarities clipped at 0 and scaled to sum 1, and the sums."""
+    p = np.maximum(sim, 0.0)
+    total = p.sum(axis=1, keepdims=True)
+    return np.divide(p, total, out=np.zeros_like(p), where=total > 0), total
+
+
+def top_probabilities(
+    rows: DataFrame, topics: DataFrame, k: int, id_col: str = "doc_id", vector: str = "embedding",
     topic_col: str = "topic", topic_vector: str = "vector", block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """``id, topic, probability``, one row per topic."""
-    arrays = probability_arrays(rows, topics, id_col, vector, topic_col, topic_vector, block_bytes)
-    each = arrays.select(id_col, F.explode(F.arrays_zip("topics", "probabilities")).alias("e"))
-    return each.select(id_col, F.col("e.topics").alias("topic"), F.col("e.probabilities").alias("probability"))
+    """``id, rank, topic, probability`` of the ``k`` most probable topics; probabilities count all topics.
+
+    A block of topics gives each document one row: its best ``k`` similarities
+    and the sum of all. Blocks are merged by id.
+    """
+    best = "array<struct<similarity: double, topic: {}>>".format(_type(topics, topic_col))
+    schema = f"`{id_col}` {_type(rows, id_col)}, _best {best}, _total double"
+    kind = to_arrow_type(topics.schema[topic_col].dataType)
+    slim, parts = rows.select(id_col, vector), []
+    for ids, m in _blocks(topics, topic_col, topic_vector, block_bytes):
 
+        def score(batches, ids=ids, m=m):
+            import pyarrow as pa
 
-def similarity_floor(assigned: DataFrame, quantile: float = 0.05, bins: int = FLOOR_BINS) -> DataFrame:
-    """``topic, floor``: lower edge of the bin that holds each topic's quantile.
+            names, n = pa.array(ids, kind), min(k, len(ids))
+            for batch in batches:
+                for start, sim in _strips(batch, vector, m):
+                    sim = np.maximum(sim, 0.0)
+                    chosen = _first(sim, n)
+                    pairs = pa.StructArray.from_arrays([pa.array(np.take_along_axis(sim, chosen, axis=1).ravel()), names.take(pa.array(chosen.ravel()))], ["similarity", "topic"])
+                    listed = pa.ListArray.from_arrays(pa.array(np.arange(0, n * len(sim) + 1, n, dtype=np.int32)), pairs)
+                    yield pa.RecordBatch.from_arrays([batch.column(id_col).slice(start, len(sim)), listed, pa.array(sim.sum(axis=1))], [id_col, "_best", "_total"])
 
-    Similarities are counted in ``bins`` steps per unit, so a topic of any
-    size is at most ``2 * bins`` rows.
+        parts.append(slim.mapInArrow(score, schema))
+    if not parts:
+        return rows.sparkSession.createDataFrame([], f"`{id_col}` {_type(rows, id_col)}, rank bigint, topic {_type(topics, topic_col)}, probability double")
+    merged = parts[0]
+    if len(parts) > 1:
+        for p in parts[1:]:
+            merged = merged.unionByName(p)
+        order = lambda x, y: F.when((x["similarity"] > y["similarity"]) | ((x["similarity"] == y["similarity"]) & (x["topic"] < y["topic"])), -1).otherwise(1)
+        lists = F.slice(F.array_sort(F.flatten(F.collect_list("_best")), order), 1, k)  # k entries per block
+        merged = merged.groupBy(id_col).agg(lists.alias("_best"), F.sum("_total").alias("_total"))
+    each = merged.select(id_col, "_total", F.posexplode("_best").alias("_at", "_e"))
+    share = F.coalesce(F.col("_e.similarity") / F.nullif(F.col("_total"), F.lit(0.0)), F.lit(0.0))
+    return each.select(id_col, (F.col("_at") + 1).cast("long").alias("rank"), F.col("_e.topic").alias("topic"), share.alias("probability"))
+
+
+def similarity_histogram(assigned: DataFrame, bins: int = FLOOR_BINS) -> DataFrame:
+    """``topic, bin, n``: similarities counted in ``bins`` steps per unit.
+
+    A topic of any size is at most ``2 * bins`` rows, and histograms of
+    several models add up.
     """
-    counted = assigned.withColumn("_bin", F.floor(F.col("similarity") * bins)).groupBy("topic", "_bin").agg(F.count(F.lit(1)).alias("_n"))
-    by_bin = Window.partitionBy("topic").orderBy("_bin")
-    running = F.sum("_n").over(by_bin)
-    total = F.sum("_n").over(Window.partitionBy("topic"))
-    reached = counted.withColumn("_r", running).withColumn("_t", total).filter(F.col("_r") >= F.col("_t") * quantile)
-    return reached.groupBy("topic").agg((F.min("_bin") / bins).alias("floor"))
+    counted = assigned.groupBy("topic", F.floor(F.col("similarity") * bins).alias("bin"))
+    return counted.agg(F.count(F.lit(1)).alias("n"))
+
+
+def floors_of(histogram: DataFrame, quantile: float = 0.05, bins: int = FLOOR_BINS) -> DataFrame:
+    """``topic, floor``: lower edge of the bin that holds each topic's quantile."""
+    running = F.sum("n").over(Window.partitionBy("topic").orderBy("bin"))
+    total = F.sum("n").over(Window.partitionBy("topic"))
+    reached = histogram.withColumn("_r", running).withColumn("_t", total).filter(F.col("_r") >= F.col("_t") * quantile)
+    return reached.groupBy("topic").agg((F.min("bin") / bins).alias("floor"))
+
+
+def similarity_floor(assigned: DataFrame, quantile: float = 0.05, bins: int = FLOOR_BINS) -> DataFrame:
+    return floors_of(similarity_histogram(assigned, bins), quantile, bins)
 
 
 def assign(

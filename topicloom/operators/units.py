@@ -53,3 +53,20 @@ def text_units(df: DataFrame, id_col: str, text_col: str, unit_type: str = "docu
     if unit_type not in UNIT_TYPES:
         raise ValueError(f"unknown unit type {unit_type!r}, use one of {sorted(UNIT_TYPES)}")
     return UNIT_TYPES[unit_type](df, id_col, text_col)
+
+
+def with_unit_key(units: DataFrame) -> DataFrame:
+    """Units with ``unit``, the key of a model over units: struct of doc_id and unit_id."""
+    return units.withColumn("unit", F.struct("doc_id", "unit_id"))
+
+
+def topic_shares(assigned: DataFrame, unit: str = "unit") -> DataFrame:
+    """``doc_id, n_units, shares`` from the topics of units: shares is an array of (topic, n, share) by topic.
+
+    Only topics that a document has are listed. Units are counted by document
+    and topic before the shuffle, so a long document sends one row per topic.
+    """
+    counted = assigned.groupBy(F.col(f"{unit}.doc_id").alias("doc_id"), "topic").agg(F.count(F.lit(1)).alias("n"))
+    listed = counted.groupBy("doc_id").agg(F.sum("n").alias("n_units"), F.sort_array(F.collect_list(F.struct("topic", "n"))).alias("_topics"))
+    share = F.transform("_topics", lambda t: F.struct(t["topic"].alias("topic"), t["n"].alias("n"), (t["n"] / F.col("n_units")).alias("share")))
+    return listed.select("doc_id", "n_units", share.alias("shares"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import logging
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -11,33 +12,56 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Clustering, Modeling, to_json
-from ..operators import density, embed, explore, hierarchy, joins, outliers, similarity, terms, trends
+from ..operators import density, embed, explore, hierarchy, joins, merging, outliers, similarity, terms, trends, units
 from ..session import materialize
 from ..sources import store
 
 log = logging.getLogger(__name__)
 
-TABLES = ("assignments", "topic_vectors", "weights", "words", "floors")
+TABLES = ("assignments", "topic_vectors", "weights", "words", "floors", "histogram")
+MANIFEST = "version string, number bigint, config string, id_col string, embedding string"
 
 
 @dataclass(frozen=True)
 class TopicModel:
-    """``assignments``: id, topic, strength. ``weights``: topic, word, tf, f,
-    idf, weight. ``words``: topic, rank, word, weight. ``floors``: topic, floor."""
+    """``assignments``: id, topic, strength. ``topic_vectors``: topic, vector, n.
+    ``weights``: topic, word, tf, f, idf, weight. ``words``: topic, rank, word,
+    weight. ``floors``: topic, floor. ``histogram``: topic, bin, n (similarities
+    to the own topic). ``embedding`` makes vectors of new texts and phrases.
+
+    Term counts, vectors with their ``n``, and histograms add up, see :func:`merge`.
+    """
 
     assignments: DataFrame
     topic_vectors: DataFrame
     weights: DataFrame
     words: DataFrame
     floors: DataFrame
+    histogram: DataFrame
     config: Modeling
     id_col: str = "doc_id"
+    embedding: embed.Embedding | None = None
 
     def transform(self, vectors: DataFrame) -> DataFrame:
         """Topics of new documents; -1 below the topic's own floor."""
         real = self.topic_vectors.filter(F.col("topic") != -1)
         return similarity.assign(vectors, real, self.floors, self.id_col)
 
+    def embed(self, texts: DataFrame, id_col: str | None = None, text_col: str = "text") -> DataFrame:
+        """Vectors of texts, made as those that the model was fitted on."""
+        if self.embedding is None:
+            raise ValueError("the model has no embedding; fit it with one to search by texts")
+        return self.embedding.transform(texts, id_col or self.id_col, text_col)
+
+    def find_topics(self, phrases: DataFrame, n: int = 5) -> DataFrame:
+        """``pos, topic, similarity``: the ``n`` topics most similar to each of ``phrases`` (pos, term)."""
+        return explore.find_topics(self.embed(phrases, "pos", "term"), self.topic_vectors, n)
+
+    def search(self, phrases: DataFrame, n: int = 5) -> tuple[DataFrame, DataFrame]:
+        """Hits of ``phrases`` (pos, term), and the terms of each topic, see :func:`explore.search_topics`."""
+        vectors = self.embed(phrases, "pos", "term")
+        return explore.search_topics(phrases.select("pos", "term").join(vectors, "pos"), self.topic_vectors, n)
+
     def probabilities(self, vectors: DataFrame) -> DataFrame:
         return similarity.probability_arrays(vectors, self.topic_vectors.filter(F.col("topic") != -1), self.id_col)
 
@@ -55,7 +79,7 @@ class TopicModel:
 
     def with_topics(self, assigned: DataFrame, docs: DataFrame, vectors: DataFrame) -> TopicModel:
         """The model after documents changed topics: words and vectors anew."""
-        return describe(assigned, docs, vectors, self.config, self.id_col)
+        return describe(assigned, docs, vectors, self.config, self.id_col, embedding=self.embedding)
 
     def reduce_outliers(self, docs: DataFrame, strategy: str = "distributions", threshold: float | None = None) -> DataFrame:
         """``id, topic`` with outliers moved where their words fit."""
@@ -68,40 +92,122 @@ class TopicModel:
         raise ValueError(f"unknown strategy {strategy!r}")
 
     def save(self, path: str) -> None:
-        for name in TABLES:
-            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+        """Write a new version below ``path``; what was saved there before stays readable until it is complete.
+
+        The manifest entry comes last, so a version that broke off is never
+        loaded. A model may be saved to the folder that it was loaded from.
+        """
         spark = self.assignments.sparkSession
-        params = spark.createDataFrame([(to_json(self.config), self.id_col)], "config string, id_col string")
-        params.write.mode("overwrite").parquet(f"{path}/params")
+        before = manifest(spark, path)
+        number = 0 if before is None else (before.agg(F.max("number")).first()[0] or 0) + 1
+        version = f"version-{number}-{uuid.uuid4().hex[:12]}"
+        for name in TABLES:
+            getattr(self, name).write.parquet(f"{path}/{version}/{name}")
+        state = None if self.embedding is None else json.dumps(self.embedding.state())
+        entry = spark.createDataFrame([(version, number, to_json(self.config), self.id_col, state)], MANIFEST)
+        entry.coalesce(1).write.mode("append").json(f"{path}/manifest")
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame | None:
+    """The complete versions of a saved model; None if nothing was saved."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
+    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        return None
+    return spark.read.schema(MANIFEST).json(f"{path}/manifest")
 
 
 def load_model(spark: SparkSession, path: str) -> TopicModel:
-    params = spark.read.parquet(f"{path}/params").first()
-    tables = {name: spark.read.parquet(f"{path}/{name}") for name in TABLES}
-    return TopicModel(**tables, config=Modeling.from_dict(json.loads(params.config)), id_col=params.id_col)
+    """The newest complete version of a saved model."""
+    versions = manifest(spark, path)
+    newest = None if versions is None else versions.orderBy(F.desc("number"), F.desc("version")).first()
+    if newest is None:
+        raise ValueError(f"no complete model in {path}")
+    tables = {name: spark.read.parquet(f"{path}/{newest.version}/{name}") for name in TABLES}
+    embedding = embed.embedding_of(json.loads(newest.embedding) if newest.embedding else None)
+    return TopicModel(**tables, config=Modeling.from_dict(json.loads(newest.config)), id_col=newest.id_col, embedding=embedding)
+
+
+def described(
+    assigned: DataFrame, tf: DataFrame, topic_vectors: DataFrame, histogram: DataFrame, cfg: Modeling, id_col: str, embedding: embed.Embedding | None
+) -> TopicModel:
+    """The model of its sums: term counts, vectors with counts, and similarity histograms."""
+    weights, histogram = materialize(terms.ctfidf(tf)), materialize(histogram)
+    floors, words = materialize(similarity.floors_of(histogram)), materialize(terms.top_words(weights, cfg.top_n_words))
+    return TopicModel(assigned, topic_vectors, weights, words, floors, histogram, cfg, id_col, embedding)
 
 
-def describe(assigned: DataFrame, docs: DataFrame, vectors: DataFrame, cfg: Modeling, id_col: str = "doc_id", text_col: str = "text") -> TopicModel:
+def describe(
+    assigned: DataFrame, docs: DataFrame, vectors: DataFrame, cfg: Modeling, id_col: str = "doc_id", text_col: str = "text",
+    embedding: embed.Embedding | None = None,
+) -> TopicModel:
     """The model of documents whose topics are known."""
     assigned = materialize(assigned)
     rows = docs.select(id_col, text_col).join(assigned.select(id_col, "topic"), id_col)
     tf = terms.term_counts(rows, "topic", text_col, cfg.ngram_range, cfg.stop_words, min_count=cfg.min_frequency)
-    weights = materialize(terms.ctfidf(tf))
     placed = vectors.select(id_col, "embedding").join(assigned.select(id_col, "topic"), id_col)
-    centres = materialize(similarity.mean_vectors(placed, "topic"))
+    centres = materialize(similarity.mean_vectors(placed, "topic", count="n"))
     own = explore.own_similarity(placed.filter(F.col("topic") != -1), centres, id_col)
-    floors = materialize(similarity.similarity_floor(own))
-    return TopicModel(assigned, centres, weights, materialize(terms.top_words(weights, cfg.top_n_words)), floors, cfg, id_col)
+    return described(assigned, tf, centres, similarity.similarity_histogram(own), cfg, id_col, embedding)
+
+
+def merge(models: Sequence[TopicModel], min_similarity: float = 0.6) -> tuple[TopicModel, DataFrame]:
+    """One model of several over different documents, and ``model, topic, merged_topic, similarity``.
+
+    A topic of a later model joins the most similar topic known so far, or
+    becomes a new one. Term counts, vectors (by their counts) and similarity
+    histograms are added, so words and vectors are those of a model described
+    from all documents, if no model left out rare words. Floors come from the
+    similarities to the topics as they were before merging.
+    """
+    first = models[0]
+    if any(m.id_col != first.id_col for m in models):
+        raise ValueError("models to merge must have the same id column")
+    vectors = [m.topic_vectors.select("topic", "vector", "n") for m in models]
+    mapping = merging.merged_numbers(vectors, min_similarity)
+
+    def moved(tables: Sequence[DataFrame], spread: str) -> DataFrame:
+        numbered = [t.withColumn("model", F.lit(i)) for i, t in enumerate(tables)]
+        rows = numbered[0]
+        for t in numbered[1:]:
+            rows = rows.unionByName(t)
+        keyed = joins.salted_join(rows, mapping.select("model", "topic", "merged_topic"), ["model", "topic"], "inner", [spread])
+        return keyed.drop("model", "topic").withColumnRenamed("merged_topic", "topic")
+
+    tf = moved([m.weights.select("topic", "word", "tf") for m in models], "word").groupBy("topic", "word").agg(F.sum("tf").alias("tf"))
+    bins = moved([m.histogram for m in models], "bin").groupBy("topic", "bin").agg(F.sum("n").alias("n"))
+    centres = materialize(merging.added_vectors(moved(vectors, "n")))
+    assigned = materialize(moved([m.assignments.select(first.id_col, "topic", "strength") for m in models], first.id_col))
+    return described(assigned, tf, centres, bins, first.config, first.id_col, first.embedding), mapping
+
+
+def fit_units(
+    units_of_text: DataFrame, embedding: embed.Embedding, cfg: Modeling = Modeling(), labels: DataFrame | None = None
+) -> tuple[TopicModel, DataFrame]:
+    """A model whose documents are units (doc_id, unit_id, text), keyed by the struct ``unit``, and their vectors.
+
+    ``labels`` (unit, cluster) skips clustering. :func:`unit_topics` and
+    :func:`units.topic_shares` bring its topics back to the parent documents.
+    """
+    keyed = units.with_unit_key(units_of_text).select("unit", "text")
+    vectors = materialize(embedding.transform(keyed, "unit"))
+    return fit(keyed, vectors, cfg, "unit", labels=labels, embedding=embedding), vectors
+
+
+def unit_topics(assigned: DataFrame, meta: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """``doc_id, unit_id``, the topic and the parent's columns of every unit; ``meta`` is keyed by doc_id."""
+    rows = assigned.select("unit.doc_id", "unit.unit_id", *[c for c in assigned.columns if c != "unit"])
+    return joins.left_metadata(rows, meta, "doc_id", columns)
 
 
 def fit(
     docs: DataFrame, vectors: DataFrame, cfg: Modeling = Modeling(), id_col: str = "doc_id", text_col: str = "text",
-    labels: DataFrame | None = None, reduced: DataFrame | None = None,
+    labels: DataFrame | None = None, reduced: DataFrame | None = None, embedding: embed.Embedding | None = None,
 ) -> TopicModel:
     """Documents and vectors, joined by id, to a topic model.
 
     ``labels`` (id, cluster) skips clustering; ``reduced`` (id, reduced) skips
-    the reduction. Missing or surplus vectors raise.
+    the reduction. Missing or surplus vectors raise. ``embedding`` made the
+    vectors; the model keeps it to embed new texts and search phrases.
     """
     joins.require_complete(docs, vectors, id_col)
     if labels is None:
@@ -116,7 +222,7 @@ def fit(
         placed = vectors.select(id_col, "embedding").join(assigned, id_col)
         merges = materialize(hierarchy.topic_hierarchy(similarity.mean_vectors(placed, "topic"), cfg.linkage))
         assigned = hierarchy.reduce_topics(assigned, merges, cfg.nr_topics, id_col).select(id_col, "topic", "strength")
-    return describe(assigned, docs, vectors, cfg, id_col, text_col)
+    return describe(assigned, docs, vectors, cfg, id_col, text_col, embedding)
 
 
 def parameter_runs(reduced: DataFrame, grid: Sequence[Clustering], id_col: str = "doc_id") -> DataFrame:
@@ -137,14 +243,14 @@ def parameter_runs(reduced: DataFrame, grid: Sequence[Clustering], id_col: str =
 
 def train(
     docs: DataFrame, vectors: DataFrame, output_dir: str, run_name: str, cfg: Modeling = Modeling(), id_col: str = "doc_id",
-    text_col: str = "text", labels: DataFrame | None = None, reduced: DataFrame | None = None,
+    text_col: str = "text", labels: DataFrame | None = None, reduced: DataFrame | None = None, embedding: embed.Embedding | None = None,
 ) -> TopicModel:
     """Fit, then save model, topic info, document info, probabilities and a run record.
 
     All other columns of ``docs`` are carried into the document info. If saving
     fails the model is returned all the same, and the failure is logged.
     """
-    model = fit(docs, vectors, cfg, id_col, text_col, labels, reduced)
+    model = fit(docs, vectors, cfg, id_col, text_col, labels, reduced, embedding)
     try:
         spark = docs.sparkSession
         model.save(f"{output_dir}/models/{run_name}")
