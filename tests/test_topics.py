@@ -286,6 +286,32 @@ def test_trend_bins(spark, docs, weights):
     assert trends.topics_over_time(dated, "created", weights, every="1 day").count() == 2
 
 
+def test_evolution_averages_with_the_bin_before(spark):
+    rng = np.random.default_rng(4)
+    present = [(t, b) for t in range(3) for b in range(9) if rng.random() < 0.7]
+    rows = [(b, t, w, float(rng.random())) for t, b in present for w in "abcdef" if rng.random() < 0.5]
+    bins = sorted({b for _, b in present})
+    expected, before = {}, {}
+    for b in bins:
+        now = {}
+        for t in (t for t, x in present if x == b):
+            own = {w: v for x, u, w, v in rows if (x, u) == (b, t)}
+            now[t] = own if t not in before else {w: (own.get(w, 0) + before[t].get(w, 0)) / 2 for w in own.keys() | before[t].keys()}
+            expected.update({(b, t, w): v for w, v in now[t].items()})
+        before = now
+    weights = spark.createDataFrame(rows, "timestamp long, topic int, word string, weight double")
+    got = trends.evolved(weights, spark.createDataFrame([(b, t) for t, b in present], "timestamp long, topic int")).collect()
+    assert {(r.timestamp, r.topic, r.word) for r in got} == expected.keys() and len(got) == len(expected)
+    assert all(r.weight == pytest.approx(expected[r.timestamp, r.topic, r.word]) for r in got)
+
+
+def test_chosen_topics_keep_their_bins(spark, docs, weights):
+    dated = docs.withColumn("created", F.lit(1700000000) + F.col("doc_id") * 100)
+    for w in (weights, None):
+        every = trends.topics_over_time(dated, "created", w, nr_bins=4).filter("topic = 1")
+        assert sorted(map(tuple, trends.topics_over_time(dated, "created", w, nr_bins=4, topics=[1]).collect())) == sorted(map(tuple, every.collect()))
+
+
 def test_search_keeps_repeated_terms(spark):
     tv = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (-1, [1.0, 1.0])], "topic int, vector array<double>")
     found = spark.createDataFrame([(0, "Trust", [1.0, 0.1]), (1, "Safety", [0.1, 1.0]), (2, "Trust", [1.0, 0.1])], "pos int, term string, embedding array<double>")

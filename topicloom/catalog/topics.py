@@ -380,25 +380,34 @@ lt AS (SELECT topic, us, word, count(*) AS tf FROM (SELECT topic, us, unnest({SQ
 lx AS (SELECT l.topic, us, word, l.tf * c.idf AS x, c.weight / sum(c.weight) OVER (PARTITION BY l.topic, us) AS unused FROM lt l JOIN cw c USING (topic, word)),
 ov AS (SELECT topic, word, weight / sum(weight) OVER (PARTITION BY topic) AS o FROM cw),
 sc AS (SELECT lx.topic, us, word, (x / sum(x) OVER (PARTITION BY lx.topic, us) + o) / 2 AS weight FROM lx JOIN ov USING (topic, word)),
-rk AS (SELECT *, row_number() OVER (PARTITION BY topic, us ORDER BY weight DESC, word) AS rank FROM sc QUALIFY rank <= 5),
+nb AS (SELECT us, row_number() OVER (ORDER BY us) AS b FROM (SELECT DISTINCT us FROM bd)),
+ch AS (SELECT topic, us, b, b - row_number() OVER (PARTITION BY topic ORDER BY b) AS chain FROM (SELECT DISTINCT topic, us FROM bd) JOIN nb USING (us)),
+st AS (SELECT *, min(b) OVER (PARTITION BY topic, chain) AS b0 FROM ch),
+ev AS (SELECT x.topic, x.us, word, round(sum(weight * pow(0.5, x.b - y.b + CASE WHEN y.b = y.b0 THEN 0 ELSE 1 END)), 12) AS weight
+ FROM st x JOIN st y ON x.topic = y.topic AND x.chain = y.chain AND y.b <= x.b JOIN sc ON sc.topic = y.topic AND sc.us = y.us GROUP BY ALL),
+rk AS (SELECT *, row_number() OVER (PARTITION BY topic, us ORDER BY weight DESC, word) AS rank FROM {{weights}} QUALIFY rank <= 5),
 wl AS (SELECT topic, us, string_agg(word, ', ' ORDER BY rank) AS words FROM rk GROUP BY ALL)
 SELECT topic, words, frequency, make_timestamp(us) AS timestamp FROM fr JOIN wl USING (topic, us)"""
 
 
-def trend(spark: SparkSession, d: str) -> DataFrame:
-    rows = materialize(dated(spark, d))
-    out = trends.topics_over_time(rows, "ts", materialize(weights_of(rows)), nr_bins=5)
+def trend(spark: SparkSession, d: str, **settings) -> DataFrame:
+    out = trends.topics_over_time(dated(spark, d), "ts", nr_bins=5, **settings)
     return out.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
 
 
-@register("m20_topics_over_time", _SQL_TREND)
+@register("m20_topics_over_time", _SQL_TREND.replace("{weights}", "ev"))
 def m20_words(spark, d):
     return trend(spark, d)
 
 
-@register("m21_chosen_trend", _SQL_TREND + " WHERE topic IN (0, 2)")
+@register("m20_without_evolution", _SQL_TREND.replace("{weights}", "sc"))
+def m20_plain(spark, d):
+    return trend(spark, d, evolution_tuning=False)
+
+
+@register("m21_chosen_trend", _SQL_TREND.replace("{weights}", "ev") + " WHERE topic IN (0, 2)")
 def m21(spark, d):
-    return trends.trend_of(trend(spark, d), [0, 2])
+    return trend(spark, d, topics=[0, 2])
 
 
 _SQL_SHARE = f"""WITH c AS (SELECT source AS community, {SQL_LANG_TOPIC} AS topic, count(*) AS count FROM documents GROUP BY ALL),
@@ -775,7 +784,7 @@ def v6(spark, d):
     return p.select("topic", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "label")
 
 
-@register("v7_trend_data", _SQL_TREND + " WHERE topic <> -1")
+@register("v7_trend_data", _SQL_TREND.replace("{weights}", "ev") + " WHERE topic <> -1")
 def v7(spark, d):
     return trend(spark, d).filter("topic <> -1")
 
