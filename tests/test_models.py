@@ -169,3 +169,18 @@ def test_top_lists_of_all_blocks(spark, block_bytes, monkeypatch):
     best = {i: sorted(range(10), key=lambda j: (-round(share[i, j], 12), j))[:2] for i in range(50)}
     assert {(r.unit.b, r["rank"], r.topic) for r in got} == {(i, k + 1, j) for i in best for k, j in enumerate(best[i])}
     assert all(r.probability == pytest.approx(share[r.unit.b, r.topic]) for r in got)
+
+
+def test_only_new_texts_are_encoded(spark, tmp_path):
+    from topicloom.sources.vectors import VectorStore
+
+    first = spark.createDataFrame([(i, f"text {i % 3}") for i in range(9)] + [(9, None), (10, "")], "doc_id long, text string")
+    more = first.union(spark.createDataFrame([(20, "text 1"), (21, "new"), (22, "new")], "doc_id long, text string"))
+    e = embed.HashedEmbedding.fit(more, dim=8)
+    store = VectorStore(spark, str(tmp_path), e)
+    assert store.table().count() == 0 and store.vectors(first).count() == 11
+    got = {r.doc_id: r.embedding for r in store.vectors(more).collect()}
+    assert got == {r.doc_id: r.embedding for r in e.transform(more).collect()} and len(got) == 14
+    assert {(r.batch, r.encoded) for r in store.batches().collect()} == {(1, 4), (2, 1)}
+    other = VectorStore(spark, str(tmp_path), embed.HashedEmbedding(e.idf, 4))
+    assert other.table().count() == 0 and VectorStore(spark, str(tmp_path), e).table().count() == 5

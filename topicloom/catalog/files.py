@@ -10,9 +10,10 @@ from ..operators import audit, explore, terms
 from ..plans import preprocess
 from ..session import scratch_path
 from ..sources import files, store
+from ..sources.vectors import VectorStore
 from .corpus import SURVIVAL
 from .tables import documents, register, sql_clean, sql_nonblank, sql_strip, sql_words, table
-from .topics import LETTER_VECTORS, SQL_SOURCE_TOPIC, by_source, search_phrases, source_model, sql_ctfidf, words_of
+from .topics import LETTER_VECTORS, SQL_SOURCE_TOPIC, by_source, search_phrases, source_model, sql_ctfidf, sql_letters, words_of
 
 
 def forum_files(spark: SparkSession, d: str) -> str:
@@ -139,6 +140,33 @@ def s12(spark, d):
     return store.cached(spark, path, lambda: count.limit(0))
 
 
+def grown_store(spark, d) -> tuple[VectorStore, object]:
+    """A store that first met the even documents, then all."""
+    docs = documents(spark, d).select("doc_id", "text")
+    kept = VectorStore(spark, scratch_path(spark, "vectors"), LETTER_VECTORS)
+    kept.add(docs.filter("doc_id % 2 = 0"))
+    return kept, docs
+
+
+@register("s12_incremental_vectors", """WITH t AS (SELECT text, min(doc_id % 2) AS half FROM documents GROUP BY text)
+SELECT CAST(half + 1 AS BIGINT) AS batch, count(*) AS encoded FROM t GROUP BY half""")
+def s12_incremental(spark, d):
+    """After documents were added only their new texts are encoded."""
+    kept, docs = grown_store(spark, d)
+    kept.add(docs)
+    kept.add(docs.limit(0))
+    kept.add(docs)
+    return kept.batches()
+
+
+@register("e1_stored_vectors", f"""WITH v AS (SELECT doc_id, {sql_letters()} AS v FROM documents)
+SELECT doc_id, array_to_string(list_transform(v, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ' ') AS counts FROM v""")
+def e1_stored(spark, d):
+    kept, docs = grown_store(spark, d)
+    counts = F.transform("embedding", lambda x: x.cast("bigint").cast("string"))
+    return kept.vectors(docs).select("doc_id", F.array_join(counts, " ").alias("counts"))
+
+
 @register("s13_text_report", f"""WITH {sql_ctfidf(SQL_SOURCE_TOPIC)}, n AS (SELECT topic, count(*) AS count FROM docs GROUP BY topic),
 rd AS (SELECT topic, doc_id, text, row_number() OVER (PARTITION BY topic ORDER BY n_chars DESC, doc_id) AS rank FROM docs QUALIFY rank <= 3),
 h AS (SELECT unnest([1, 2, 3, 4]) AS section, -2 AS topic, 0 AS ord, unnest(['TOPICS:', 'TOPIC FREQUENCY:', 'TOPIC INFO:', 'REPRESENTATIVE DOCS:']) AS line),
