@@ -170,8 +170,10 @@ def test_a_small_article_does_not_hide_the_text_around_it():
         assert html.main_text(f"<body><{tag}><a href='/x'>teaser</a></{tag}><div>{body}</div></body>").split("\n") == a
 
 
-@pytest.mark.parametrize("name", ["related-work", "search-algorithms", "social-impact", "header-files", "ad-hoc-networks", "comments", "header"])
-@pytest.mark.parametrize("tag", ["article", "div"])
+WORDY = ["related-work", "search-algorithms", "social-impact", "header-files", "ad-hoc-networks"]
+
+
+@pytest.mark.parametrize("tag, name", [("article", n) for n in [*WORDY, "comments", "header"]] + [("div", n) for n in WORDY])
 def test_words_in_ids_of_sections_and_headings_lose_nothing(name, tag):
     a, b = paragraphs("a"), paragraphs("b", 3)
     section = lambda i, texts: f"<section id='{i}'><h2 id='{i}'>Head of {i}</h2>{''.join(f'<p>{x}</p>' for x in texts)}</section>"
@@ -189,8 +191,34 @@ def test_a_named_wrapper_does_not_empty_the_page(name):
     assert html.main_text(f"<body><div class='{name}'>a</div><div class='{name}'>b</div></body>") == "a\nb"
 
 
+FOUR = "".join(f"<p>{'A reader says a lot of plain words. ' * 12}{i}</p>" for i in range(4))
+ONE = f"<p>{'We keep small files on your machine to know you again. ' * 8}</p>"
+
+
+@pytest.mark.parametrize("leak", [
+    f"<section id='comments'>{FOUR}</section>", f"<section id='comments'><h2>Comments</h2>{FOUR}</section>", f"<div class='reader comments'>{FOUR}</div>".replace("reader ", ""),
+    f"<div class='cookie-notice'>{ONE}</div>", f"<div id='cookie-notice'>{ONE}</div>", f"<div class='footer'>{ONE}</div>", f"<div class='ad'>{ONE}</div>", f"<form>{ONE}</form>",
+])
+@pytest.mark.parametrize("n", [1, 10])
+@pytest.mark.parametrize("before", [True, False])
+def test_named_parts_beside_an_article_do_not_leak(leak, n, before):
+    a = paragraphs("a", n, 300)
+    article = f"<article><h1>Head</h1>{''.join(f'<p>{x}</p>' for x in a)}</article>"
+    for page in (f"<body>{leak}{article}</body>", f"<body><div>{article}{leak}</div></body>")[:: 1 if before else -1]:
+        assert html.main_text(page).split("\n") == ["Head", *a]
+    wide = article.replace("article", "div")
+    if n == 10:
+        assert html.main_text(f"<body>{wide}{leak}</body>").split("\n") == ["Head", *a]
+
+
+def test_named_parts_of_code_stay():
+    a, code = paragraphs("a"), "<p>x = 1 <code><span class='comment'># a note that says what the line does</span></code> and more plain words</p>"
+    page = f"<article>{''.join(f'<p>{x}</p>' for x in a)}{code}</article>"
+    assert html.main_text(page).split("\n") == [*a, "x = 1 # a note that says what the line does and more plain words"]
+
+
 @pytest.mark.parametrize("name", ["ad", "share-bar", "left sidebar", "site_comments"])
-def test_density_bears_out_the_words(name):
+def test_names_decide_beside_the_text(name):
     a = paragraphs("a")
     body = "".join(f"<p>{x}</p>" for x in a)
     junk = "<div class='%s'>%s</div>"

@@ -3,12 +3,11 @@
 A page is read into a tree of elements. Elements that never belong to an
 article (menus, footers, sidebars, scripts and the like, by tag or role) are set
 aside. A form, and an element whose class or id is named like one of these, is
-under suspicion only: it is set aside if its density bears that out (half of it
-in links, shorter than ``SHORT``, at most ``SMALL`` of the page, or less dense
-than the path of the densest element), and never if the densest element of the
-page lies in it or if nothing would remain. A name counts as a whole (words of
-the list and of layout); headings, and the ids of sections with a heading, are
-not looked at. For every other element the composite text density is
+set aside too, unless nothing would remain. On a page with no ``article`` or
+``main`` outside of such elements, those around the densest element stay: there
+a name may be that of a wrapper. A name counts as a whole (words of the list and
+of layout); headings, elements of code, and the ids of sections of an article
+with a heading are not looked at. For every other element the composite text density is
 computed: its characters per tag, adjusted by the characters and tags of links
 in it. The element whose children have the largest sum of densities is the
 main one, whatever its tag; of equal sums an ``article`` or ``main`` element
@@ -67,8 +66,6 @@ LAYOUT_WORDS = (
     "outer|page|panel|primary|recent|right|row|secondary|section|site|text|title|top|wrap|wrapper"
 )
 ASIDE_CLASS = re.compile(rf"(?<!\S)(?:(?:{LAYOUT_WORDS})[-_]+)*(?:{ASIDE_WORDS})(?:[-_]+(?:{ASIDE_WORDS}|{LAYOUT_WORDS}))*(?!\S)", re.I)
-#: what has fewer characters is short, and what has at most this share of the page's is small
-SHORT, SMALL = 200, 0.05
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|</?[a-zA-Z](?:[^\"'<>]|\"[^\"<]*\"|'[^'<]*')*+>|</?[a-zA-Z][^>]*>|<[!?/][^>]*>", re.S)
 CUT_OFF = re.compile(r"<[a-zA-Z/!][^>]*\Z")
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
@@ -94,14 +91,14 @@ class Page:
             self.last[p] = max(self.last[p], self.last[i])
 
     def _open(self, name: str, token: str, stack: list[int]) -> int:
-        inside = self.open["article"] > 0
+        inside, code = self.open["article"] > 0, self.open["pre"] + self.open["code"] > 0
         hard = name in RAW or name in ASIDE_TAGS and name != "form" or name == "header" and not inside
         soft, unseen, named = False, False, "form" if name == "form" else ""
         if name not in ("html", "body", "article", "main") and len(token) > len(name) + 2:
             for key, value in MARKED.findall(token):
                 key, value = key.lower(), value.strip("\"'")
                 if key in ("class", "id"):
-                    if name not in HEADINGS and not (inside and name == "header") and ASIDE_CLASS.search(value):
+                    if name not in HEADINGS and not (inside and name == "header") and not code and ASIDE_CLASS.search(value):
                         named = key if named in ("", "id") else named
                 elif key == "role":
                     soft = soft or value.lower() in ASIDE_ROLES
@@ -262,27 +259,38 @@ def threshold_of(page: Page, path: list[int], density: list[float]) -> float:
     return min(density[i] for i in path[: upto + 1])
 
 
-def suspects(page: Page, aside: list[bool], found: tuple, path: set[int], threshold: float) -> list[bool] | None:
-    """``aside`` and the elements whose name and density both speak against them; None if there are none or nothing would remain."""
-    density, _, chars, links, _ = found
-    headed = set()
+def suspects(page: Page, aside: list[bool], chars: list[int], path: set[int]) -> list[bool] | None:
+    """``aside`` and the elements named like what is no article, but for those on the path; None if there are none or nothing would remain.
+
+    Within an ``article`` a section with a heading keeps its id: such ids are made of headings.
+    """
+    headed, n = set(), len(page.tag)
     for i, name in enumerate(page.tag):
         if name in HEADINGS:
             p = page.parent[i]
             while p >= 0 and p not in headed:
                 headed.add(p)
                 p = page.parent[p]
-    out, left, some = list(aside), chars[0], False
-    for i in range(1, len(page.tag)):
+    out, left, some, inside = list(aside), chars[0], False, [False] * n
+    for i in range(1, n):
+        inside[i] = inside[page.parent[i]] or page.tag[page.parent[i]] == "article"
         if out[page.parent[i]]:
             out[i] = True
-        elif page.named[i] and chars[i] and not out[i] and i not in path and not (page.named[i] == "id" and page.tag[i] == "section" and i in headed):
-            if 2 * links[i] >= chars[i] or chars[i] < SHORT or chars[i] <= SMALL * chars[0] or density[i] < threshold:
+        elif page.named[i] and chars[i] and not out[i] and i not in path:
+            if not (page.named[i] == "id" and page.tag[i] == "section" and inside[i] and i in headed):
                 out[i] = some = True
                 left -= chars[i]
     return out if some and left else None
 
 
+def has_article(page: Page, chars: list[int]) -> bool:
+    """Whether an ``article`` or ``main`` element with text stands in nothing that is named like what is no article."""
+    named = [False] * len(page.tag)
+    for i in range(1, len(page.tag)):
+        named[i] = named[page.parent[i]] or page.named[i] != ""
+    return any(t in ("article", "main") and chars[i] and not named[i] for i, t in enumerate(page.tag))
+
+
 def kept(page: Page) -> list[bool]:
     """Elements whose text is the main text."""
     n = len(page.tag)
@@ -292,8 +300,9 @@ def kept(page: Page) -> list[bool]:
     best = densest(page, *found[1:3], aside)
     if best is None:
         return [False] * n
+    spared = set() if has_article(page, found[2]) else set(path_of(page, best))
+    named = suspects(page, aside, found[2], spared)
     path = path_of(page, best)
-    named = suspects(page, aside, found, set(path), threshold_of(page, path, shown))
     if named is not None:
         aside = named
         found = densities(page, aside)
