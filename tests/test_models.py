@@ -184,3 +184,35 @@ def test_only_new_texts_are_encoded(spark, tmp_path):
     assert {(r.batch, r.encoded) for r in store.batches().collect()} == {(1, 4), (2, 1)}
     other = VectorStore(spark, str(tmp_path), embed.HashedEmbedding(e.idf, 4))
     assert other.table().count() == 0 and VectorStore(spark, str(tmp_path), e).table().count() == 5
+
+
+def test_component_settings(caplog):
+    cfg = Modeling.from_dict({
+        "reduction_params": {"n_components": 7, "metric": "cosine"}, "cluster_params": {"min_cluster_size": 30, "cluster_selection_method": "leaf", "cluster_selection_epsilon": 0.5},
+        "vectorizer_params": {"ngram_range": [1, 2], "stop_words": ["a"], "min_df": 4}, "model_params": {"top_n_words": 3, "nr_topics": 9, "language": "english"},
+        "other_params": None, "representation_params": {"model_name": "KeyBERTInspired"}, "linkage": "single",
+    })
+    assert (cfg.n_components, cfg.ngram_range, cfg.stop_words, cfg.min_frequency, cfg.top_n_words, cfg.nr_topics, cfg.linkage) == (7, (1, 2), ("a",), 4, 3, 9, "single")
+    assert (cfg.clustering.min_cluster_size, cfg.clustering.selection, cfg.clustering.epsilon) == (30, "leaf", 0.5) and cfg.representation == {"model_name": "KeyBERTInspired"}
+    assert "reduction_params.metric has no part" in caplog.text
+    for bad, name in (
+        ({"cluster_params": {"min_clutser_size": 3}}, "cluster_params.min_clutser_size"), ({"clustering": {"min_clutser_size": 3}}, "clustering.min_clutser_size"),
+        ({"n_component": 3}, "'n_component'"), ({"cluster_params": [3]}, "cluster_params must be a dictionary"), ({"clustering": 3}, "clustering must be"),
+    ):
+        with pytest.raises(ValueError, match=name):
+            Modeling.from_dict(bad)
+
+
+def test_training_with_representation_steps(spark, corpus, tmp_path):
+    e = embed.HashedEmbedding.fit(corpus, dim=32)
+    steps = [{"model_name": "MaximalMarginalRelevance", "aspect_name": "varied", "params": {"diversity": 0.9, "top_n_words": 2}}, {"model_name": "KeyBERTInspired"}]
+    cfg = Modeling(min_topic_size=1, stop_words=None, top_n_words=4, representation=steps)
+    m = modeling.fit(corpus, e.transform(corpus), cfg, labels=corpus.select("doc_id", "cluster"), embedding=e)
+    m.save(str(tmp_path / "m"))
+    loaded = modeling.load_model(spark, str(tmp_path / "m"))
+    assert loaded.config == m.config and rows_of(loaded.aspects) == rows_of(m.aspects)
+    assert {r.aspect: r.n for r in m.aspects.groupBy("aspect").agg(F.count("word").alias("n")).collect()} == {"Main": 8, "varied": 4, "aspect_1": 8}
+    info = loaded.info().collect()
+    assert all(len(r.varied) == 2 and len(r.aspect_1) == 4 and set(r.varied) <= set(r.representation) for r in info) and len(info) == 2
+    main = modeling.fit(corpus, e.transform(corpus), Modeling(min_topic_size=1, stop_words=None, top_n_words=3, representation={"model_name": "KeyBERTInspired"}), labels=corpus.select("doc_id", "cluster"))
+    assert {r.aspect for r in main.aspects.collect()} == {"Main"} and rows_of(main.words.select("topic", "rank", "word")) == rows_of(m.aspects.filter("aspect = 'aspect_1' AND rank <= 3").select("topic", "rank", "word"))

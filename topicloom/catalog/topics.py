@@ -278,6 +278,58 @@ def m9_keywords(spark, d):
     return out.withColumn("weight", F.round("weight", 6))
 
 
+#: settings as files of other tools have them
+TRAINING = {
+    "reduction_params": {"n_components": 4, "n_neighbors": 15, "metric": "cosine"},
+    "clustering_params": {"min_cluster_size": 20, "cluster_selection_method": "leaf"},
+    "vectorizer_params": {"ngram_range": [1, 1], "stop_words": None, "min_df": 2},
+    "model_params": {"top_n_words": 8, "min_topic_size": 1, "verbose": True},
+    "representation_params": [{"model_name": "KeyBERTInspired", "aspect_name": "near", "params": {"top_n_words": 6, "nr_candidate_words": 40}}],
+}
+
+
+_SQL_TRAINED = f"""WITH r AS (SELECT lang, row_number() OVER (ORDER BY count(*) DESC, min(doc_id)) - 1 AS numbered FROM documents GROUP BY lang),
+dv AS (SELECT d.*, numbered, {sql_letters()} AS embedding FROM documents d JOIN r USING (lang)),
+docs AS (SELECT *, numbered AS topic FROM dv),
+w AS (SELECT topic, unnest({SQL_TOKENS}) AS word FROM docs),
+tf AS (SELECT topic, word, count(*) AS tf FROM w GROUP BY topic, word QUALIFY sum(count(*)) OVER (PARTITION BY word) >= 2),
+tot AS (SELECT topic, CAST(sum(tf) AS BIGINT) AS words FROM tf GROUP BY topic),
+ct AS (SELECT tf.topic, tf.word, tf.tf, ln(1 + (SELECT avg(words) FROM tot) / sum(tf.tf) OVER (PARTITION BY tf.word)) AS idf, tot.words FROM tf JOIN tot USING (topic)),
+cw AS (SELECT topic, word, tf / words * idf AS weight FROM ct),
+cand AS (SELECT topic, word, weight, row_number() OVER (PARTITION BY topic ORDER BY weight DESC, word) AS rank FROM cw QUALIFY rank <= 40),
+dims AS (SELECT doc_id, topic, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS dim FROM docs),
+tv AS (SELECT topic, list(v ORDER BY dim) AS vector FROM (SELECT topic, dim, avg(v) AS v FROM dims GROUP BY ALL) GROUP BY topic),
+held AS (SELECT DISTINCT doc_id, unnest({SQL_TOKENS}) AS word FROM docs),
+wv AS (SELECT word, list(v ORDER BY dim) AS wvec FROM (SELECT word, dim, avg(v) AS v FROM (SELECT * FROM held SEMI JOIN cand USING (word)) JOIN dims USING (doc_id) GROUP BY ALL) GROUP BY word),
+ks AS (SELECT topic, word, round(list_cosine_similarity(wvec, vector), 10) AS sim FROM cand JOIN wv USING (word) JOIN tv USING (topic)),
+nr AS (SELECT topic, word, sim, row_number() OVER (PARTITION BY topic ORDER BY sim DESC, word) AS rank FROM ks QUALIFY rank <= 6)"""
+
+
+def trained(spark: SparkSession, d: str) -> modeling.TopicModel:
+    docs, v = docs_with_vectors(spark, d)
+    labels = docs.select("doc_id", F.col("lang").alias("cluster"))
+    return modeling.fit(docs.select("doc_id", "text"), materialize(v), Modeling.from_dict(TRAINING), labels=labels, embedding=LETTER_VECTORS)
+
+
+@register("m13_training_settings", _SQL_TRAINED + """ SELECT 'Main' AS aspect, topic, rank, word, round(weight, 6) AS weight FROM cand WHERE rank <= 8
+UNION ALL SELECT 'near', topic, rank, word, round(sim, 6) FROM nr""")
+def m13(spark, d):
+    """A model trained by component settings, with a representation step, saved and loaded: its words and aspects."""
+    path = scratch_path(spark, "trained")
+    trained(spark, d).save(path)
+    return modeling.load_model(spark, path).aspects.withColumn("weight", F.round("weight", 6))
+
+
+@register("q3_topic_info_aspects", _SQL_TRAINED + """, n AS (SELECT topic, count(*) AS count FROM docs GROUP BY topic),
+m AS (SELECT topic, string_agg(word, ', ' ORDER BY rank) AS representation, topic || '_' || string_agg(word, '_' ORDER BY rank) FILTER (WHERE rank <= 4) AS name FROM cand WHERE rank <= 8 GROUP BY topic),
+o AS (SELECT topic, string_agg(word, ', ' ORDER BY rank) AS near FROM nr GROUP BY topic)
+SELECT topic, count, name, representation, near FROM n JOIN m USING (topic) JOIN o USING (topic)""")
+def q3_aspects(spark, d):
+    """Topic info of a trained model, with a column of words per aspect."""
+    info = trained(spark, d).info()
+    return info.withColumns({c: F.array_join(c, ", ") for c in ("representation", "near")})
+
+
 # --- outliers -------------------------------------------------------------------
 
 SQL_WORD_SIDE = f"""{sql_ctfidf(SQL_NOISE_TOPIC)},

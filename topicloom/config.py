@@ -7,9 +7,12 @@ The nested dictionary form (``paths``, ``data_source``,
 from __future__ import annotations
 
 import json
+import logging
 from dataclasses import asdict, dataclass, field, fields
 from typing import Any
 
+log = logging.getLogger(__name__)
+
 
 @dataclass(frozen=True)
 class Cleaning:
@@ -131,6 +134,8 @@ class Modeling:
     stop_words: str | tuple[str, ...] | None = "english"
     min_frequency: int = 1
     linkage: str = "ward"
+    #: steps that re-rank topic words, see :func:`operators.represent.aspect_steps`
+    representation: Any = None
 
     def __post_init__(self) -> None:
         if self.n_components < 1 or self.top_n_words < 1 or self.min_topic_size < 1:
@@ -143,15 +148,73 @@ class Modeling:
 
     @classmethod
     def from_dict(cls, d: dict[str, Any] | None) -> Modeling:
-        d = dict(d or {})
-        clustering = d.pop("clustering", {})
-        if not isinstance(clustering, dict):
+        """Own names, or component settings in groups named ``*_params``, or both; own names go first.
+
+        A setting of a component that has no part here is logged; one that
+        nobody knows raises, and so does a group that is no dictionary.
+        """
+        own = {f.name for f in fields(cls)}
+        out: dict[str, Any] = {}
+        clustering: dict[str, Any] = {}
+        for group, values in (d or {}).items():
+            if not group.endswith("_params"):
+                continue
+            if group == "representation_params":
+                out["representation"] = values
+                continue
+            if values is None:
+                continue
+            if not isinstance(values, dict):
+                raise ValueError(f"{group} must be a dictionary, not {type(values).__name__}")
+            for key, value in values.items():
+                if key in WITHOUT_PART:
+                    log.warning("setting %s.%s has no part in this model", group, key)
+                elif key in CLUSTERING_NAMES:
+                    clustering[CLUSTERING_NAMES[key]] = value
+                elif key in MODELING_NAMES:
+                    out[MODELING_NAMES[key]] = value
+                else:
+                    raise ValueError(f"unknown setting {group}.{key}")
+        plain = {k: v for k, v in (d or {}).items() if not k.endswith("_params")}
+        given = plain.pop("clustering", {})
+        if not isinstance(given, dict):
             raise ValueError("clustering must be a dictionary")
-        if "ngram_range" in d:
-            d["ngram_range"] = tuple(d["ngram_range"])
-        if isinstance(d.get("stop_words"), list):
-            d["stop_words"] = tuple(d["stop_words"])
-        return cls(clustering=Clustering(**clustering), **d)
+        clustering |= given
+        out |= plain
+        for key in out:
+            if key not in own:
+                raise ValueError(f"unknown setting {key!r}")
+        for key in clustering:
+            if key not in {f.name for f in fields(Clustering)}:
+                raise ValueError(f"unknown setting clustering.{key}")
+        if "ngram_range" in out:
+            out["ngram_range"] = tuple(out["ngram_range"])
+        if isinstance(out.get("stop_words"), list):
+            out["stop_words"] = tuple(out["stop_words"])
+        return cls(clustering=Clustering(**clustering), **out)
+
+
+# Names that settings of components have elsewhere, and what they are here.
+CLUSTERING_NAMES = {
+    "min_cluster_size": "min_cluster_size",
+    "min_samples": "min_samples",
+    "cluster_selection_method": "selection",
+    "cluster_selection_epsilon": "epsilon",
+}
+MODELING_NAMES = {
+    "n_components": "n_components",
+    "ngram_range": "ngram_range",
+    "n_gram_range": "ngram_range",
+    "stop_words": "stop_words",
+    "min_df": "min_frequency",
+    "top_n_words": "top_n_words",
+    "min_topic_size": "min_topic_size",
+    "nr_topics": "nr_topics",
+}
+WITHOUT_PART = frozenset(
+    "n_neighbors min_dist spread metric random_state n_jobs low_memory verbose language calculate_probabilities "
+    "prediction_data gen_min_span_tree core_dist_n_jobs algorithm leaf_size approx_min_span_tree".split()
+)
 
 
 def to_json(config: Any) -> str:

@@ -5,20 +5,20 @@ from __future__ import annotations
 import json
 import logging
 import uuid
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Clustering, Modeling, to_json
-from ..operators import density, embed, explore, hierarchy, joins, merging, outliers, similarity, terms, trends, units
+from ..operators import density, embed, explore, hierarchy, joins, merging, outliers, represent, similarity, terms, trends, units
 from ..session import materialize
 from ..sources import store
 
 log = logging.getLogger(__name__)
 
-TABLES = ("assignments", "topic_vectors", "weights", "words", "floors", "histogram")
+TABLES = ("assignments", "topic_vectors", "weights", "words", "floors", "histogram", "aspects")
 MANIFEST = "version string, number bigint, config string, id_col string, embedding string"
 
 
@@ -27,7 +27,8 @@ class TopicModel:
     """``assignments``: id, topic, strength. ``topic_vectors``: topic, vector, n.
     ``weights``: topic, word, tf, f, idf, weight. ``words``: topic, rank, word,
     weight. ``floors``: topic, floor. ``histogram``: topic, bin, n (similarities
-    to the own topic). ``embedding`` makes vectors of new texts and phrases.
+    to the own topic). ``aspects``: aspect, topic, rank, word, weight, with
+    ``words`` as aspect Main. ``embedding`` makes vectors of new texts and phrases.
 
     Term counts, vectors with their ``n``, and histograms add up, see :func:`merge`.
     """
@@ -38,6 +39,7 @@ class TopicModel:
     words: DataFrame
     floors: DataFrame
     histogram: DataFrame
+    aspects: DataFrame
     config: Modeling
     id_col: str = "doc_id"
     embedding: embed.Embedding | None = None
@@ -75,7 +77,14 @@ class TopicModel:
         return hierarchy.topic_hierarchy(self.topic_vectors, linkage or self.config.linkage)
 
     def info(self, representative: DataFrame | None = None) -> DataFrame:
-        return explore.topic_info(self.assignments, self.words, representative)
+        """Topic info, with a column of words for every aspect but the main one."""
+        out = explore.topic_info(self.assignments, self.words, representative)
+        for name in represent.aspect_steps(self.config.representation):
+            if name != "Main":
+                words = self.aspects.filter(F.col("aspect") == name)
+                listed = F.transform(F.sort_array(F.collect_list(F.struct("rank", "word"))), lambda s: s["word"])
+                out = out.join(words.groupBy("topic").agg(listed.alias(name)), "topic", "left")
+        return out
 
     def with_topics(self, assigned: DataFrame, docs: DataFrame, vectors: DataFrame) -> TopicModel:
         """The model after documents changed topics: words and vectors anew."""
@@ -128,12 +137,19 @@ def load_model(spark: SparkSession, path: str) -> TopicModel:
 
 
 def described(
-    assigned: DataFrame, tf: DataFrame, topic_vectors: DataFrame, histogram: DataFrame, cfg: Modeling, id_col: str, embedding: embed.Embedding | None
+    assigned: DataFrame, tf: DataFrame, topic_vectors: DataFrame, histogram: DataFrame, cfg: Modeling, id_col: str,
+    embedding: embed.Embedding | None, words_of: Callable[[DataFrame], DataFrame] | None = None,
 ) -> TopicModel:
-    """The model of its sums: term counts, vectors with counts, and similarity histograms."""
+    """The model of its sums: term counts, vectors with counts, and similarity histograms.
+
+    ``words_of`` makes the aspects from the weights; without it there are the heaviest words only.
+    """
     weights, histogram = materialize(terms.ctfidf(tf)), materialize(histogram)
-    floors, words = materialize(similarity.floors_of(histogram)), materialize(terms.top_words(weights, cfg.top_n_words))
-    return TopicModel(assigned, topic_vectors, weights, words, floors, histogram, cfg, id_col, embedding)
+    floors = materialize(similarity.floors_of(histogram))
+    plain = lambda: terms.top_words(weights, cfg.top_n_words).select(F.lit("Main").alias("aspect"), "topic", "rank", "word", "weight")
+    aspects = materialize(plain() if words_of is None else words_of(weights))
+    words = aspects.filter("aspect = 'Main'").drop("aspect")
+    return TopicModel(assigned, topic_vectors, weights, words, floors, histogram, aspects, cfg, id_col, embedding)
 
 
 def describe(
@@ -147,7 +163,14 @@ def describe(
     placed = vectors.select(id_col, "embedding").join(assigned.select(id_col, "topic"), id_col)
     centres = materialize(similarity.mean_vectors(placed, "topic", count="n"))
     own = explore.own_similarity(placed.filter(F.col("topic") != -1), centres, id_col)
-    return described(assigned, tf, centres, similarity.similarity_histogram(own), cfg, id_col, embedding)
+
+    def words_of(weights: DataFrame) -> DataFrame:
+        candidates = terms.top_words(weights, represent.most_candidates(cfg.representation))
+        of_words = represent.word_vectors(docs, vectors, candidates, id_col, text_col, "embedding", cfg.ngram_range, cfg.stop_words)
+        return represent.aspects(cfg.representation, weights, centres, materialize(of_words), cfg.top_n_words)
+
+    steps = words_of if represent.aspect_steps(cfg.representation) else None
+    return described(assigned, tf, centres, similarity.similarity_histogram(own), cfg, id_col, embedding, steps)
 
 
 def merge(models: Sequence[TopicModel], min_similarity: float = 0.6) -> tuple[TopicModel, DataFrame]:
@@ -157,7 +180,8 @@ def merge(models: Sequence[TopicModel], min_similarity: float = 0.6) -> tuple[To
     becomes a new one. Term counts, vectors (by their counts) and similarity
     histograms are added, so words and vectors are those of a model described
     from all documents, if no model left out rare words. Floors come from the
-    similarities to the topics as they were before merging.
+    similarities to the topics as they were before merging. Aspects need the
+    documents, so the merged model has its heaviest words only.
     """
     first = models[0]
     if any(m.id_col != first.id_col for m in models):
@@ -177,7 +201,8 @@ def merge(models: Sequence[TopicModel], min_similarity: float = 0.6) -> tuple[To
     bins = moved([m.histogram for m in models], "bin").groupBy("topic", "bin").agg(F.sum("n").alias("n"))
     centres = materialize(merging.added_vectors(moved(vectors, "n")))
     assigned = materialize(moved([m.assignments.select(first.id_col, "topic", "strength") for m in models], first.id_col))
-    return described(assigned, tf, centres, bins, first.config, first.id_col, first.embedding), mapping
+    cfg = replace(first.config, representation=None)
+    return described(assigned, tf, centres, bins, cfg, first.id_col, first.embedding), mapping
 
 
 def fit_units(
