@@ -240,3 +240,21 @@ def test_extract(spark):
     got = Counter((r.page_id, r.url, r.text, r.n_chars) for r in html.extract(frame).collect())
     assert got == Counter((i, u, CASES.get(s, ""), len(CASES.get(s, ""))) for i, u, s in rows)
     assert html.extract(frame.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("kind, least, most", [("no structure", 0.95, 0.75), ("clusters", 0.95, 0.05)])
+def test_only_colliding_vectors_are_verified(kind, least, most):
+    rng = np.random.default_rng(8)
+    n = 2000
+    x = rng.standard_normal((n, 64))
+    if kind == "clusters":
+        x = rng.standard_normal((40, 64))[rng.integers(0, 40, n)] + 0.3 * x
+    ids, asked = np.arange(n), np.arange(0, n, 50)
+    verified = []
+    found = ann.search_block(ids, x, ids[asked], x[asked], 5, verified)
+    expected = brute_nearest(list(zip(ids.tolist(), x)), 5)
+    got = defaultdict(set)
+    for q, i, _ in found:
+        got[q].add(i)
+    assert sum(len(got[q] & {j for _, j in e}) for q, e in expected.items()) >= least * sum(map(len, expected.values()))
+    assert len(verified) == len(asked) and np.mean(verified) <= most * n

@@ -29,9 +29,11 @@ from pyspark.sql import functions as F
 
 from ..operators.sampling import top_n
 
-PROJECTIONS, COLLISIONS = 64, 44
-FIRST, WIDER, REACH = 0.37, 2.0, 1.25
-BLOCK, QUERIES = 2048, 4096
+PROJECTIONS, COLLISIONS = 64, 46
+FIRST, WIDER, REACH = 0.25, 1.1, 1.3
+BLOCK, QUERIES = 2048, 1024
+#: pairs verified at once
+PAIRS = 1 << 16
 RESULT = "query_id bigint, vec_id bigint, score double"
 
 
@@ -39,8 +41,12 @@ def lines(dim: int, seed: int = 42) -> np.ndarray:
     return np.random.default_rng([seed, dim]).standard_normal((dim, PROJECTIONS)).astype(np.float32)
 
 
-def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int):
-    """(query, vec_id, score) of the k best verified vectors of this block for each query."""
+def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, verified: list[int] | None = None):
+    """(query, vec_id, score) of the k best verified vectors of this block for each query.
+
+    Only vectors above the collision threshold are verified, each once;
+    ``verified`` collects how many of them a query had.
+    """
     v_norm, q_norm = (np.sqrt((x * x).sum(axis=1)) for x in (vectors, queries))
     units, asked = vectors / v_norm[:, None], queries / q_norm[:, None]
     a = lines(vectors.shape[1])
@@ -54,6 +60,7 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
     spread = float(max(np.abs(pv).max(), np.abs(pq).max())) * 2
     out: list[tuple[int, int, float]] = []
     active, radius = np.arange(len(query_ids)), FIRST
+    cosines = np.full((n, len(query_ids)), -np.inf)
     while len(active):
         counts = np.zeros((n, len(active)), np.uint8)
         for i in range(PROJECTIONS):
@@ -62,10 +69,17 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
             counts += (ranks[i][:, None] - low.astype(kind)) < (high - low).astype(kind)  # below the window the difference wraps round
         everything = radius >= spread
         candidates = (counts >= (0 if everything else COLLISIONS)) & (ids[:, None] != query_ids[active])
-        scores = np.where(candidates, units @ asked[active].T, -np.inf)
+        scores = cosines[:, active]
+        fresh_v, fresh_q = np.nonzero(candidates & (scores == -np.inf))
+        for a in range(0, len(fresh_v), PAIRS):
+            v, q = fresh_v[a : a + PAIRS], fresh_q[a : a + PAIRS]
+            scores[v, q] = np.einsum("ij,ij->i", units[v], asked[active[q]])
+        cosines[:, active] = scores
         kth = np.partition(scores, n - k, axis=0)[n - k] if n >= k else np.full(len(active), -np.inf)
         done = np.full(len(active), everything)
         done |= (kth > -np.inf) & (radius >= REACH * np.sqrt(np.maximum(0, 2 - 2 * kth)))
+        if verified is not None:
+            verified += np.isfinite(scores[:, done]).sum(axis=0).tolist()
         for j in np.flatnonzero(done).tolist():
             q = active[j]
             at = np.flatnonzero(candidates[:, j] & (scores[:, j] >= kth[j] - 1e-9))  # with near ties
