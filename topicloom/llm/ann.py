@@ -3,7 +3,8 @@
 Every vector is scaled to unit length and projected on ``PROJECTIONS`` random
 lines; each projection is kept as a sorted array. A query opens a window around
 its own projection in each array and widens all windows together, level by
-level (virtual rehashing: no level has hash tables of its own). A vector that
+level (virtual rehashing: no level has hash tables of its own), by ``WIDER`` but
+no wider than its nearest vectors found so far ask for. A vector that
 lies in at least ``COLLISIONS`` of the windows is verified by its cosine. A
 query stops when its windows are ``REACH`` times as wide as the distance of the
 k-th verified vector: whatever is nearer than that has then very likely been
@@ -30,10 +31,8 @@ from pyspark.sql import functions as F
 from ..operators.sampling import top_n
 
 PROJECTIONS, COLLISIONS = 64, 46
-FIRST, WIDER, REACH = 0.25, 1.1, 1.3
-BLOCK, QUERIES = 2048, 1024
-#: pairs verified at once
-PAIRS = 1 << 16
+FIRST, WIDER, REACH = 0.7, 1.4, 1.3
+BLOCK, QUERIES = 2048, 2048
 RESULT = "query_id bigint, vec_id bigint, score double"
 
 
@@ -59,25 +58,25 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
     np.put_along_axis(ranks, order, np.arange(n, dtype=kind)[None, :], axis=1)
     spread = float(max(np.abs(pv).max(), np.abs(pq).max())) * 2
     out: list[tuple[int, int, float]] = []
-    active, radius = np.arange(len(query_ids)), FIRST
+    active, radius = np.arange(len(query_ids)), np.full(len(query_ids), FIRST)
     cosines = np.full((n, len(query_ids)), -np.inf)
     while len(active):
         counts = np.zeros((n, len(active)), np.uint8)
         for i in range(PROJECTIONS):
             centre = pq[i, active]
-            low, high = np.searchsorted(ordered[i], centre - radius), np.searchsorted(ordered[i], centre + radius, side="right")
+            low, high = np.searchsorted(ordered[i], centre - radius[active]), np.searchsorted(ordered[i], centre + radius[active], side="right")
             counts += (ranks[i][:, None] - low.astype(kind)) < (high - low).astype(kind)  # below the window the difference wraps round
-        everything = radius >= spread
-        candidates = (counts >= (0 if everything else COLLISIONS)) & (ids[:, None] != query_ids[active])
+        everything = radius[active] >= spread
+        candidates = (counts >= np.where(everything, 0, COLLISIONS)) & (ids[:, None] != query_ids[active])
         scores = cosines[:, active]
-        fresh_v, fresh_q = np.nonzero(candidates & (scores == -np.inf))
-        for a in range(0, len(fresh_v), PAIRS):
-            v, q = fresh_v[a : a + PAIRS], fresh_q[a : a + PAIRS]
-            scores[v, q] = np.einsum("ij,ij->i", units[v], asked[active[q]])
+        fresh = candidates & (scores == -np.inf)
+        for j in np.flatnonzero(fresh.any(axis=0)).tolist():
+            at = np.flatnonzero(fresh[:, j])
+            scores[at, j] = units[at] @ asked[active[j]]
         cosines[:, active] = scores
         kth = np.partition(scores, n - k, axis=0)[n - k] if n >= k else np.full(len(active), -np.inf)
-        done = np.full(len(active), everything)
-        done |= (kth > -np.inf) & (radius >= REACH * np.sqrt(np.maximum(0, 2 - 2 * kth)))
+        reach = np.where(kth > -np.inf, REACH * np.sqrt(np.maximum(0, 2 - 2 * kth)), np.inf)
+        done = everything | (radius[active] >= reach)
         if verified is not None:
             verified += np.isfinite(scores[:, done]).sum(axis=0).tolist()
         for j in np.flatnonzero(done).tolist():
@@ -86,7 +85,9 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
             exact = (vectors[at] * queries[q]).sum(axis=1) / (v_norm[at] * q_norm[q])
             best = np.lexsort((ids[at], -exact))[:k]
             out += [(int(query_ids[q]), int(ids[at[x]]), float(exact[x])) for x in best]
-        active, radius = active[~done], radius * WIDER
+        # wider windows, but no wider than the nearest found so far ask for
+        radius[active] = np.minimum(radius[active] * WIDER, np.maximum(reach, radius[active]))
+        active = active[~done]
     return out
 
 
