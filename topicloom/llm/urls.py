@@ -96,10 +96,10 @@ class Cascade:
         outside = stage(passed.join(inside, "key", "left_anti"))
         while n_out := outside.count():
             rows, held, wider = inside.select(F.array("key").alias(key_array)), n_in, bits_per_key
-            while True:  # every level must pass fewer keys than it was asked about; else it is built again with more bits
+            while True:  # a level that passes over half of the keys it is asked about is built again with more bits
                 self._add(outside, n_out, wider, seed)
                 again = stage(self._passing(rows, len(self.levels) - 1, key_array))
-                if again.count() < held:
+                if 2 * again.count() <= held:
                     break
                 self.levels.pop()
                 wider *= 2
