@@ -53,21 +53,23 @@ def histogram(df: DataFrame, value: str, bins: int = 50, group: str | None = Non
     With ``group`` each group has its own range. Empty bins are not listed.
     """
     rows = df.filter(F.col(value).isNotNull())
-    keys = [group] if group else ["_all"]
-    if not group:
-        rows = rows.withColumn("_all", F.lit(0))
+    keys = [group] if group else []
     bounds = rows.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    # equal values are merged before the join, so its left side is already reduced
-    counted = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    joined = salted_join(counted, bounds, keys, "inner", [value])
+    # values are put into bins where they are read: only counts of bins are shuffled,
+    # and the rows themselves only if there are too many groups to broadcast
+    if group:
+        placed = salted_join(rows.select(group, value), bounds, keys, "inner", [value])
+    else:
+        ends = bounds.first()  # one row
+        placed = rows.select(value, F.lit(ends["_lo"]).alias("_lo"), F.lit(ends["_hi"]).alias("_hi"))
     width = (F.col("_hi") - F.col("_lo")) / bins
     place = F.when(width == 0, F.lit(0)).otherwise(
         F.least(F.lit(bins - 1), F.floor((F.col(value) - F.col("_lo")) * bins / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0))))
     )
-    out = (
-        joined.withColumn("bin", place.cast("long"))
+    return (
+        placed.withColumn("bin", place.cast("long"))
         .groupBy(*keys, "bin", "_lo", "_hi")
-        .agg(F.sum("_n").alias("count"))
+        .agg(F.count(F.lit(1)).alias("count"))
         .select(
             *keys,
             "bin",
@@ -76,7 +78,6 @@ def histogram(df: DataFrame, value: str, bins: int = 50, group: str | None = Non
             "count",
         )
     )
-    return out if group else out.drop("_all")
 
 
 def density_curve(hist: DataFrame, group: str | None = None, points: int = 200) -> DataFrame:
