@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import Clustering, Modeling
 from ..functions import tokens as K
-from ..operators import density, embed, explore, hierarchy, merging, outliers, represent, similarity, terms, trends, units
+from ..operators import clusterers, density, embed, explore, hierarchy, merging, outliers, represent, similarity, terms, trends, units
 from ..plans import modeling
 from ..session import materialize, scratch_path
 from .corpus import SQL_PARAGRAPHS, SQL_SENTENCES, sql_units
@@ -391,8 +391,10 @@ def f3(spark, d):
 
 @register("m18_topic_tree")
 def m18(spark, d):
-    labels = explore.topic_labels(words_of(by_source(spark, d).filter("topic < 10")))
-    return hierarchy.topic_tree(hierarchy.topic_hierarchy(centres(spark, d), "average"), labels)
+    """Tree of the languages: labels and vectors come from the same documents."""
+    docs, v = docs_with_vectors(spark, d)
+    means = similarity.mean_vectors(v.join(docs.select("doc_id", "topic"), "doc_id"), "topic")
+    return hierarchy.topic_tree(hierarchy.topic_hierarchy(means, "average"), explore.topic_labels(words_of(docs)))
 
 
 @register("m12_reduced_topics")
@@ -677,6 +679,29 @@ def m24(spark, d):
     return modeling.parameter_runs(reduced, grid)
 
 
+def reduced_documents(spark: SparkSession, d: str, n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents, their vectors, and ``n`` principal components of these."""
+    docs = documents(spark, d).select("doc_id", "text")
+    v = materialize(embed.HashedEmbedding.fit(docs).transform(docs))
+    return docs, v, materialize(clusterers.PrincipalComponents(n).reduce(v, "doc_id"))
+
+
+@register("m2_mixture_shares")
+def m2_shares(spark, d):
+    """Topics by a mixture of Gaussians, with the responsibilities as probabilities by topic."""
+    _, _, reduced = reduced_documents(spark, d, 3)
+    placed = materialize(clusterers.MixtureParts(6).cluster(reduced, "doc_id"))
+    assigned = density.number_topics(placed.drop("shares"), min_topic_size=10).select("doc_id", "topic")
+    return clusterers.topic_shares(placed, assigned).join(assigned, "doc_id")
+
+
+@register("m2_bisecting_topic_info")
+def m2_info(spark, d):
+    """A model whose clusterer is repeated halving: its topic info."""
+    docs, v, reduced = reduced_documents(spark, d, 5)
+    return modeling.fit(docs, v, Modeling(stop_words=None), reduced=reduced, clusterer=clusterers.BisectingParts(8)).info()
+
+
 def fitted(spark: SparkSession, d: str) -> tuple[modeling.TopicModel, DataFrame, DataFrame]:
     docs = documents(spark, d).select("doc_id", "text")
     v = materialize(embed.HashedEmbedding.fit(docs).transform(docs))

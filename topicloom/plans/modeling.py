@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Clustering, Modeling, to_json
-from ..operators import density, embed, explore, hierarchy, joins, merging, outliers, represent, similarity, terms, trends, units
+from ..operators import clusterers, density, embed, explore, hierarchy, joins, merging, outliers, represent, similarity, terms, trends, units
 from ..session import materialize
 from ..sources import store
 
@@ -227,18 +227,20 @@ def unit_topics(assigned: DataFrame, meta: DataFrame, columns: Sequence[str] | N
 def fit(
     docs: DataFrame, vectors: DataFrame, cfg: Modeling = Modeling(), id_col: str = "doc_id", text_col: str = "text",
     labels: DataFrame | None = None, reduced: DataFrame | None = None, embedding: embed.Embedding | None = None,
+    reducer: clusterers.Reducer | None = None, clusterer: clusterers.Clusterer | None = None,
 ) -> TopicModel:
     """Documents and vectors, joined by id, to a topic model.
 
     ``labels`` (id, cluster) skips clustering; ``reduced`` (id, reduced) skips
-    the reduction. Missing or surplus vectors raise. ``embedding`` made the
+    the reduction. ``reducer`` and ``clusterer`` replace the principal
+    components and the density clustering of the settings. Missing or surplus vectors raise. ``embedding`` made the
     vectors; the model keeps it to embed new texts and search phrases.
     """
     joins.require_complete(docs, vectors, id_col)
     if labels is None:
         if reduced is None:
-            reduced = embed.reduce_vectors(vectors.select(id_col, "embedding"), cfg.n_components)
-        labels = density.density_clusters(reduced, id_col, "reduced", cfg.clustering)
+            reduced = (reducer or clusterers.PrincipalComponents(cfg.n_components)).reduce(vectors.select(id_col, "embedding"), id_col)
+        labels = (clusterer or clusterers.DensityParts(cfg.clustering)).cluster(reduced, id_col)
     elif "strength" not in labels.columns:
         labels = labels.withColumn("strength", F.lit(1.0))
     assigned = density.number_topics(labels, id_col, "cluster", cfg.min_topic_size).select(id_col, "topic", "strength")
