@@ -123,7 +123,8 @@ def _scores(
     grams = F.array(*[K.ngrams(F.col("_t"), n, n) for n in sizes])
     dealt = materialize(rows.select(F.col(id_col).alias("_id"), F.pmod(F.xxhash64(id_col), F.lit(blocks)).alias("_block"), grams.alias("_grams")))
     held = dealt.select("_block", F.explode(F.flatten("_grams")).alias("word")).distinct()
-    words = salted_join(held, _by_word(weights), ["word"], "inner", ["_block"]).withColumnRenamed("_block", "_of")
+    # a word has one row per block at most, a block thousands of words: no word is hot
+    words = held.join(_by_word(weights), "word").withColumnRenamed("_block", "_of")
     kind = dealt.schema["_id"].dataType.simpleString()
 
     empty = to_arrow_schema(StructType().add("_id", dealt.schema["_id"].dataType).add("topic", IntegerType()).add("similarity", DoubleType())).empty_table()
