@@ -32,6 +32,7 @@ def brute_force(x, cfg):
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
     core = np.sort(d, axis=1)[:, min(k, n - 1)]
     reach = np.maximum(d, np.maximum(core[:, None], core[None]))
+    reach = 2.0 ** (np.ceil(np.log2(np.maximum(reach, 1e-12)) * cfg.resolution - 1e-9) / cfg.resolution)
 
     def components(members, below):
         members, out = set(members), []
@@ -94,19 +95,37 @@ def test_equals_brute_force(spark, selection, seed):
     assert groups(clusters(spark, x, cfg)[0]) == brute_force(x, cfg)
 
 
-def test_block_trees_join_to_the_same_result(spark, monkeypatch):
+@pytest.mark.parametrize("selection", ["eom", "leaf"])
+def test_leaves_of_any_size_find_the_same_blobs(spark, selection):
     x = blobs(2)
-    cfg = Clustering(20, 5, "leaf")
-    whole = groups(clusters(spark, x, cfg)[0])
-    monkeypatch.setattr(density, "BLOCK", 70)
-    assert groups(clusters(spark, x, cfg)[0]) == whole
+    whole = groups(clusters(spark, x, Clustering(20, 5, selection))[0])
+    parted = groups(clusters(spark, x, Clustering(20, 5, selection, leaf_size=60))[0])
+    assert len(parted) == len(whole) == 3
+    for a in whole:
+        assert max(len(a & b) / len(a | b) for b in parted) >= 0.9
+
+
+def test_copies_of_all_points_make_the_same_clusters(spark):
+    x = blobs(3)
+    once = clusters(spark, x, Clustering(20, 5, "eom"))[0]
+    often = clusters(spark, np.tile(x, (7, 1)), Clustering(140, 41, "eom"))[0]
+    assert all((often[i * len(x):(i + 1) * len(x)] == once).all() for i in range(7))
+
+
+def test_copies_in_leaves(spark):
+    x = blobs(3)
+    cfg = {"selection": "leaf", "leaf_size": 80}
+    once = clusters(spark, x, Clustering(20, 5, **cfg))[0]
+    often = clusters(spark, np.tile(x, (3, 1)), Clustering(60, 17, **cfg))[0]
+    assert all((often[i * len(x):(i + 1) * len(x)] == once).all() for i in range(3))
 
 
-def test_grid_cells_find_the_blobs(spark):
-    labels, _ = clusters(spark, np.repeat(blobs(), 5, axis=0), Clustering(100, 25, max_cells=150))
-    for a in (0, 500, 1000):
-        assert np.bincount(labels[a:a + 500] + 1).max() >= 480
-    assert len(groups(labels)) == 3
+def test_null_vectors_are_noise(spark):
+    x = blobs()
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(1000, None)]
+    out = density.density_clusters(spark.createDataFrame(rows, "doc_id long, v array<double>"), "doc_id", "v", Clustering(20, 5))
+    got = {r.doc_id: (r.cluster, r.strength) for r in out.collect()}
+    assert len(got) == len(rows) and got[1000] == (-1, 0.0)
 
 
 def test_a_hot_point_is_one_cell(spark):
@@ -136,6 +155,6 @@ def test_topic_numbers(spark):
 
 
 def test_bad_settings():
-    for bad in ({"min_cluster_size": 1}, {"min_samples": 0}, {"selection": "x"}, {"epsilon": -1.0}):
+    for bad in ({"min_cluster_size": 1}, {"min_samples": 0}, {"selection": "x"}, {"epsilon": -1.0}, {"trees": 0}):
         with pytest.raises(ValueError):
             Clustering(**bad)

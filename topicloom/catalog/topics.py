@@ -671,6 +671,18 @@ def m1(spark, d):
     return density.density_clusters(embed.reduce_vectors(v, 5), "doc_id", "reduced", Clustering(15, 10))
 
 
+@register("m1_planted", """WITH f AS (SELECT o_orderpriority, dense_rank() OVER (ORDER BY min(o_orderkey)) - 1 AS cluster FROM orders GROUP BY o_orderpriority)
+SELECT o_orderkey, cluster FROM orders JOIN f USING (o_orderpriority)""")
+def m1_planted(spark, d):
+    """Orders as points scattered over one square per priority: the squares are found again."""
+    orders = table(spark, d, "orders")
+    square = F.pmod(F.ascii("o_orderpriority"), F.lit(8)) * 100.0
+    spot = [F.pmod(F.col("o_orderkey") * F.sqrt(F.lit(float(n))), F.lit(1.0)) for n in (2, 3)]
+    points = orders.select("o_orderkey", F.array(square + spot[0], spot[1]).alias("reduced"))
+    found = density.density_clusters(points, "o_orderkey", "reduced", Clustering(15, 5))
+    return found.select("o_orderkey", F.col("cluster").cast("long").alias("cluster"))
+
+
 @register("m24_parameter_runs")
 def m24(spark, d):
     docs = documents(spark, d)

@@ -108,7 +108,10 @@ class Clustering:
     min_samples: int | None = None
     selection: str = "eom"
     epsilon: float = 0.0
-    max_cells: int = 4000
+    #: points of a leaf, within which neighbours are exact; projection trees; steps of distance per doubling
+    leaf_size: int = 2048
+    trees: int = 4
+    resolution: int = 8
 
     def __post_init__(self) -> None:
         if self.min_cluster_size < 2:
@@ -119,8 +122,8 @@ class Clustering:
             raise ValueError("selection must be 'eom' or 'leaf'")
         if self.epsilon < 0:
             raise ValueError("epsilon must not be negative")
-        if self.max_cells < 2:
-            raise ValueError("max_cells must be at least 2")
+        if min(self.leaf_size, self.trees, self.resolution) < 1:
+            raise ValueError("leaf_size, trees and resolution must be positive")
 
 
 @dataclass(frozen=True)

@@ -1,23 +1,27 @@
-"""Density clustering with noise, on summarised points.
-
-Hierarchical density clustering of the mutual-reachability graph (Campello
-et al. 2013), made distributable by summaries in the manner of data bubbles
-(Breunig et al. 2001). Points are first merged into at most ``max_cells``
-weighted cells by a grouping with map-side combine. If there are no more
-distinct points than that, each is its own cell and the result is the exact
-hierarchy; otherwise cells come from the finest even grid that fits. What
-follows works on cells only, so its size does not depend on the data:
-
-* distance to the ``min_samples``-th neighbour, in parallel over cells;
-* a spanning tree per pair of cell blocks; their union holds the tree of all;
-* the condensed tree and the choice of clusters, on at most
-  ``max_cells * (blocks + 1)`` edges.
-
-Every point takes the label of its cell.
+"""Density clustering with noise, in joins over staged tables.
+
+The hierarchy of the mutual-reachability graph (Campello et al. 2013), its
+distances rounded up to steps of ``2 ** (1 / resolution)``, by one way at
+every size; neither points, edges nor clusters meet in one task:
+
+* equal points become one point of their number;
+* ``trees`` random projection trees cut the points at quantiles into leaves of
+  at most about ``leaf_size``; within the leaves of a tree neighbours and
+  spanning trees are exact, and what a cut of one tree parts another joins.
+  Points that fit into one leaf get the exact hierarchy;
+* the distance to the ``min_samples``-th neighbour is taken over all leaves of
+  a point, and the spanning trees of all leaves make one graph;
+* the components of that graph at every step of distance are the hierarchy. A
+  component of less than ``min_cluster_size`` points is not followed;
+* a cluster is a path of components from where its parent divides. Its
+  stability is a sum over its points, and the choice of clusters goes from
+  clusters without children upwards, one staged round per height.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -25,266 +29,268 @@ from pyspark.sql import functions as F
 
 from ..config import Clustering
 from ..session import materialize
+from .joins import salted_join
+from .sampling import with_row_number
 
-BLOCK = 1000
-GRID_LEVELS = 20
+#: a node of a projection tree is cut into at most FAN parts, at most DEPTH times
+FAN, DEPTH = 16, 14
+SEED = 42
+#: distances below are not told apart
 TINY = 1e-12
-
-
-def _grid_key(vector: str, lows: list[float], width: float) -> Column:
-    low = F.array(*[F.lit(float(v)) for v in lows])
-    return F.zip_with(F.col(vector), low, lambda x, lo: F.floor((x - lo) / width))
-
-
-def _distinct(key: Column) -> Column:
-    """Estimated number of distinct keys, within about 2 %."""
-    return F.hll_sketch_estimate(F.hll_sketch_agg(F.xxhash64(key), 12))
-
-
-def _with_cells(points: DataFrame, vector: str, max_cells: int) -> tuple[DataFrame, DataFrame]:
-    """Points with their cell key ``_cell``, and the table of cells."""
-    first = points.agg(F.max(F.size(vector)).alias("dim"), _distinct(F.col(vector)).alias("n")).first()
-    dim = first.dim or 0
-    keys = [F.col(vector)] if first.n <= max_cells * 1.1 else []
+#: numbers per block of differences
+CHUNK = 4_000_000
+#: tasks that leaves are dealt to, at most
+TASKS = 10_000
+
+
+def _projections(tree: str, depth: int, trees: int, dim: int) -> Column:
+    """``_v`` along the random direction of its tree at this depth."""
+    way = np.random.default_rng([SEED, depth]).normal(size=(trees, dim))
+    ways = F.array(*[F.array(*[F.lit(float(c)) for c in row]) for row in way])
+    return F.aggregate(F.zip_with("_v", F.element_at(ways, F.col(tree) + 1), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+
+
+def _leaves(points: DataFrame, n: int, dim: int, cfg: Clustering) -> tuple[DataFrame, bool]:
+    """``pid, _v, n`` with ``tree, leaf``, and whether one leaf holds all."""
+    if n <= cfg.leaf_size:  # all trees would be this leaf
+        return points.withColumns({"tree": F.lit(0), "leaf": F.lit(0).cast("long")}), True
+    trees = F.explode(F.sequence(F.lit(0), F.lit(cfg.trees - 1)))
+    rows = points.withColumn("tree", trees).withColumn("leaf", F.lit(0).cast("long"))
+    parts = [i / FAN for i in range(1, FAN)]
+    for depth in range(DEPTH):
+        rows = materialize(rows.withColumn("_p", _projections("tree", depth, cfg.trees, dim)))
+        sizes = rows.groupBy("tree", "leaf").agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_p", parts, 1000).alias("_cuts"))
+        full = materialize(sizes.filter(F.col("_n") > cfg.leaf_size))
+        if full.isEmpty():
+            break
+        ways = F.least(F.pow(F.lit(2.0), F.ceil(F.log2(F.col("_n") / cfg.leaf_size))), F.lit(float(FAN))).cast("int")
+        cuts = full.select("tree", "leaf", "_cuts", ways.alias("_ways"))
+        rank = F.size(F.filter("_cuts", lambda c: c < F.col("_p")))
+        child = F.floor(F.coalesce(rank * F.col("_ways") / FAN, F.lit(0)))
+        rows = salted_join(rows, cuts, ["tree", "leaf"], "left", ["pid"]).withColumn("leaf", F.col("leaf") * FAN + child)
+        rows = rows.select(*points.columns, "tree", "leaf")
+    return rows.drop("_p"), False
+
+
+def _vectors(pdf: pd.DataFrame) -> np.ndarray:
+    return np.array(pdf["_v"].tolist(), dtype=float).reshape(len(pdf), -1)
+
+
+def _neighbours(min_samples: int):
+    """The nearest ``min_samples`` other points of every point of a leaf."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, names, weights = _vectors(pdf), pdf["pid"].to_numpy(), pdf["n"].to_numpy()
+        k, step, out = min(min_samples, len(x) - 1), max(1, CHUNK // max(1, x.size)), []
+        for at in range(0, len(x), step):
+            d = np.sqrt(((x[at:at + step, None] - x[None]) ** 2).sum(axis=2))
+            d[np.arange(len(d)), np.arange(at, at + len(d))] = np.inf
+            near = np.argpartition(d, k - 1, axis=1)[:, :k] if k else np.empty((len(d), 0), dtype=int)
+            for i, row in enumerate(near):
+                out.append([{"d": a, "pid": b, "n": c} for a, b, c in zip(d[i, row].tolist(), names[row].tolist(), weights[row].tolist())])
+        return pd.DataFrame({"pid": names, "near": out})
+
+    return run
+
+
+def _core(near: Column, n: Column, min_samples: int) -> Column:
+    """Distance at which a point has ``min_samples`` others, its copies first; that of the farthest known if there are fewer."""
+    start = F.struct(n.alias("n"), F.lit(0.0).alias("d"))
+    add = lambda s, x: F.when(s["n"] > min_samples, s).otherwise(F.struct((s["n"] + x["n"]).alias("n"), x["d"].alias("d")))
+    return F.aggregate(F.array_sort(F.array_distinct(near)), start, add)["d"]
+
+
+def _spanning_tree(resolution: int):
+    """Prim's tree of a leaf under mutual reachability: ``a, b`` and the step of their distance."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, core, names = _vectors(pdf), pdf["core"].to_numpy(), pdf["pid"].to_numpy()
+        n = len(names)
+        best, parent, open_ = np.full(n, np.inf), np.zeros(n, dtype=int), np.ones(n, dtype=bool)
+        order, at = np.zeros(max(n - 1, 0), dtype=int), 0
+        for i in range(n - 1):
+            open_[at] = False
+            d = np.maximum(np.sqrt(((x - x[at]) ** 2).sum(axis=1)), np.maximum(core, core[at]))
+            closer = open_ & (d < best)
+            best[closer], parent[closer] = d[closer], at
+            at = int(np.where(open_, best, np.inf).argmin())
+            order[i] = at
+        steps = np.ceil(np.log2(np.maximum(best[order], TINY)) * resolution - 1e-9).astype(int)
+        return pd.DataFrame({"a": names[parent[order]], "b": names[order], "step": steps})
+
+    return run
+
+
+def _stars(steps: list[int]):
+    """Components of the edges of a leaf at every step: each point with the smallest of its component."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        names, ends = np.unique(pdf[["a", "b"]].to_numpy(), return_inverse=True)
+        ends = ends.reshape(-1, 2)
+        label, out = np.arange(len(names)), []
+        for level, step in enumerate(steps):
+            for a, b in ends[(pdf["step"] == step).to_numpy()]:
+                lo, hi = sorted((label[a], label[b]))
+                label[label == hi] = lo
+            inside = np.bincount(label, minlength=len(names))[label] > 1
+            out.append(pd.DataFrame({"level": level, "node": names[inside], "label": names[label[inside]]}))
+        return pd.concat(out)
+
+    return run
+
+
+def _components(stars: DataFrame) -> DataFrame:
+    """``level, node, label``: the smallest node of the component, at every level at once.
+
+    Each round takes the smallest label of a node and its neighbours, then the
+    label of that label; a level is done when nothing changes in it. Joins run between
+    written tables, whose skewed partitions Spark splits.
+    """
+    key = ["level", "node"]
+    turned = stars.select("level", F.col("label").alias("node"), F.col("node").alias("to"))
+    both = materialize(stars.withColumnRenamed("label", "to").unionByName(turned).filter("node <> to").distinct())
+    labels = materialize(both.groupBy(key).agg(F.least(F.min("to"), "node").alias("label")))
+    done = []
     while True:
-        keys = keys or _grid_keys(points, vector, dim, max_cells)
-        keyed = points.withColumn("_cell", keys.pop(0))
-        cells = materialize(_summarise(keyed, vector, dim))
-        if cells.count() <= max_cells:  # else the estimate was low: one step coarser
-            return keyed, cells
-
-
-def _grid_keys(points: DataFrame, vector: str, dim: int, max_cells: int) -> list[Column]:
-    """Cell keys from the finest even grid that should fit to the coarsest."""
-    ends = points.agg(*[f(F.col(vector)[i]).alias(f"{n}{i}") for i in range(dim) for n, f in (("lo", F.min), ("hi", F.max))]).first()
-    lows = [float(ends[f"lo{i}"] or 0.0) for i in range(dim)]
-    span = max((float(ends[f"hi{i}"] or 0.0) - lo for i, lo in enumerate(lows)), default=0.0) or 1.0
-    keys = [_grid_key(vector, lows, span / 2**s) for s in range(GRID_LEVELS, -1, -1)]
-    sizes = points.agg(*[_distinct(k).alias(f"n{i}") for i, k in enumerate(keys)]).first()
-    fitting = next((i for i in range(len(keys)) if sizes[f"n{i}"] <= max_cells), len(keys) - 1)
-    return keys[fitting:] + [F.array(F.lit(0))]
-
-
-def _summarise(keyed: DataFrame, vector: str, dim: int) -> DataFrame:
-    """One row per cell: number, count, mean, spread."""
-    x = [F.col(vector)[i].cast("double") for i in range(dim)]
-    cells = keyed.groupBy("_cell").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.array(*[F.avg(c) for c in x]).alias("mean"),
-        sum((F.var_pop(c) for c in x), F.lit(0.0)).alias("_var"),
-    )
-    number = F.row_number().over(Window.orderBy("_cell")) - 1  # at most max_cells + 1 rows are used
-    return cells.select("_cell", number.cast("int").alias("cell"), "n", "mean", F.sqrt("_var").alias("spread"))
-
-
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    sq = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T
-    return np.sqrt(np.maximum(sq, 0.0))
-
-
-def _core_distances(cells: DataFrame, means: np.ndarray, weights: np.ndarray, min_samples: int) -> DataFrame:
-    dim = max(1, means.shape[1])
-
-    def run(batches):
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            here = pdf["cell"].to_numpy()
-            d = _distances(means[here], means)
-            d[np.arange(len(here)), here] = 0.0
-            order = np.argsort(d, axis=1, kind="stable")
-            reach = np.cumsum(weights[order], axis=1)
-            at = np.minimum((reach < min_samples + 1).sum(axis=1), len(weights) - 1)  # the point itself is not a neighbour
-            nearest = np.take_along_axis(order, at[:, None], 1)[:, 0]
-            core = np.sqrt(((means[here] - means[nearest]) ** 2).sum(axis=1))
-            # enough neighbours inside the cell: the expected distance there
-            share = np.minimum(min_samples / np.maximum(weights[here] - 1, 1), 1.0) ** (1.0 / dim)
-            core = np.where(weights[here] > min_samples, pdf["spread"].to_numpy() * share, core)
-            yield pdf.assign(core=core)
-
-    return cells.mapInPandas(run, "cell int, n long, mean array<double>, spread double, core double")
-
-
-def _spanning_tree(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Prim's tree of one pair of blocks under mutual reachability."""
-    pdf = pdf.sort_values("cell")
-    x, core, names = np.array(pdf["mean"].tolist()), pdf["core"].to_numpy(), pdf["cell"].to_numpy()
-    n = len(names)
-    best, parent = np.full(n, np.inf), np.zeros(n, dtype=int)
-    open_ = np.ones(n, dtype=bool)
-    edges, at = [], 0
-    for _ in range(n - 1):
-        open_[at] = False
-        d = np.maximum(np.sqrt(((x - x[at]) ** 2).sum(axis=1)), np.maximum(core, core[at]))
-        closer = open_ & (d < best)
-        best[closer], parent[closer] = d[closer], at
-        at = int(np.where(open_, best, np.inf).argmin())
-        edges.append((names[parent[at]], names[at], best[at]))
-    return pd.DataFrame(edges, columns=["a", "b", "w"])
-
-
-class _Groups:
-    """Union-find over cells; a merge makes a new node."""
-
-    def __init__(self, n: int):
-        self.up, self.node = list(range(n)), list(range(n))
-
-    def find(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-
-def _merge_order(n: int, edges: pd.DataFrame) -> list[tuple[int, int, float]]:
-    """Merges of the single-linkage tree; node ``n + i`` is made by merge ``i``."""
-    groups, merges = _Groups(n), []
-    for a, b, w in edges.sort_values(["w", "a", "b"]).itertuples(index=False):
-        ra, rb = groups.find(a), groups.find(b)
-        if ra != rb:
-            merges.append((groups.node[ra], groups.node[rb], w))
-            groups.up[rb] = ra
-            groups.node[ra] = n + len(merges) - 1
-    return merges
-
-
-def cluster_cells(weights: np.ndarray, cores: np.ndarray, edges: pd.DataFrame, cfg: Clustering) -> tuple[np.ndarray, np.ndarray]:
-    """Cluster number (or -1) and membership strength of every cell."""
-    n = len(weights)
-    labels, strength = np.full(n, -1), np.zeros(n)
-    merges = _merge_order(n, edges)
-    if not merges:
-        return labels, strength
-    size = np.concatenate([weights.astype(float), np.zeros(len(merges))])
-    for i, (a, b, _) in enumerate(merges):
-        size[n + i] = size[a] + size[b]
-
-    birth, parent_of, children, stability = {0: 0.0}, {}, {0: []}, {0: 0.0}
-    left_at: dict[int, tuple[int, float]] = {}  # cell -> (cluster it left, density then)
-
-    def leave(node: int, cluster: int, density: float) -> None:
-        stack = [node]
-        while stack:
-            v = stack.pop()
-            if v < n:
-                left_at[v] = (cluster, density)
-                stability[cluster] += weights[v] * (density - birth[cluster])
-            else:
-                stack += merges[v - n][:2]
-
-    stack = [(n + len(merges) - 1, 0)]
-    while stack:
-        node, cluster = stack.pop()
-        if node < n:  # a cell that is a cluster by itself ends at its own density
-            leave(node, cluster, max(1.0 / max(cores[node], TINY), birth[cluster]))
-            continue
-        w = merges[node - n][2]
-        density = 1.0 / max(w, TINY)
-        # merges at one distance are one event, so ties do not depend on their order
-        parts, todo = [], [node]
-        while todo:
-            v = todo.pop()
-            if v >= n and merges[v - n][2] == w:
-                todo += merges[v - n][:2]
-            else:
-                parts.append(v)
-        big = sorted(v for v in parts if size[v] >= cfg.min_cluster_size)
-        for v in parts:
-            if v not in big:
-                leave(v, cluster, density)
-        if len(big) == 1:
-            stack.append((big[0], cluster))
-        elif big:
-            stability[cluster] += sum(size[v] for v in big) * (density - birth[cluster])
-            for v in big:
-                new = len(birth)
-                birth[new], parent_of[new], children[new], stability[new] = density, cluster, [], 0.0
-                children[cluster].append(new)
-                stack.append((v, new))
-
-    chosen = _choose(children, stability, cfg.selection)
-    if cfg.epsilon > 0:
-        chosen = _merge_below(chosen, parent_of, birth, cfg.epsilon)
-
-    owner: dict[int, int] = {}
-    for c in sorted(birth):  # parents come before children
-        owner[c] = c if c in chosen else owner.get(parent_of.get(c, -1), -1)
-    number = {c: i for i, c in enumerate(sorted(chosen))}
-    top: dict[int, float] = {}
-    for cluster, density in left_at.values():
-        top[owner[cluster]] = max(top.get(owner[cluster], 0.0), density)
-    for cell, (cluster, density) in left_at.items():
-        if owner[cluster] >= 0:
-            labels[cell] = number[owner[cluster]]
-            strength[cell] = density / top[owner[cluster]] if top[owner[cluster]] > 0 else 1.0
-    return labels, strength
-
-
-def _choose(children: dict[int, list[int]], stability: dict[int, float], selection: str) -> set[int]:
-    """Clusters without children, or those of greatest total stability. Never the root."""
+        there = labels.select("level", F.col("node").alias("to"), F.col("label").alias("_near"))
+        around = both.join(there, ["level", "to"]).groupBy(key).agg(F.min("_near").alias("_near"))
+        near = materialize(labels.join(around, key).select(*key, F.least("label", "_near").alias("label"), F.col("label").alias("_old")))
+        jump = near.select("level", F.col("node").alias("label"), F.col("label").alias("_next"))
+        moved = near.join(jump, ["level", "label"], "left")
+        new = materialize(moved.select(*key, F.least("label", F.coalesce("_next", "label")).alias("label"), "_old"))
+        changed = [r.level for r in new.filter("label <> _old").select("level").distinct().collect()]
+        open_ = F.col("level").isin(changed)
+        done.append(new.filter(~open_).drop("_old"))
+        if not changed:
+            return reduce(DataFrame.unionByName, done)
+        labels, both = new.filter(open_).drop("_old"), both.filter(open_)
+
+
+def _paths(points: DataFrame, labels: DataFrame, levels: int, least: int) -> DataFrame:
+    """``node, level, label`` of the components of at least ``least`` points. A point of that number is one below level 0."""
+    hot = points.filter(F.col("n") >= least).select(F.explode(F.sequence(F.lit(-1), F.lit(levels - 1))).alias("level"), F.col("pid").alias("node"))
+    rows = labels.unionByName(hot.withColumn("label", F.col("node"))).groupBy("level", "node").agg(F.min("label").alias("label"))
+    rows = materialize(rows.join(points.select(F.col("pid").alias("node"), "n"), "node"))
+    sizes = rows.groupBy("level", "label").agg(F.sum("n").alias("_size")).filter(F.col("_size") >= least)
+    return materialize(salted_join(rows, sizes.drop("_size"), ["level", "label"], "inner", ["node"]))
+
+
+def _stays(paths: DataFrame, points: DataFrame, steps: list[int], resolution: int) -> DataFrame:
+    """``node, cluster, parent, born, birth, n, leaves``: which clusters a point is in, from ``birth`` to what density.
+
+    A cluster is named by its first component (level, smallest point).
+    """
+    top = len(steps) - 1
+    nodes = paths.filter("node = label").select("level", "label")
+    above = paths.select((F.col("level") - 1).alias("level"), F.col("node").alias("label"), F.col("label").alias("_up"))
+    nodes = materialize(nodes.join(above, ["level", "label"], "left"))  # the top level has none: one group
+    kids = nodes.groupBy((F.col("level") + 1).alias("level"), F.col("_up").alias("label")).agg(F.count(F.lit(1)).alias("_kids"))
+    many = kids.filter("_kids > 1").select((F.col("level") - 1).alias("level"), F.col("label").alias("_up"))
+    divided = many.filter(F.col("level") < top).select("level", "_up")
+    born = nodes.join(divided, ["level", "_up"], "left_semi").select("level", "label")
+    if nodes.filter(F.col("level") == top).count() > 1:
+        born = born.unionByName(nodes.filter(F.col("level") == top).select("level", "label"))
+    flags = born.withColumn("_born", F.lit(True))
+    flagged = salted_join(paths, flags, ["level", "label"], "left", ["node"])
+    down = Window.partitionBy("node").orderBy(F.desc("level"))  # one row per step of distance
+    name = F.when(F.col("_born"), F.struct("level", "label"))
+    owned = flagged.withColumn("cluster", F.last(name, ignorenulls=True).over(down)).filter("cluster IS NOT NULL")
+    stays = owned.groupBy("node", "cluster").agg(F.min("level").alias("_out"), F.first("n").alias("n"))
+    stays = stays.withColumns({
+        "born": F.col("cluster.level"),
+        "parent": F.lag("cluster").over(Window.partitionBy("node").orderBy(F.desc("cluster.level"))),
+    })
+    density = [2.0 ** (-s / resolution) for s in steps]
+    at = lambda level: F.element_at(F.array(*[F.lit(v) for v in density]), level + 1)
+    birth = F.when(F.col("born") < top, at(F.least(F.col("born"), F.lit(top - 1)) + 1)).otherwise(0.0) if top else F.lit(0.0)
+    own = points.filter("n > 1").select(F.col("pid").alias("node"), F.col("core").alias("_core"))
+    stays = stays.withColumn("birth", birth).join(own, "node", "left")
+    alone = F.greatest(1.0 / F.greatest("_core", F.lit(TINY)), "birth")
+    return stays.withColumn("leaves", F.when(F.col("_out") < 0, alone).otherwise(at(F.greatest("_out", F.lit(0))))).drop("_core", "_out")
+
+
+def _choose(clusters: DataFrame, selection: str) -> DataFrame:
+    """``cluster, wins``: has no children, or is as stable as the best of its descendants together."""
+    parents = clusters.filter("parent IS NOT NULL").groupBy(F.col("parent").alias("cluster")).agg(F.count(F.lit(1)).alias("_kids"))
+    rows = materialize(clusters.join(parents, "cluster", "left"))
+    fields = ["cluster", "parent", "total", "wins"]
+    leaves = rows.filter("_kids IS NULL").select("cluster", "parent", F.col("stability").alias("total"), F.lit(True).alias("wins"))
     if selection == "leaf":
-        return {c for c, kids in children.items() if not kids and c != 0}
-    total, picked = {}, {}
-    for c in sorted(children, reverse=True):
-        below = sum(total[k] for k in children[c])
-        if c != 0 and (not children[c] or stability[c] >= below):
-            total[c], picked[c] = stability[c], {c}
-        else:
-            total[c], picked[c] = below, set().union(*(picked[k] for k in children[c]))
-        for k in children[c]:
-            del picked[k]
-    return picked[0]
-
-
-def _merge_below(chosen: set[int], parent_of: dict[int, int], birth: dict[int, float], epsilon: float) -> set[int]:
-    """Clusters born below distance ``epsilon`` are replaced by the ancestor born above it."""
-    lifted = set()
-    for c in chosen:
-        while birth[c] * epsilon > 1.0 and parent_of[c] != 0:
-            c = parent_of[c]
-        lifted.add(c)
-
-    def inside(c: int) -> bool:
-        while c in parent_of:
-            c = parent_of[c]
-            if c in lifted:
-                return True
-        return False
-
-    return {c for c in lifted if not inside(c)}
+        return leaves.select("cluster", "wins")
+    known, number = materialize(leaves.select(fields)), rows.count()
+    open_ = rows.filter("_kids IS NOT NULL")
+    while known.count() < number:
+        below = known.filter("parent IS NOT NULL").groupBy(F.col("parent").alias("cluster")).agg(F.sum("total").alias("_below"), F.count(F.lit(1)).alias("_done"))
+        ready = open_.join(below, "cluster").filter("_done = _kids").join(known.select("cluster"), "cluster", "left_anti")
+        won = F.col("stability") >= F.col("_below")
+        now = ready.select("cluster", "parent", F.greatest("stability", "_below").alias("total"), won.alias("wins"))
+        known = materialize(known.unionByName(now.select(fields)))
+    return known.select("cluster", "wins")
+
+
+def _final(clusters: DataFrame, stays: DataFrame, wins: DataFrame, epsilon: float) -> DataFrame:
+    """``cluster`` of those chosen: winners below no other; those born below distance ``epsilon`` become the ancestor born above it."""
+    facts = clusters.select("cluster", "birth").join(wins, "cluster", "left").select("cluster", "birth", F.coalesce("wins", F.lit(False)).alias("wins"))
+    lines = stays.select(F.col("node").alias("_node"), F.col("cluster").alias("_above"), F.col("born").alias("_born"))
+    winners = facts.filter("wins").select("cluster", F.col("cluster.label").alias("_node"), F.col("cluster.level").alias("_level"))
+    ways = winners.join(lines, "_node").filter("_born >= _level").select("cluster", "_above", "_born")
+    of = facts.select(F.col("cluster").alias("_above"), F.col("birth").alias("_birth"), F.col("wins").alias("_wins"))
+    fits = F.col("_birth") * epsilon <= 1.0
+    target = F.coalesce(F.min_by("_above", F.when(fits, F.col("_born"))), F.max_by("_above", "_born"))
+    chosen = ways.join(of, "_above").groupBy("cluster").agg(F.count_if("_wins").alias("_winners"), target.alias("target"))
+    return chosen.filter("_winners = 1").select(F.col("target").alias("cluster")).distinct()
+
+
+def _labels(points: DataFrame, n: int, dim: int, cfg: Clustering) -> DataFrame | None:
+    """``pid, cluster, strength`` of the points that are no noise; None if there are no clusters."""
+    min_samples = cfg.min_samples or cfg.min_cluster_size
+    rows, whole = _leaves(points, n, dim, cfg)
+    tasks = min(TASKS, max(1, 2 * cfg.trees * n // cfg.leaf_size))  # a number that is given is not lowered for few bytes
+    near = rows.repartition(tasks, "tree", "leaf").groupBy("tree", "leaf").applyInPandas(_neighbours(min_samples), "pid long, near array<struct<d:double,pid:long,n:long>>")
+    near = near.groupBy("pid").agg(F.flatten(F.collect_list("near")).alias("near"))  # one list per tree
+    cores = points.select("pid", "n").join(near, "pid").select("pid", _core(F.col("near"), F.col("n"), min_samples).alias("core"))
+    points = materialize(points.join(cores, "pid"))
+    members = rows.join(points.select("pid", "core"), "pid").repartition(tasks, "tree", "leaf").groupBy("tree", "leaf")
+    grown = members.applyInPandas(lambda key, pdf: _spanning_tree(cfg.resolution)(pdf).assign(tree=key[0], leaf=key[1]), "a long, b long, step int, tree int, leaf long")
+    edges = materialize(grown)
+    steps = [r.step for r in edges.select("step").distinct().orderBy("step").collect()]  # some tens: they are logarithms
+    if not steps:
+        return None
+    stars = edges.repartition(tasks, "tree", "leaf").groupBy("tree", "leaf").applyInPandas(_stars(steps), "level int, node long, label long")
+    paths = _paths(points, stars if whole else _components(stars), len(steps), cfg.min_cluster_size)
+    stays = materialize(_stays(paths, points, steps, cfg.resolution))
+    gain = F.sum(F.col("n") * (F.col("leaves") - F.col("birth")))
+    clusters = materialize(stays.groupBy("cluster").agg(F.first("parent").alias("parent"), F.first("birth").alias("birth"), gain.alias("stability")))
+    chosen = materialize(_final(clusters, stays, _choose(clusters, cfg.selection), cfg.epsilon))
+    if chosen.isEmpty():
+        return None
+    inside = salted_join(stays, chosen.withColumn("_in", F.lit(True)), ["cluster"], "left", ["node"])
+    owner, last = F.max_by("cluster", F.when(F.col("_in"), F.col("born"))), F.min_by("leaves", "born")
+    owned = materialize(inside.groupBy("node").agg(owner.alias("owner"), last.alias("leaves")).filter("owner IS NOT NULL"))
+    tops = materialize(owned.groupBy("owner").agg(F.min("node").alias("first"), F.max("leaves").alias("top")))
+    named = tops.join(with_row_number(tops.select("first"), "first", "cluster"), "first").select("owner", "top", F.col("cluster").cast("int").alias("cluster"))
+    found = salted_join(owned, named, ["owner"], "inner", ["node"])
+    return found.select(F.col("node").alias("pid"), "cluster", (F.col("leaves") / F.col("top")).alias("strength"))
 
 
 def density_clusters(points: DataFrame, id_col: str = "doc_id", vector: str = "reduced", cfg: Clustering = Clustering()) -> DataFrame:
-    """``id, cluster, strength``; noise is cluster -1 with strength 0."""
-    points = materialize(points.select(id_col, F.col(vector).cast("array<double>").alias("_v")))  # read several times
-    keyed, cells = _with_cells(points, "_v", cfg.max_cells)
-    slim = cells.select("cell", "n", "mean", "spread")
-    table = slim.orderBy("cell").toPandas()  # at most max_cells rows
-    min_samples = cfg.min_samples or cfg.min_cluster_size
-    if len(table) == 0:
-        return keyed.select(id_col, F.lit(-1).alias("cluster"), F.lit(0.0).alias("strength"))
-    means, weights = np.array(table["mean"].tolist(), dtype=float).reshape(len(table), -1), table["n"].to_numpy()
-
-    with_core = materialize(_core_distances(slim, means, weights, min_samples))
-    blocks = -(-len(table) // BLOCK)
-    block = F.floor(F.col("cell") / BLOCK)
-    pairs = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda j: F.least(block, j) * blocks + F.greatest(block, j))
-    edges = (
-        with_core.withColumn("_pair", F.explode(pairs))
-        .groupBy("_pair")
-        .applyInPandas(_spanning_tree, "a int, b int, w double")  # at most two blocks per group
-    )
-    own = with_core.select(F.col("cell").alias("a"), F.lit(-1).alias("b"), F.col("core").alias("w"))
-
-    def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf["b"] < 0
-        cores = pdf[own].sort_values("a")["w"].to_numpy()
-        labels, strength = cluster_cells(weights, cores, pdf[~own], cfg)
-        return pd.DataFrame({"cell": np.arange(len(labels)), "cluster": labels, "strength": strength})
-
-    labels = edges.unionByName(own).groupBy(F.lit(0).alias("_g")).applyInPandas(label, "cell int, cluster int, strength double")
-    named = materialize(labels).join(cells.select("cell", "_cell"), "cell").drop("cell")
-    return keyed.join(F.broadcast(named), "_cell").select(id_col, "cluster", "strength")  # at most max_cells rows
+    """``id, cluster, strength``; noise, and a row without a vector, is cluster -1 with strength 0.
+
+    Clusters are numbered by their smallest id.
+    """
+    rows = materialize(points.select(id_col, F.col(vector).cast("array<double>").alias("_v")))  # read several times
+    same = rows.filter("_v IS NOT NULL").groupBy("_v").agg(F.count(F.lit(1)).alias("n"), F.min(id_col).alias("_first"))
+    same = materialize(same)
+    first = same.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_v")).alias("dim")).first()
+    found = None
+    if first.n:
+        named = materialize(with_row_number(same, "_first", "pid").select("pid", "_v", "n"))
+        found = _labels(named, first.n, first.dim, cfg)
+    if found is None:
+        return rows.select(id_col, F.lit(-1).alias("cluster"), F.lit(0.0).alias("strength"))
+    placed = named.join(found, "pid").select("_v", "cluster", "strength")
+    joined = salted_join(rows, placed, ["_v"], "left", [id_col])
+    return joined.select(id_col, F.coalesce("cluster", F.lit(-1)).alias("cluster"), F.coalesce("strength", F.lit(0.0)).alias("strength"))
 
 
 def number_topics(assigned: DataFrame, id_col: str = "doc_id", cluster: str = "cluster", min_topic_size: int = 1) -> DataFrame:
