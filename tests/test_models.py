@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from topicloom import catalog
 from topicloom.config import Modeling
 from topicloom.operators import embed, similarity, units
 from topicloom.plans import modeling
@@ -216,3 +217,10 @@ def test_training_with_representation_steps(spark, corpus, tmp_path):
     assert all(len(r.varied) == 2 and len(r.aspect_1) == 4 and set(r.varied) <= set(r.representation) for r in info) and len(info) == 2
     main = modeling.fit(corpus, e.transform(corpus), Modeling(min_topic_size=1, stop_words=None, top_n_words=3, representation={"model_name": "KeyBERTInspired"}), labels=corpus.select("doc_id", "cluster"))
     assert {r.aspect for r in main.aspects.collect()} == {"Main"} and rows_of(main.words.select("topic", "rank", "word")) == rows_of(m.aspects.filter("aspect = 'aspect_1' AND rank <= 3").select("topic", "rank", "word"))
+
+
+def test_every_vector_meets_every_topic(spark, tmp_path):
+    rows = [(i, [float(np.cos(i * (j + 1))) for j in range(6)], i % 8) for i in range(24)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = catalog.queries()["j7_topic_similarity"](spark, str(tmp_path)).select("vec_id", "topic").collect()
+    assert len(got) == len(set(got)) == 24 * 8
