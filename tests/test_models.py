@@ -224,3 +224,11 @@ def test_every_vector_meets_every_topic(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
     got = catalog.queries()["j7_topic_similarity"](spark, str(tmp_path)).select("vec_id", "topic").collect()
     assert len(got) == len(set(got)) == 24 * 8
+
+
+def test_probabilities_of_all_topics_sum_to_one(spark, tmp_path):
+    rows = [(i, [float(np.cos(i * (j + 1))) for j in range(6)], i % 8) for i in range(24)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    out = catalog.queries()["m10_probabilities"](spark, str(tmp_path)).groupBy("vec_id")
+    got = out.agg(F.sort_array(F.collect_list("rank")).alias("ranks"), F.sum("probability").alias("total")).collect()
+    assert len(got) == 24 and all(r.ranks == list(range(1, 9)) and abs(r.total - 1) < 1e-5 for r in got)

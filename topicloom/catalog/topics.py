@@ -166,10 +166,10 @@ def j7(spark, d):
 
 @register("m10_probabilities", f"""WITH {SQL_VECTORS}, p AS (SELECT vec_id, topic, similarity, greatest(similarity, 0) AS p FROM sims),
 q AS (SELECT vec_id, topic, p, p / sum(p) OVER (PARTITION BY vec_id) AS q FROM p)
-SELECT vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, topic) AS rank, topic, round(q, 6) AS probability FROM q QUALIFY rank <= 5""")
+SELECT vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, topic) AS rank, topic, round(q, 6) AS probability FROM q""")
 def m10(spark, d):
-    """The five most probable topics; the probabilities count all topics."""
-    p = similarity.top_probabilities(table(spark, d, "embeddings"), centres(spark, d), 5, "vec_id")
+    """All topics of every vector, the most probable first."""
+    p = similarity.top_probabilities(table(spark, d, "embeddings"), centres(spark, d), None, "vec_id")
     return p.select("vec_id", "rank", "topic", F.round("probability", 6).alias("probability"))
 
 

@@ -170,10 +170,10 @@ def _shares(sim: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def top_probabilities(
-    rows: DataFrame, topics: DataFrame, k: int, id_col: str = "doc_id", vector: str = "embedding",
+    rows: DataFrame, topics: DataFrame, k: int | None, id_col: str = "doc_id", vector: str = "embedding",
     topic_col: str = "topic", topic_vector: str = "vector", block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """``id, rank, topic, probability`` of the ``k`` most probable topics; probabilities count all topics.
+    """``id, rank, topic, probability`` of the ``k`` most probable topics, or all; probabilities count all topics.
 
     A block of topics gives each document one row: its best ``k`` similarities
     and the sum of all. Blocks are merged by id.
@@ -187,7 +187,7 @@ def top_probabilities(
         def score(batches, ids=ids, m=m):
             import pyarrow as pa
 
-            names, n = pa.array(ids, kind), min(k, len(ids))
+            names, n = pa.array(ids, kind), len(ids) if k is None else min(k, len(ids))
             for batch in batches:
                 for start, sim in _strips(batch, vector, m):
                     sim = np.maximum(sim, 0.0)
@@ -204,7 +204,8 @@ def top_probabilities(
         for p in parts[1:]:
             merged = merged.unionByName(p)
         order = lambda x, y: F.when((x["similarity"] > y["similarity"]) | ((x["similarity"] == y["similarity"]) & (x["topic"] < y["topic"])), -1).otherwise(1)
-        lists = F.slice(F.array_sort(F.flatten(F.collect_list("_best")), order), 1, k)  # k entries per block
+        lists = F.array_sort(F.flatten(F.collect_list("_best")), order)  # k entries per block
+        lists = lists if k is None else F.slice(lists, 1, k)
         merged = merged.groupBy(id_col).agg(lists.alias("_best"), F.sum("_total").alias("_total"))
     each = merged.select(id_col, "_total", F.posexplode("_best").alias("_at", "_e"))
     share = F.coalesce(F.col("_e.similarity") / F.nullif(F.col("_total"), F.lit(0.0)), F.lit(0.0))
