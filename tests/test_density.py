@@ -158,3 +158,25 @@ def test_bad_settings():
     for bad in ({"min_cluster_size": 1}, {"min_samples": 0}, {"selection": "x"}, {"epsilon": -1.0}, {"trees": 0}):
         with pytest.raises(ValueError):
             Clustering(**bad)
+
+
+@pytest.mark.parametrize("rest", [0, 6])
+def test_one_row_per_point_tells_the_components_of_all_levels(spark, monkeypatch, rest):
+    monkeypatch.setattr(density, "REST", rest)
+    rng = np.random.default_rng(7)
+    n, levels = 40, 5
+    edges = sorted({(min(a, b), max(a, b)): int(rng.integers(levels)) for a, b in rng.integers(n, size=(60, 2)).tolist() if a != b}.items())
+    df = spark.createDataFrame([(a, b, lvl) for (a, b), lvl in edges], "a long, b long, level int")
+    forest = {r.node: (r.level, r.label) for r in density._forest(df, levels).collect()}
+    assert len(forest) <= n - 1
+    for level in range(levels):
+        near = list(range(n))
+        for _ in range(n):
+            for (a, b), lvl in edges:
+                if lvl <= level:
+                    near[a] = near[b] = min(near[a], near[b])
+        for node in range(n):
+            at = node
+            while at in forest and forest[at][0] <= level:
+                at = forest[at][1]
+            assert at == near[node]
