@@ -125,3 +125,16 @@ def test_bad_settings_raise():
     with pytest.raises(ValueError):
         Cleaning.from_dict({"apply_magic": True})
     assert Cleaning.from_dict({"clean_apply_lowercase": True, "apply_unescape": True}) == Cleaning(lowercase=True, unescape=True)
+
+
+def test_a_batch_is_unescaped_some_texts_at_a_time():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    batch = pa.array(["&amp;" + "x" * 10_000, None] * 1000)
+    tracemalloc.start()
+    out = T._unescape.func(batch)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.to_pylist() == ["&" + "x" * 10_000, None] * 1000 and peak < 4e6

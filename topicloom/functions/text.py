@@ -11,7 +11,7 @@ import re
 import string
 from collections.abc import Iterable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -61,9 +61,16 @@ def strip_markdown_links(c: Column | str) -> Column:
     return F.regexp_replace(col(c), MARKDOWN_LINK, "$1")
 
 
-@F.pandas_udf(StringType())
-def _unescape(s: pd.Series) -> pd.Series:
-    return s.map(html.unescape, na_action="ignore")
+#: texts of an Arrow batch that are Python strings at once
+TEXTS = 64
+
+
+@F.arrow_udf(StringType())
+def _unescape(s: pa.Array) -> pa.Array:
+    parts = []
+    for i in range(0, len(s), TEXTS):
+        parts.append(pa.array([t if t is None else html.unescape(t) for t in s.slice(i, TEXTS).to_pylist()], pa.string()))
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
 
 def unescape_html(c: Column | str) -> Column:
