@@ -232,3 +232,34 @@ def test_probabilities_of_all_topics_sum_to_one(spark, tmp_path):
     out = catalog.queries()["m10_probabilities"](spark, str(tmp_path)).groupBy("vec_id")
     got = out.agg(F.sort_array(F.collect_list("rank")).alias("ranks"), F.sum("probability").alias("total")).collect()
     assert len(got) == 24 and all(r.ranks == list(range(1, 9)) and abs(r.total - 1) < 1e-5 for r in got)
+
+
+def test_a_batch_is_encoded_some_texts_at_a_time():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    batch = pa.array(["x" * 10_000, None] * 1000)
+    tracemalloc.start()
+    out = embed._encoded(batch, lambda texts: [[len(t)] for t in texts], 32)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.ravel().tolist() == [10_000, 0] * 1000 and peak < 4e6
+
+
+def test_words_of_a_batch_are_counted_some_rows_at_a_time():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    lengths = [0, 3000, 100_000, 0, *[4000] * 300]
+    flat = rng.integers(64, size=sum(lengths)).astype(np.int32)
+    batch = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(flat))
+    idf, signs = rng.random(64), rng.choice([-1.0, 1.0], size=(64, 4))
+    tracemalloc.start()
+    out = embed._weighted_signs(batch, idf, signs)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    expected = [(np.bincount(np.array(r.as_py(), dtype=int), minlength=64) * idf) @ signs for r in batch]
+    assert np.allclose(out, expected) and peak < 12e6

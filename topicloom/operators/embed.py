@@ -17,7 +17,7 @@ from ..functions import tokens as K
 from ..functions import vectors as V
 
 Encoder = Callable[[list[str]], np.ndarray]
-#: cells of the word-document matrix multiplied at once
+#: words whose cells of the word-document matrix are counted and multiplied at once
 CELLS = 1 << 16
 
 
@@ -36,14 +36,18 @@ def embed_texts(
             if not batch.num_rows:
                 continue
             encode = encode or make_encoder()
-            texts = batch.column(text_col).fill_null("").to_pylist()
-            parts = [np.asarray(encode(texts[i:i + batch_size]), dtype=np.float32) for i in range(0, len(texts), batch_size)]
-            yield _embedded(batch.column(id_col), np.vstack(parts), id_col)
+            yield _embedded(batch.column(id_col), _encoded(batch.column(text_col), encode, batch_size), id_col)
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(id_col, F.col(text_col).cast("string").alias(text_col)).mapInArrow(run, f"`{id_col}` {kind}, embedding array<float>")
 
 
+def _encoded(texts, encode: Encoder, batch_size: int) -> np.ndarray:
+    """One row per text of an Arrow column, of which ``batch_size`` texts are Python strings at once."""
+    slices = [texts.slice(i, batch_size) for i in range(0, len(texts), batch_size)]
+    return np.vstack([np.asarray(encode(s.fill_null("").to_pylist()), dtype=np.float32) for s in slices])
+
+
 def _embedded(ids, matrix: np.ndarray, id_col: str):
     """An Arrow batch of ids and the rows of a matrix."""
     import pyarrow as pa
@@ -53,6 +57,24 @@ def _embedded(ids, matrix: np.ndarray, id_col: str):
     return pa.RecordBatch.from_arrays([ids, lists], [id_col, "embedding"])
 
 
+def _weighted_signs(slots, idf: np.ndarray, signs: np.ndarray) -> np.ndarray:
+    """Per row of an Arrow column of slots the sum of its sign rows, by count and IDF; as many rows at a time as have ``CELLS`` words."""
+    words = slots.value_lengths().to_numpy()
+    ends, out, start = np.cumsum(words), np.zeros((len(slots), signs.shape[1])), 0
+    while start < len(slots):
+        before = ends[start] - words[start]
+        stop = max(start + 1, int(np.searchsorted(ends, before + CELLS, side="right")))
+        row = np.repeat(np.arange(start, stop), words[start:stop])
+        cell, tf = np.unique(row * len(idf) + slots.slice(start, stop - start).flatten().to_numpy(), return_counts=True)
+        row, slot = np.divmod(cell, len(idf))
+        for a in range(0, len(cell), CELLS):  # a row of more cells
+            part = slice(a, a + CELLS)
+            first = np.flatnonzero(np.diff(row[part], prepend=-1))
+            out[row[part][first]] += np.add.reduceat((tf[part] * idf[slot[part]])[:, None] * signs[slot[part]], first)
+        start = stop
+    return out
+
+
 @dataclass(frozen=True)
 class HashedEmbedding:
     """Built-in embedding without a model: hashed TF, IDF, random signs, unit length.
@@ -81,15 +103,7 @@ class HashedEmbedding:
         def run(batches):
             signs = np.random.default_rng(seed).choice([-1.0, 1.0], size=(len(idf), dim))
             for batch in batches:
-                slots = batch.column("_slots")
-                row = np.repeat(np.arange(batch.num_rows), slots.value_lengths().to_numpy())
-                cell, tf = np.unique(row * len(idf) + slots.flatten().to_numpy(), return_counts=True)
-                row, slot = np.divmod(cell, len(idf))
-                out = np.zeros((batch.num_rows, dim))
-                for a in range(0, len(cell), CELLS):  # sums of weighted sign rows, some cells at a time
-                    part = slice(a, a + CELLS)
-                    first = np.flatnonzero(np.diff(row[part], prepend=-1))
-                    out[row[part][first]] += np.add.reduceat((tf[part] * idf[slot[part]])[:, None] * signs[slot[part]], first)
+                out = _weighted_signs(batch.column("_slots"), idf, signs)
                 size = np.linalg.norm(out, axis=1, keepdims=True)
                 yield _embedded(batch.column(id_col), np.divide(out, size, out=np.zeros_like(out), where=size > 0), id_col)
 
