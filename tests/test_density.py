@@ -180,3 +180,9 @@ def test_one_row_per_point_tells_the_components_of_all_levels(spark, monkeypatch
             while at in forest and forest[at][0] <= level:
                 at = forest[at][1]
             assert at == near[node]
+
+
+def test_topic_numbers_are_brought_to_many_rows_without_a_shuffle(spark):
+    rows = spark.range(3_000_000).selectExpr("id AS doc_id", "CAST(id % 5 AS int) AS cluster")
+    plan = density.number_topics(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan

@@ -76,7 +76,8 @@ def _leaves(points: DataFrame, n: int, dim: int, cfg: Clustering) -> DataFrame:
 
 
 def _vectors(pdf: pd.DataFrame) -> np.ndarray:
-    return np.asfortranarray(np.array(pdf["_v"].tolist(), dtype=float).reshape(len(pdf), -1))
+    x = np.array(pdf["_v"].tolist(), dtype=float).reshape(len(pdf), -1)
+    return np.asfortranarray(x) if x.shape[1] < 8 else x
 
 
 def _distances(y: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -383,5 +384,5 @@ def number_topics(assigned: DataFrame, id_col: str = "doc_id", cluster: str = "c
     sizes = assigned.filter(~noise).groupBy(cluster).agg(F.count(F.lit(1)).alias("_n"), F.min(id_col).alias("_id"))
     by_size = Window.partitionBy(F.lit(1)).orderBy(F.desc("_n"), "_id")  # one row per cluster
     numbers = sizes.filter(F.col("_n") >= min_topic_size).select(cluster, (F.row_number().over(by_size) - 1).alias("topic"))
-    joined = salted_join(assigned, numbers, [cluster], "left", [id_col])
+    joined = salted_join(assigned, materialize(numbers), [cluster], "left", [id_col])  # few written rows do not shuffle the others
     return joined.withColumn("topic", F.coalesce(F.col("topic"), F.lit(-1)))

@@ -56,11 +56,14 @@ def semi_rows(rows: DataFrame, wanted: DataFrame, key: str, spread: Sequence[str
 
 def coverage(docs: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
     """One row: keys on one side only, by key and not just by count."""
-    a = docs.select(key).distinct().withColumn("_d", F.lit(1))
-    b = vectors.select(key).distinct().withColumn("_v", F.lit(1))
-    return a.join(b, key, "full").agg(
-        F.count_if(F.col("_v").isNull()).alias("docs_without_vector"),
-        F.count_if(F.col("_d").isNull()).alias("vectors_without_doc"),
+    there, absent = F.lit(1), F.lit(None).cast("int")
+    both = docs.select(F.col(key).alias("_key"), there.alias("_d"), absent.alias("_v"))
+    both = both.unionByName(vectors.select(F.col(key).alias("_key"), absent.alias("_d"), there.alias("_v")))
+    each = both.groupBy("_key").agg(F.max("_d").alias("_d"), F.max("_v").alias("_v"))
+    alone = lambda c: F.col(c).isNull() | F.col("_key").isNull()  # noqa: E731  a null key equals none
+    return each.agg(
+        F.count_if(F.col("_d").isNotNull() & alone("_v")).alias("docs_without_vector"),
+        F.count_if(F.col("_v").isNotNull() & alone("_d")).alias("vectors_without_doc"),
     )
 
 

@@ -160,7 +160,7 @@ def describe(
     assigned = materialize(assigned)
     rows = docs.select(id_col, text_col).join(assigned.select(id_col, "topic"), id_col)
     tf = terms.term_counts(rows, "topic", text_col, cfg.ngram_range, cfg.stop_words, min_count=cfg.min_frequency)
-    placed = vectors.select(id_col, "embedding").join(assigned.select(id_col, "topic"), id_col)
+    placed = materialize(vectors.select(id_col, "embedding").join(assigned.select(id_col, "topic"), id_col))  # read twice
     centres = materialize(similarity.mean_vectors(placed, "topic", count="n"))
     own = explore.own_similarity(placed.filter(F.col("topic") != -1), centres, id_col)
 
