@@ -186,3 +186,78 @@ def test_topic_numbers_are_brought_to_many_rows_without_a_shuffle(spark):
     rows = spark.range(3_000_000).selectExpr("id AS doc_id", "CAST(id % 5 AS int) AS cluster")
     plan = density.number_topics(rows)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+@pytest.mark.parametrize("block, rest, smallest", [(7, 0, 1), (7, 6, 1), (7, 1 << 16, 4), (1 << 16, 0, 4)])
+def test_blocks_name_the_components_of_all_levels(spark, monkeypatch, block, rest, smallest):
+    monkeypatch.setattr(density, "BLOCK", block)
+    monkeypatch.setattr(density, "REST", rest)
+    rng = np.random.default_rng(11)
+    n, levels = 50, 6
+    others = ((np.arange(n) + rng.integers(1, 9, n)) % n).tolist()
+    edges = [(min(a, b), max(a, b), int(rng.integers(levels))) for a, b in enumerate(others) if rng.random() < 0.9]
+    edges += edges[:5]  # found by several trees
+    points = spark.createDataFrame([(i, 1) for i in range(n)], "pid long, n long")
+    rows = density._segments(points, spark.createDataFrame(edges, "a long, b long, level int"), len(edges), n, levels, smallest).collect()
+    for level in range(-1, levels):
+        near = list(range(n))
+        for _ in range(n):
+            for a, b, at in edges:
+                if at <= level:
+                    near[a] = near[b] = min(near[a], near[b])
+        name = {r.node: r.label for r in rows if r.start <= level < r.end}
+        large = [i for i in range(n) if near.count(near[i]) >= smallest]
+        assert set(large) <= set(name)
+        assert len({(near[i], name[i]) for i in large}) == len({near[i] for i in large}) == len({name[i] for i in large})
+    assert all(r.n == 1 for r in rows)
+
+
+@pytest.mark.parametrize("dim", [1, 2, 5, 20])
+def test_neighbours_by_boxes_are_exact(dim):
+    x = np.random.default_rng(dim).normal(size=(300, dim))
+    d, to = density._nearest(x, 6)
+    whole = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(whole, np.inf)
+    assert np.allclose(np.sort(d, axis=1), np.sort(whole, axis=1)[:, :6]) and np.allclose(whole[np.arange(300)[:, None], to], d)
+
+
+def test_stages_do_not_grow_with_the_levels(spark, monkeypatch):
+    staged, real = [], density.materialize
+    monkeypatch.setattr(density, "materialize", lambda df: staged.append(1) or real(df))
+    monkeypatch.setattr(density, "REST", 50)
+    x = np.concatenate([np.random.default_rng(9).normal(c, s, 60) for c, s in ((0, 1), (30, 3), (100, 0.1), (150, 9))])[:, None]
+    assert len(groups(clusters(spark, x, Clustering(5, 2))[0])) > 3
+    assert len(staged) < 40
+
+
+@pytest.mark.parametrize("setting, value", [("LEAVES", 1), ("BLOCK", 50), ("HOT", 2)])
+def test_blobs_over_cells_blocks_and_hot_copies(spark, monkeypatch, setting, value):
+    x = np.vstack([blobs(2), blobs(2)[:40]])
+    cfg = Clustering(20, 5, "leaf", leaf_size=60)
+    once = clusters(spark, x, cfg)[0]
+    monkeypatch.setattr(density, setting, value)
+    again = clusters(spark, x, cfg)[0]
+    assert len(groups(again)) == 3 and (again[330:] == again[:40]).all()
+    if setting == "LEAVES":  # other cuts
+        assert all(any(len(a & b) / len(a | b) >= 0.9 for b in groups(once)) for a in groups(again))
+    else:
+        assert (again == once).all()
+
+
+def test_rows_of_a_point_may_come_in_several_batches(spark):
+    x, cfg = blobs(5), Clustering(20, 5, leaf_size=90)
+    whole = clusters(spark, x, cfg)[0]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert (clusters(spark, x, cfg)[0] == whole).all()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_vectors_with_a_missing_coordinate_are_far_from_all(spark):
+    x = blobs(6)
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    odd = [(1000 + i, [None, *[float(v) for v in r[1:]]]) for i, r in enumerate(x[:20])]
+    got = {i: c for i, c, _ in density.density_clusters(spark.createDataFrame(rows + odd, "doc_id long, v array<double>"), "doc_id", "v", Clustering(20, 5)).collect()}
+    assert [got[i] for i in range(len(x))] == clusters(spark, x, Clustering(20, 5))[0].tolist()
+    assert {got[1000 + i] for i in range(20)} == {-1}
