@@ -261,3 +261,17 @@ def test_vectors_with_a_missing_coordinate_are_far_from_all(spark):
     got = {i: c for i, c, _ in density.density_clusters(spark.createDataFrame(rows + odd, "doc_id long, v array<double>"), "doc_id", "v", Clustering(20, 5)).collect()}
     assert [got[i] for i in range(len(x))] == clusters(spark, x, Clustering(20, 5))[0].tolist()
     assert {got[1000 + i] for i in range(20)} == {-1}
+
+
+def test_settings_share_the_steps_that_they_agree_in(spark, monkeypatch):
+    staged, real = [], density.materialize
+    monkeypatch.setattr(density, "materialize", lambda df: staged.append(1) or real(df))
+    grid = [Clustering(20, 5, "eom"), Clustering(20, 5, "leaf"), Clustering(30, 5, "leaf"), Clustering(20, 5, "eom", 0.5)]
+    from topicloom.plans import modeling
+
+    runs = {r.run: r for r in modeling.parameter_runs(frame(spark, blobs(1)).withColumnRenamed("v", "reduced"), grid).collect()}
+    assert len(staged) < 50
+    for i, cfg in enumerate(grid):
+        labels = clusters(spark, blobs(1), cfg)[0]
+        assert (runs[i].n_topics, runs[i].largest) == (len(groups(labels)), max(map(len, groups(labels))))
+        assert runs[i].noise_share == pytest.approx((labels == -1).mean())
